@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A bracket with more distinct values than this is narrowed again before it is ranked.
+# A bracket with more rows than this is narrowed again before it is ranked.
 RANK_LIMIT = 1_000_000
 SKETCH = 10_000
 
@@ -27,115 +28,137 @@ def adjusted_kurtosis(c: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], qs: Sequence[float]
+    df: DataFrame,
+    columns: Sequence[str],
+    qs: Sequence[float],
+    counts: Mapping[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles without gathering a column in one task.
 
     A sketch brackets the two values around each target rank.  Values inside the bracket
     are counted exactly together with the rows below it; a bracket that still holds many
-    distinct values is sketched and narrowed again.  The driver sees a few numbers
-    per column and quantile.
+    rows is sketched and narrowed again.  The driver sees a few numbers per column and
+    quantile.  ``counts`` are the non-NULL counts, if known.
     """
     cols = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    counts = df.agg(*[F.count(cols[c]).alias(c) for c in columns]).first()
-    # One target per rank needed: the two neighbours of (n - 1) * q.
-    targets: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for c in columns:
-        n = counts[c]
-        for q in qs:
-            at = (n - 1) * q
-            for rank in {int(at), min(int(at) + 1, n - 1)} if n else ():
-                targets[(c, rank)] = (float("-inf"), float("inf"), n)
-    found: dict[tuple[str, int], float] = {}
-    below = {t: 0 for t in targets}
-    open_targets, slack = dict(targets), 2.0 / SKETCH
-    while open_targets:
-        brackets = _narrow(df, cols, open_targets, below, slack)
-        sizes = _bracket_sizes(df, cols, brackets)
+    if counts is None:
+        counts = df.agg(*[F.count(cols[c]).alias(c) for c in columns]).first().asDict()
+    targets = [
+        Target(c, q, int((counts[c] - 1) * q), min(int((counts[c] - 1) * q) + 1, counts[c] - 1))
+        for c in columns
+        for q in qs
+        if counts[c]
+    ]
+    brackets = {t: Bracket(None, None, 0, counts[t.column]) for t in targets}
+    found: dict[Target, tuple[float, float]] = {}
+    slack = 2.0 / SKETCH
+    while brackets:
+        tried = _narrow(df, cols, brackets, slack)
         ready, rest, missed = {}, {}, False
-        for t, (lo, hi) in brackets.items():
-            under, inside, distinct = sizes[t]
-            if not under <= t[1] < under + inside:
-                rest[t], missed = open_targets[t], True
-            elif distinct <= RANK_LIMIT or lo == hi or inside > open_targets[t][2] / 2:
-                ready[t] = (lo, hi)
+        for t, new in tried.items():
+            if not (new.below <= t.low and t.high < new.below + new.rows):
+                rest[t], missed = brackets[t], True
+            elif new.rows <= RANK_LIMIT or new.lo == new.hi or 2 * new.rows > brackets[t].rows:
+                ready[t] = new
             else:
-                rest[t], below[t] = (lo, hi, inside), under
-        found |= _rank(df, cols, ready, {t: sizes[t][0] for t in ready})
-        open_targets, slack = rest, slack * 4 if missed else slack
-    out: dict[str, list[float | None]] = {}
+                rest[t] = new
+        found |= _rank(df, cols, ready)
+        brackets, slack = rest, slack * 4 if missed else slack
+    out: dict[str, list[float | None]] = {c: [] for c in columns}
     for c in columns:
-        n, row = counts[c], []
         for q in qs:
-            if not n:
-                row.append(None)
+            hit = next((t for t in targets if (t.column, t.q) == (c, q)), None)
+            if hit is None:
+                out[c].append(None)
                 continue
-            at = (n - 1) * q
-            low = found[(c, int(at))]
-            high = found[(c, min(int(at) + 1, n - 1))]
-            row.append(low + (high - low) * (at - int(at)))
-        out[c] = row
+            low, high = found[hit]
+            out[c].append(low + (high - low) * ((counts[c] - 1) * q - hit.low))
     return out
 
 
-def _inside(c: Column, lo: float, hi: float) -> Column:
-    return (c >= F.lit(lo)) & (c <= F.lit(hi))
-
-
-def _narrow(df, cols, targets, below, slack):
-    """Brackets from a sketch of the values inside the current ones."""
-    names, aggs = list(targets), []
-    for i, t in enumerate(names):
-        lo, hi, n = targets[t]
-        low = t[1] - below[t]
-        ps = [max(0.0, low / n - slack), min(1.0, (low + 1) / n + slack)]
-        value = F.when(_inside(cols[t[0]], lo, hi), cols[t[0]])
-        aggs.append(F.percentile_approx(value, ps, SKETCH).alias(f"t{i}"))
-    row = df.agg(*aggs).first()
-    return {t: (row[f"t{i}"][0], row[f"t{i}"][1]) for i, t in enumerate(names)}
-
-
-def _bracket_sizes(df, cols, targets):
-    """Rows below, rows inside and (approximate) distinct values inside each bracket."""
-    names, aggs = list(targets), []
-    for i, t in enumerate(names):
-        lo, hi = targets[t]
-        c = cols[t[0]]
-        inside = _inside(c, lo, hi)
-        aggs += [
-            F.count_if(c < F.lit(lo)).alias(f"b{i}"),
-            F.count_if(inside).alias(f"i{i}"),
-            F.approx_count_distinct(F.when(inside, c)).alias(f"d{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    return {t: (row[f"b{i}"], row[f"i{i}"], row[f"d{i}"]) for i, t in enumerate(names)}
+class Target(NamedTuple):
+    """A quantile and the two ranks it lies between."""
 
+    column: str
+    q: float
+    low: int
+    high: int
 
-def _rank(df, cols, targets, below):
-    """The value at each target rank, from running counts of the bracket's values."""
-    if not targets:
-        return {}
-    names = list(targets)
-    hits = F.array(
-        *[
-            F.when(
-                _inside(cols[t[0]], targets[t][0], targets[t][1]),
-                F.struct(
-                    F.lit(i).alias("t"),
-                    F.lit(t[1] - below[t]).cast("long").alias("rank"),
-                    cols[t[0]].alias("v"),
-                ),
-            )
-            for i, t in enumerate(names)
+
+class Bracket(NamedTuple):
+    """A closed range of values (None: unbounded), the rows below it and inside it."""
+
+    lo: float | None
+    hi: float | None
+    below: int
+    rows: int
+
+
+def _inside(c: Column, b: Bracket) -> Column:
+    if b.lo is None:
+        return c.isNotNull()
+    return (c >= F.lit(b.lo)) & (c <= F.lit(b.hi))
+
+
+def _narrow(df, cols, brackets, slack) -> dict[Target, Bracket]:
+    """Tighter brackets from a sketch of the values inside, with exact row counts."""
+
+    def share(t: Target, b: Bracket) -> list[float]:
+        return [
+            max(0.0, (t.low - b.below) / b.rows - slack),
+            min(1.0, (t.high + 1 - b.below) / b.rows + slack),
         ]
-    )
+
+    # Targets of a column that still share a bracket share one sketch.
+    groups: dict[tuple, list[Target]] = {}
+    for t, b in brackets.items():
+        groups.setdefault((t.column, b.lo, b.hi), []).append(t)
+    sketches = []
+    for i, ((c, _, _), ts) in enumerate(groups.items()):
+        value = F.when(_inside(cols[c], brackets[ts[0]]), cols[c])
+        ps = [p for t in ts for p in share(t, brackets[t])]
+        sketches.append(F.percentile_approx(value, ps, SKETCH).alias(f"s{i}"))
+    row = df.agg(*sketches).first()
+    ends = {
+        t: (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
+        for i, ts in enumerate(groups.values())
+        for j, t in enumerate(ts)
+    }
+    sizes = []
+    for i, (t, (lo, hi)) in enumerate(ends.items()):
+        c = cols[t.column]
+        sizes.append(F.count_if(c < F.lit(lo)).alias(f"b{i}"))
+        sizes.append(F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi))).alias(f"r{i}"))
+    row = df.agg(*sizes).first()
+    return {
+        t: Bracket(lo, hi, row[f"b{i}"], row[f"r{i}"]) for i, (t, (lo, hi)) in enumerate(ends.items())
+    }
+
+
+def _rank(df, cols, brackets: dict[Target, Bracket]) -> dict[Target, tuple[float, float]]:
+    """The values at both ranks, from running counts of the bracket's distinct values."""
+    if not brackets:
+        return {}
+    names = list(brackets)
+    hits = [
+        F.when(
+            _inside(cols[t.column], b),
+            F.struct(F.lit(i).alias("t"), cols[t.column].alias("v"),
+                     F.lit(t.low - b.below).cast("long").alias("low"),
+                     F.lit(t.high - b.below).cast("long").alias("high")),
+        )
+        for i, (t, b) in enumerate(brackets.items())
+    ]
     values = (
-        df.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-        .groupBy("h.t", "h.rank", "h.v")
+        df.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        .groupBy("h.t", "h.v", "h.low", "h.high")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    running = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
-    at = values.withColumn("upto", running).where(
-        (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))
-    )
-    return {names[r["t"]]: r["v"] for r in at.select("t", "v").collect()}
+    upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
+
+    def at(rank: str) -> Column:
+        hit = (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank))
+        return F.max(F.when(hit, F.col("v"))).alias(f"v_{rank}")
+
+    ranked = values.withColumn("upto", upto).groupBy("t").agg(at("low"), at("high"))
+    return {names[r["t"]]: (r["v_low"], r["v_high"]) for r in ranked.collect()}

@@ -84,8 +84,12 @@ def describe_columns(df: DataFrame) -> DataFrame:
             aggs += [F.min(col).alias(f"{c}|from"), F.max(col).alias(f"{c}|to")]
         elif kind == "boolean":
             aggs.append(F.count_if(col).alias(f"{c}|true"))
-    one = df.agg(*aggs)
-    quartiles = exact_quantiles(df, numbers, QUARTILES) if numbers else {}
+    # One row of aggregates; the quartile search starts from its counts.
+    moments = df.agg(*aggs)
+    row = moments.first()
+    one = df.sparkSession.createDataFrame([row], moments.schema)
+    known = {c: row[f"{c}|count"] for c in numbers}
+    quartiles = exact_quantiles(df, numbers, QUARTILES, known) if numbers else {}
 
     def at(c: str, name: str) -> Column:
         return F.col(f"`{c}|{name}`")

@@ -103,7 +103,7 @@ def association_rules(
     looked up by two joins.
     """
     size = F.size("items")
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), size) - 2)
+    masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")
     split = itemsets.where(size > 1).withColumn("mask", F.explode(masks))
 
     def side(bit: int) -> Column:
