@@ -79,8 +79,8 @@ DERIVED = {
     # Line items with the categories rules are mined from.
     "line_facts": (
         """p_type, l_returnflag, o_orderpriority, o_orderstatus, p_brand,
-        case when l_linenumber = 6 then null else concat(l_linenumber, '. LINE - Comments: x | ',
-        100 + p_size % 4, '. SIZE - Comments: y') end as notes""",
+        case when l_linenumber = 6 then null else concat(l_linenumber % 3, '. LINE - Comments: x | ',
+        100 + case when l_linenumber = 1 then 0 else p_size % 3 end, '. SIZE - Comments: y') end as notes""",
         """lineitem join part on l_partkey = p_partkey
         join orders on l_orderkey = o_orderkey""",
     ),
@@ -131,6 +131,39 @@ DERIVED = {
         then 'ice cream parlor' else concat(upper(p_name), ' mobile') end as facility_type""",
         "part",
     ),
+    # Raw inspections under their own headers: text throughout, dirty in every column.
+    "raw_inspections": (
+        """cast(o_orderkey as string) as `Inspection ID`, concat(' ', upper(c_name)) as `DBA Name`,
+        case when o_orderkey % 3 = 0 then 'nan' else c_name end as `AKA Name`,
+        concat(o_custkey, '.0') as `License #`,
+        case when o_orderkey % 6 = 5 then null when o_custkey % 5 = 0 then 'Grocery  Store 2014'
+        when o_custkey % 5 = 1 then 'restuarant' when o_custkey % 5 = 2 then '(ice cream parlor)'
+        when o_custkey % 5 = 3 then 'hooka bar' else 'School' end as `Facility Type`,
+        case o_orderpriority when '1-URGENT' then 'Risk 1 (High)' when '2-HIGH'
+        then 'Risk 2 (Medium)' when '3-MEDIUM' then 'Risk 3 (Low)' else null end as `Risk`,
+        concat(o_custkey, ' main st') as `Address`,
+        case when o_orderkey % 7 = 0 then null when o_orderkey % 7 = 1 then 'chicago.'
+        when o_orderkey % 7 = 2 then 'CHICAGOO' when o_orderkey % 7 = 3 then 'BEDFORD  PARK'
+        when o_orderkey % 7 = 4 then 'Olympia Field' else 'Chicago' end as `City`,
+        case when o_orderkey % 5 = 0 then null else 'IL' end as `State`,
+        case when o_orderkey % 11 = 0 then null
+        else concat(60600 + c_nationkey, '.0') end as `Zip`,
+        concat(lpad(cast(month(o_orderdate) as string), 2, '0'), '/',
+        lpad(cast(day(o_orderdate) as string), 2, '0'), '/', year(o_orderdate))
+        as `Inspection Date`,
+        case when o_orderkey % 2 = 0 then 'Canvass Re-Inspection' else 'License' end
+        as `Inspection Type`,
+        case o_orderstatus when 'O' then 'Pass' when 'F' then 'Fail'
+        else 'Pass w/ Conditions' end as `Results`,
+        case when o_orderkey % 4 = 0 then null else concat(30 + o_orderkey % 4,
+        '. FOOD AND - Comments: a b | ', 32 + o_orderkey % 2, '. SEWAGE - Comments: x, 5. Bad')
+        end as `Violations`,
+        case when o_orderkey % 9 = 0 then null else '41.5' end as `Latitude`,
+        case when o_orderkey % 9 = 0 then null else '-87.5' end as `Longitude`,
+        case when o_orderkey % 9 = 0 then null else concat('(41.5, -', o_custkey, ')') end as `Location`""",
+        """orders join customer on o_custkey = c_custkey
+        join nation on c_nationkey = n_nationkey""",
+    ),
 }
 
 # Expressions of the texts above that the two engines spell differently.
@@ -156,6 +189,6 @@ def cte(*names: str) -> str:
     for name in names:
         columns, source = DERIVED[name]
         for ours, theirs in _SQL_SPELLING:
-            columns = columns.replace(ours, theirs)
+            columns = columns.replace(ours, theirs).replace("`", '"')
         out.append(f"{name} as (select {columns} from {source})")
     return "with " + ",\n".join(out)

@@ -279,8 +279,11 @@ def cluster_values(
     """``(value, cluster)`` for the distinct values, by k-means on their TF-IDF vectors."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
     values = values.persist()
-    if k is None:
-        k = min(50, max(5, values.count() // 5))
+    n = values.count()
+    k = min(k or min(50, max(5, n // 5)), n)
+    if k < 2 or not char_tfidf(values, "value").limit(1).count():
+        # Nothing to tell values apart by: no clusters.
+        return values.limit(0).withColumn("cluster", F.lit(0))
     _, vectors = tfidf_model(values, "value")
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select("value", "cluster")
