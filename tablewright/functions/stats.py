@@ -1,14 +1,19 @@
-"""Statistics Spark has no ready aggregate for."""
+"""Statistics Spark has no ready aggregate for.
+
+Columns are turned into rows ``(i, v)`` first: one small aggregate over many rows runs
+as compiled code, where one aggregate per column would outgrow what the JVM compiles.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A bracket with more rows than this is narrowed again before it is ranked.
+# A bracket with more rows than this is narrowed again before its values are ranked.
 RANK_LIMIT = 1_000_000
 SKETCH = 10_000
 
@@ -27,6 +32,58 @@ def adjusted_kurtosis(c: Column) -> Column:
     return F.when(n > 3, F.coalesce(F.nanvl(g, F.lit(None)), F.lit(0.0)))
 
 
+def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(i, v)``: column number and value as a double; NULL and NaN left out."""
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v"))
+            for i, c in enumerate(columns)
+        ]
+    )
+    return df.select(F.inline(each)).where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float]]:
+    """Count, mean, sd, range, adjusted skewness and kurtosis per column, on the driver."""
+    v = F.col("v")
+    rows = (
+        long_numbers(df, columns)
+        .groupBy("i")
+        .agg(
+            F.count(v).alias("count"),
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std_dev"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            adjusted_skewness(v).alias("skewness"),
+            adjusted_kurtosis(v).alias("kurtosis"),
+        )
+        .collect()
+    )
+    return {columns[r["i"]]: r.asDict() for r in rows}
+
+
+class Target(NamedTuple):
+    """Quantile number ``k`` of column number ``i`` and the two ranks it lies between."""
+
+    i: int
+    k: int
+    low: int
+    high: int
+
+
+class Bracket(NamedTuple):
+    """A closed range of values, the rows below it and inside it."""
+
+    lo: float
+    hi: float
+    below: int
+    rows: int
+
+
+Brackets = dict[Target, Bracket]
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -35,130 +92,127 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles without gathering a column in one task.
 
-    A sketch brackets the two values around each target rank.  Values inside the bracket
+    Beyond ``RANK_LIMIT`` rows a sketch brackets the two values around each target rank.  Values inside the bracket
     are counted exactly together with the rows below it; a bracket that still holds many
     rows is sketched and narrowed again.  The driver sees a few numbers per column and
     quantile.  ``counts`` are the non-NULL counts, if known.
     """
-    cols = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    values = long_numbers(df, columns)
     if counts is None:
-        counts = df.agg(*[F.count(cols[c]).alias(c) for c in columns]).first().asDict()
-    targets = [
-        Target(c, q, int((counts[c] - 1) * q), min(int((counts[c] - 1) * q) + 1, counts[c] - 1))
-        for c in columns
-        for q in qs
-        if counts[c]
-    ]
-    brackets = {t: Bracket(None, None, 0, counts[t.column]) for t in targets}
+        seen = values.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = {columns[r["i"]]: r["n"] for r in seen}
+    out: dict[str, list[float | None]] = {c: [None] * len(qs) for c in columns}
+    small = [i for i, c in enumerate(columns) if counts.get(c, 0) <= RANK_LIMIT]
+    if small:
+        # Few enough values for the built-in aggregate, which holds them all.
+        few = values.where(F.col("i").isin(small)).groupBy("i")
+        for r in few.agg(F.percentile("v", list(qs)).alias("q")).collect():
+            out[columns[r["i"]]] = list(r["q"])
+    brackets: Brackets = {}
+    for i, c in enumerate(columns):
+        n = 0 if i in small else counts[c]
+        for k, q in enumerate(qs) if n else ():
+            low = int((n - 1) * q)
+            everything = Bracket(float("-inf"), float("inf"), 0, n)
+            brackets[Target(i, k, low, min(low + 1, n - 1))] = everything
+    targets = list(brackets)
     found: dict[Target, tuple[float, float]] = {}
     slack = 2.0 / SKETCH
     while brackets:
-        tried = _narrow(df, cols, brackets, slack)
         ready, rest, missed = {}, {}, False
-        for t, new in tried.items():
+        for t, new in _narrow(values, brackets, slack).items():
             if not (new.below <= t.low and t.high < new.below + new.rows):
                 rest[t], missed = brackets[t], True
-            elif new.rows <= RANK_LIMIT or new.lo == new.hi or 2 * new.rows > brackets[t].rows:
+            elif new.lo == new.hi:
+                found[t] = (new.lo, new.hi)
+            elif new.rows <= RANK_LIMIT or 2 * new.rows > brackets[t].rows:
                 ready[t] = new
             else:
                 rest[t] = new
-        found |= _rank(df, cols, ready)
+        found |= _rank(values, ready)
         brackets, slack = rest, slack * 4 if missed else slack
-    out: dict[str, list[float | None]] = {c: [] for c in columns}
-    for c in columns:
-        for q in qs:
-            hit = next((t for t in targets if (t.column, t.q) == (c, q)), None)
-            if hit is None:
-                out[c].append(None)
-                continue
-            low, high = found[hit]
-            out[c].append(low + (high - low) * ((counts[c] - 1) * q - hit.low))
+    for t in targets:
+        low, high = found[t]
+        part = (counts[columns[t.i]] - 1) * qs[t.k] - t.low
+        out[columns[t.i]][t.k] = low + (high - low) * part
     return out
 
 
-class Target(NamedTuple):
-    """A quantile and the two ranks it lies between."""
-
-    column: str
-    q: float
-    low: int
-    high: int
-
-
-class Bracket(NamedTuple):
-    """A closed range of values (None: unbounded), the rows below it and inside it."""
-
-    lo: float | None
-    hi: float | None
-    below: int
-    rows: int
+def _by_column(brackets: Brackets, k: int, side: str) -> Column:
+    """Bound of quantile ``k`` for the column of a row, looked up by column number."""
+    bounds = {t.i: getattr(b, side) for t, b in brackets.items() if t.k == k}
+    return F.element_at(
+        F.create_map(*[F.lit(x) for i, v in bounds.items() for x in (i, float(v))]), F.col("i")
+    )
 
 
-def _inside(c: Column, b: Bracket) -> Column:
-    if b.lo is None:
-        return c.isNotNull()
-    return (c >= F.lit(b.lo)) & (c <= F.lit(b.hi))
+def _inside(brackets: Brackets, k: int) -> Column:
+    v = F.col("v")
+    return (v >= _by_column(brackets, k, "lo")) & (v <= _by_column(brackets, k, "hi"))
 
 
-def _narrow(df, cols, brackets, slack) -> dict[Target, Bracket]:
+def _narrow(values: DataFrame, brackets: Brackets, slack: float) -> Brackets:
     """Tighter brackets from a sketch of the values inside, with exact row counts."""
 
-    def share(t: Target, b: Bracket) -> list[float]:
-        return [
+    def shares(t: Target) -> tuple[float, float]:
+        b = brackets[t]
+        return (
             max(0.0, (t.low - b.below) / b.rows - slack),
             min(1.0, (t.high + 1 - b.below) / b.rows + slack),
-        ]
+        )
 
-    # Targets of a column that still share a bracket share one sketch.
-    groups: dict[tuple, list[Target]] = {}
-    for t, b in brackets.items():
-        groups.setdefault((t.column, b.lo, b.hi), []).append(t)
-    sketches = []
-    for i, ((c, _, _), ts) in enumerate(groups.items()):
-        value = F.when(_inside(cols[c], brackets[ts[0]]), cols[c])
-        ps = [p for t in ts for p in share(t, brackets[t])]
-        sketches.append(F.percentile_approx(value, ps, SKETCH).alias(f"s{i}"))
-    row = df.agg(*sketches).first()
+    ks = sorted({t.k for t in brackets})
+    fresh = all(b.lo == float("-inf") for b in brackets.values())
+    # Quantiles that still look at all values share one sketch.
+    groups = [ks] if fresh else [[k] for k in ks]
+    sketches, at = [], {}
+    for g, group in enumerate(groups):
+        ts = [t for t in brackets if t.k in group]
+        points = sorted({p for t in ts for p in shares(t)})
+        value = F.col("v") if fresh else F.when(_inside(brackets, group[0]), F.col("v"))
+        sketches.append(F.percentile_approx(value, points, SKETCH).alias(f"s{g}"))
+        at |= {t: (g, points.index(shares(t)[0]), points.index(shares(t)[1])) for t in ts}
+    rows = {r["i"]: r for r in values.groupBy("i").agg(*sketches).collect()}
     ends = {
-        t: (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
-        for i, ts in enumerate(groups.values())
-        for j, t in enumerate(ts)
+        t: Bracket(rows[t.i][f"s{g}"][lo], rows[t.i][f"s{g}"][hi], 0, 0)
+        for t, (g, lo, hi) in at.items()
     }
     sizes = []
-    for i, (t, (lo, hi)) in enumerate(ends.items()):
-        c = cols[t.column]
-        sizes.append(F.count_if(c < F.lit(lo)).alias(f"b{i}"))
-        sizes.append(F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi))).alias(f"r{i}"))
-    row = df.agg(*sizes).first()
+    for k in ks:
+        sizes.append(F.count_if(F.col("v") < _by_column(ends, k, "lo")).alias(f"b{k}"))
+        sizes.append(F.count_if(_inside(ends, k)).alias(f"r{k}"))
+    rows = {r["i"]: r for r in values.groupBy("i").agg(*sizes).collect()}
     return {
-        t: Bracket(lo, hi, row[f"b{i}"], row[f"r{i}"]) for i, (t, (lo, hi)) in enumerate(ends.items())
+        t: Bracket(b.lo, b.hi, rows[t.i][f"b{t.k}"], rows[t.i][f"r{t.k}"]) for t, b in ends.items()
     }
 
 
-def _rank(df, cols, brackets: dict[Target, Bracket]) -> dict[Target, tuple[float, float]]:
+def _rank(values: DataFrame, brackets: Brackets) -> dict[Target, tuple[float, float]]:
     """The values at both ranks, from running counts of the bracket's distinct values."""
     if not brackets:
         return {}
-    names = list(brackets)
-    hits = [
-        F.when(
-            _inside(cols[t.column], b),
-            F.struct(F.lit(i).alias("t"), cols[t.column].alias("v"),
-                     F.lit(t.low - b.below).cast("long").alias("low"),
-                     F.lit(t.high - b.below).cast("long").alias("high")),
-        )
-        for i, (t, b) in enumerate(brackets.items())
-    ]
-    values = (
-        df.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        .groupBy("h.t", "h.v", "h.low", "h.high")
+    ks = sorted({t.k for t in brackets})
+    hits = F.array_compact(F.array(*[F.when(_inside(brackets, k), F.lit(k)) for k in ks]))
+    counts = (
+        values.where(reduce(lambda a, b: a | b, [_inside(brackets, k) for k in ks]))
+        .select("i", "v", F.explode(hits).alias("k"))
+        .groupBy("i", "k", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
+    ranks = counts.sparkSession.createDataFrame(
+        [(t.i, t.k, t.low - b.below, t.high - b.below) for t, b in brackets.items()],
+        "i int, k int, low long, high long",
+    )
+    upto = F.sum("n").over(Window.partitionBy("i", "k").orderBy("v"))
 
     def at(rank: str) -> Column:
         hit = (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank))
         return F.max(F.when(hit, F.col("v"))).alias(f"v_{rank}")
 
-    ranked = values.withColumn("upto", upto).groupBy("t").agg(at("low"), at("high"))
-    return {names[r["t"]]: (r["v_low"], r["v_high"]) for r in ranked.collect()}
+    # One row of ranks per column and quantile.
+    ranked = counts.withColumn("upto", upto).join(F.broadcast(ranks), ["i", "k"])
+    got = {
+        (r["i"], r["k"]): (r["v_low"], r["v_high"])
+        for r in ranked.groupBy("i", "k").agg(at("low"), at("high")).collect()
+    }
+    return {t: got[(t.i, t.k)] for t in brackets}

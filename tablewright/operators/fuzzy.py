@@ -85,11 +85,13 @@ def detect_typos(
             )
         )
 
-    def main_words(form: Column) -> Column:
-        """Words that make up most of the text, and the text itself."""
-        return F.filter(
-            F.split(form, " "), lambda w: F.length(w) >= 0.8 * F.length(form)
-        )
+    def parts(form: Column) -> Column:
+        return F.split(form, " ")
+
+    def longest(form: Column) -> Column:
+        """The longest word of a form: in every form that holds all its words."""
+        most = F.array_max(F.transform(parts(form), F.length))
+        return F.filter(parts(form), lambda w: F.length(w) == most)
 
     form = F.col("form")
     whole = F.array(form)
@@ -98,7 +100,8 @@ def detect_typos(
         (sim.block_keys(form, cut, False), sim.block_keys(form, cut, True)),
         (whole, inside(form)),
         (inside(form), whole),
-        (main_words(form), main_words(form)),
+        (longest(form), parts(form)),
+        (parts(form), longest(form)),
     ]
     pairs = None
     for left, right in joins:

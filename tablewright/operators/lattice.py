@@ -23,7 +23,7 @@ def _ordered(columns: Sequence[str], names: Sequence[str]) -> AttributeSet:
     return tuple(c for c in columns if c in set(names))
 
 
-def _set_id(columns: Sequence[str], names: Sequence[str]) -> int:
+def set_id(columns: Sequence[str], names: Sequence[str]) -> int:
     """``grouping_id`` of a set: one bit per column, 1 where it is left out."""
     out = 0
     for c in columns:
@@ -32,12 +32,15 @@ def _set_id(columns: Sequence[str], names: Sequence[str]) -> int:
 
 
 def set_counts(df: DataFrame, columns: Sequence[str], sets: Sequence[AttributeSet]) -> DataFrame:
-    """``(set_id, *columns, n)``: rows per combination of values, for every set."""
-    cols = [F.col(f"`{c}`") for c in columns]
-    wanted = [[F.col(f"`{c}`") for c in s] for s in sets]
-    grouped = df.select(*cols).groupingSets(wanted, *cols)
+    """``(set_id, c0, c1, ..., n)``: rows per combination of values, for every set.
+
+    Column number i of ``columns`` is called ``c{i}``, so no table column can clash.
+    """
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    names = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+    grouped = plain.groupingSets([[names[c] for c in s] for s in sets], *names.values())
     return grouped.agg(F.grouping_id().alias("set_id"), F.count(F.lit(1)).alias("n")).select(
-        "set_id", *cols, "n"
+        "set_id", *names.values(), "n"
     )
 
 
@@ -63,7 +66,7 @@ def partition_stats(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
             F.count_if(F.col("n") > 1).alias("grouped_classes"),
         )
         names = df.sparkSession.createDataFrame(
-            [(_set_id(columns, s), list(s)) for s in chunk],
+            [(set_id(columns, s), list(s)) for s in chunk],
             "set_id long, attributes array<string>",
         )
         part = stats.join(F.broadcast(names), "set_id").select(
@@ -104,7 +107,7 @@ def pair_groups(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
             v
             for u, ds in unions.items()
             for v in (
-                F.lit(_set_id(columns, u)).cast("long"),
+                F.lit(set_id(columns, u)).cast("long"),
                 F.array(*[F.lit(d) for d in sorted(set(ds))]),
             )
         ]
@@ -116,14 +119,14 @@ def pair_groups(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
         return F.shiftright("set_id", bit).bitwiseAND(F.lit(1)) == 0
 
     x_null, y_null = F.lit(False), F.lit(False)
-    for i, c in enumerate(columns):
-        null = F.col(f"`{c}`").isNull()
+    for i in range(len(columns)):
+        null = F.col(f"c{i}").isNull()
         x_null = x_null | (member(i) & (F.col("rhs_id") != i) & null)
         y_null = y_null | ((F.col("rhs_id") == i) & null)
-    masked = [F.when(F.col("rhs_id") != i, F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)]
+    masked = [F.when(F.col("rhs_id") != i, F.col(f"c{i}")).alias(f"c{i}") for i in range(len(columns))]
     flat = each.where(~x_null).select("set_id", "rhs_id", *masked, "n", y_null.alias("y_null"))
     present = F.when(~F.col("y_null"), F.col("n")).otherwise(0)
-    return flat.groupBy("set_id", "rhs_id", *[f"`{c}`" for c in columns]).agg(
+    return flat.groupBy("set_id", "rhs_id", *[f"c{i}" for i in range(len(columns))]).agg(
         F.sum("n").alias("size"),
         F.count(F.lit(1)).alias("n_values"),
         F.count_if(~F.col("y_null")).alias("n_present"),
@@ -146,7 +149,7 @@ def pair_stats(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     )
     names = df.sparkSession.createDataFrame(
         [
-            (_set_id(columns, (*x, y)), columns.index(y), list(_ordered(columns, x)), y)
+            (set_id(columns, (*x, y)), columns.index(y), list(_ordered(columns, x)), y)
             for x, y in dict.fromkeys(pairs)
         ],
         "set_id long, rhs_id int, lhs array<string>, rhs string",

@@ -160,12 +160,13 @@ def top_codes(
 ) -> DataFrame:
     """The ``k`` most frequent codes with a category.
 
-    With a dimension table the category comes from there.  Counting runs before the
-    join, so the join sees one row per code.
+    With a dimension table the category comes from there.  Counting runs first, as a
+    hash aggregate of (code, category), so that the text minimum and the join see few rows.
     """
     if categories is None:
-        counts = violations.groupBy(code).agg(
-            F.min(category).alias(category), F.count(F.lit(1)).alias("n")
+        pairs = violations.groupBy(code, category).agg(F.count(F.lit(1)).alias("n"))
+        counts = pairs.groupBy(code).agg(
+            F.min(category).alias(category), F.sum("n").alias("n")
         )
     else:
         per_code = violations.groupBy(code).agg(F.count(F.lit(1)).alias("n"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.frames import share, unpivot_strings
-from tablewright.functions.stats import adjusted_kurtosis, adjusted_skewness, exact_quantiles
+from tablewright.functions.stats import exact_quantiles, moments
 from tablewright.operators.fuzzy import close_matches
-from tablewright.operators.rows import sample_n
+from tablewright.operators.lattice import set_counts, set_id
+from tablewright.operators.rows import drop_nulls, sample_n
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -38,18 +39,29 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _distinct_and_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct count and smallest most frequent value per column."""
+    """Distinct count per column and, for text, the smallest most frequent value.
+
+    The values of all columns are counted by one aggregate with their own types.
+    """
+    ids = [set_id(columns, (c,)) for c in columns]
+    is_text = {f.name: _kind(f) == "categorical" for f in df.schema.fields}
+    counts = set_counts(df, columns, [(c,) for c in columns])
+    present = reduce(
+        lambda a, b: a | b, [F.col(f"c{i}").isNotNull() for i in range(len(columns))]
+    )
+    texts = [F.col(f"c{i}").cast("string") for i, c in enumerate(columns) if is_text[c]]
+    value = F.coalesce(*texts) if texts else F.lit(None).cast("string")
+    order = F.when(value.isNotNull(), F.struct(-F.col("n"), value))
+    name = F.create_map(*[x for i, c in zip(ids, columns) for x in (F.lit(i).cast("long"), F.lit(c))])
     return (
-        value_table(df, columns)
-        .groupBy("column")
+        counts.where(present)
+        .groupBy("set_id")
         .agg(
             _rows().alias("unique_count"),
-            F.min_by(
-                F.struct("value", "n"), F.struct(-F.col("n"), F.col("value"))
-            ).alias("top"),
+            F.min_by(F.struct(value.alias("value"), "n"), order).alias("top"),
         )
         .select(
-            "column",
+            F.element_at(name, F.col("set_id")).alias("column"),
             "unique_count",
             F.col("top.value").alias("top_value"),
             F.col("top.n").alias("top_freq"),
@@ -57,88 +69,73 @@ def _distinct_and_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+DESCRIPTION = (
+    "column string, dtype string, kind string, total_count long, missing_count long, "
+    "missing_pct double, mean double, std_dev double, min double, q25 double, "
+    "median double, q75 double, max double, skewness double, kurtosis double, "
+    "min_date string, max_date string, range_days long, true_count long, "
+    "false_count long, true_pct double"
+)
+
+
 def describe_columns(df: DataFrame) -> DataFrame:
     """One row per column; fields that do not fit its type are NULL.
 
-    Moments, ranges and counts come from one aggregate; distinct values and modes from
-    one grouping of (column, value); quartiles from ``exact_quantiles``.
+    Counts and ranges come from one aggregate, moments from a second, quartiles from
+    ``exact_quantiles``; distinct values and modes from one grouping of all columns.
     """
-    fields = {f.name: _kind(f) for f in df.schema.fields}
-    numbers = [c for c, k in fields.items() if k == "numerical"]
+    kinds = {f.name: _kind(f) for f in df.schema.fields}
+    numbers = [c for c, k in kinds.items() if k == "numerical"]
     aggs = [_rows().alias("rows")]
-    for c, kind in fields.items():
+    for c, kind in kinds.items():
         col = F.col(f"`{c}`")
         aggs.append(F.count(col).alias(f"{c}|count"))
-        if kind == "numerical":
-            d = col.cast("double")
-            for name, a in {
-                "mean": F.avg(d),
-                "std": F.stddev_samp(d),
-                "min": F.min(d),
-                "max": F.max(d),
-                "skew": adjusted_skewness(d),
-                "kurt": adjusted_kurtosis(d),
-            }.items():
-                aggs.append(a.alias(f"{c}|{name}"))
-        elif kind == "datetime":
-            aggs += [F.min(col).alias(f"{c}|from"), F.max(col).alias(f"{c}|to")]
+        if kind == "datetime":
+            aggs += [
+                F.min(col).cast("string").alias(f"{c}|min_date"),
+                F.max(col).cast("string").alias(f"{c}|max_date"),
+                whole_days(F.min(col), F.max(col)).alias(f"{c}|range_days"),
+            ]
         elif kind == "boolean":
-            aggs.append(F.count_if(col).alias(f"{c}|true"))
-    # One row of aggregates; the quartile search starts from its counts.
-    moments = df.agg(*aggs)
-    row = moments.first()
-    one = df.sparkSession.createDataFrame([row], moments.schema)
-    known = {c: row[f"{c}|count"] for c in numbers}
-    quartiles = exact_quantiles(df, numbers, QUARTILES, known) if numbers else {}
-
-    def at(c: str, name: str) -> Column:
-        return F.col(f"`{c}|{name}`")
-
-    def number(c: str, name: str, kind: str) -> Column:
-        return at(c, name) if fields[c] == kind else F.lit(None).cast("double")
-
-    rows = []
-    for c, kind in fields.items():
-        q = quartiles.get(c, [None] * 3)
-        when = kind == "datetime"
-        none_s, none_l = F.lit(None).cast("string"), F.lit(None).cast("long")
-        true = at(c, "true") if kind == "boolean" else none_l
-        count = at(c, "count")
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                F.lit(kind).alias("kind"),
-                F.col("rows").alias("total_count"),
-                (F.col("rows") - count).alias("missing_count"),
-                share((F.col("rows") - count) * 100, F.col("rows")).alias("missing_pct"),
-                *[
-                    number(c, n, "numerical").alias(o)
-                    for n, o in [
-                        ("mean", "mean"), ("std", "std_dev"), ("min", "min"),
-                        ("max", "max"), ("skew", "skewness"), ("kurt", "kurtosis"),
-                    ]
-                ],
-                *[F.lit(q[i]).cast("double").alias(n) for i, n in enumerate(("q25", "median", "q75"))],
-                (at(c, "from").cast("string") if when else none_s).alias("min_date"),
-                (at(c, "to").cast("string") if when else none_s).alias("max_date"),
-                (whole_days(at(c, "from"), at(c, "to")) if when else none_l).alias("range_days"),
-                true.alias("true_count"),
-                (count - true if kind == "boolean" else none_l).alias("false_count"),
-                share(true * 100, count).alias("true_pct"),
-            )
-        )
-    wide = one.select(F.inline(F.array(*rows)))
-    joined = wide.join(_distinct_and_mode(df, list(fields)), "column", "left")
+            aggs.append(F.count_if(col).alias(f"{c}|true_count"))
+    row = df.agg(*aggs).first()
+    found = moments(df, numbers) if numbers else {}
+    counts = {c: m["count"] for c, m in found.items()}
+    quartiles = exact_quantiles(df, numbers, QUARTILES, counts) if numbers else {}
+
+    def line(c: str) -> dict:
+        n, total = row[f"{c}|count"], row["rows"]
+        out = {
+            "column": c,
+            "dtype": df.schema[c].dataType.simpleString(),
+            "kind": kinds[c],
+            "total_count": total,
+            "missing_count": total - n,
+            "missing_pct": (total - n) * 100 / total if total else None,
+        }
+        if kinds[c] == "numerical":
+            out |= {k: v for k, v in found.get(c, {}).items() if k not in ("i", "count")}
+            out |= dict(zip(("q25", "median", "q75"), quartiles[c]))
+        elif kinds[c] == "datetime":
+            out |= {k: row[f"{c}|{k}"] for k in ("min_date", "max_date", "range_days")}
+        elif kinds[c] == "boolean":
+            true = row[f"{c}|true_count"]
+            out |= {"true_count": true, "false_count": n - true}
+            out["true_pct"] = true * 100 / n if n else None
+        return out
+
+    names = [f.split()[0] for f in DESCRIPTION.split(", ")]
+    lines = [tuple(line(c).get(f) for f in names) for c in kinds]
+    stats = df.sparkSession.createDataFrame(lines, DESCRIPTION)
+    joined = stats.join(_distinct_and_mode(df, list(kinds)), "column", "left")
     text = F.col("kind") == "categorical"
+    zero = F.lit(0).cast("long")
     return joined.withColumns(
         {
-            "unique_count": F.coalesce("unique_count", F.lit(0).cast("long")),
+            "unique_count": F.coalesce("unique_count", zero),
             "top_value": F.when(text, F.col("top_value")),
-            "top_freq": F.when(text, F.coalesce("top_freq", F.lit(0).cast("long"))),
-            "top_pct": F.when(
-                text, share(F.coalesce("top_freq", F.lit(0)) * 100, F.col("total_count"))
-            ),
+            "top_freq": F.when(text, F.coalesce("top_freq", zero)),
+            "top_pct": F.when(text, share(F.coalesce("top_freq", zero) * 100, F.col("total_count"))),
         }
     )
 
@@ -246,7 +243,7 @@ def value_counts(
     order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Count and share per value; ``order`` gives a fixed domain of the one column."""
-    kept = df.na.drop(subset=list(columns)) if dropna else df
+    kept = drop_nulls(df, columns) if dropna else df
     total = kept.agg(_rows()).scalar()
     counts = kept.groupBy(*columns).agg(_rows().alias("n"))
     shared = counts.withColumn("share", F.col("n") / total)
@@ -336,7 +333,7 @@ def crosstab(
 
     ``normalize`` adds the percentage within each value of ``a``.
     """
-    kept = df.na.drop(subset=[a, b])
+    kept = drop_nulls(df, [a, b])
     if margins:
         cube = kept.cube(a, b).agg(
             _rows().alias("n"), F.grouping(a).alias("ga"), F.grouping(b).alias("gb")
@@ -361,7 +358,7 @@ def crosstab(
 
 def crosstab_wide(df: DataFrame, a: str, b: str, domain: Sequence[str]) -> DataFrame:
     """Wide cross table with one column per value of a bounded domain."""
-    wide = df.na.drop(subset=[a, b]).groupBy(a).pivot(b, list(domain)).agg(_rows())
+    wide = drop_nulls(df, [a, b]).groupBy(a).pivot(b, list(domain)).agg(_rows())
     return wide.na.fill(0)
 
 
@@ -375,7 +372,7 @@ def group_rate(df: DataFrame, group: Column, predicate: Column, name: str = "grp
 
 
 def top_k(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    counts = df.na.drop(subset=list(columns)).groupBy(*columns).agg(_rows().alias("n"))
+    counts = drop_nulls(df, columns).groupBy(*columns).agg(_rows().alias("n"))
     return counts.orderBy(F.desc("n"), *columns).limit(k)
 
 
@@ -423,7 +420,8 @@ def not_prefixed(df: DataFrame, column: str, prefix: str) -> DataFrame:
 
 def duplicates(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Surplus rows, repeated groups and rows in them, for whole rows or a key."""
-    groups = df.groupBy(*(key or df.columns)).agg(_rows().alias("n")).where("n > 1")
+    groups = df.groupBy(*(key or df.columns)).agg(_rows().alias("__n"))
+    groups = groups.select(F.col("__n").alias("n")).where("n > 1")
     zero = F.lit(0).cast("long")
     return groups.agg(
         F.coalesce(F.sum(F.col("n") - 1), zero).alias("duplicate_rows"),
@@ -434,7 +432,7 @@ def duplicates(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
 
 def duplicate_examples(df: DataFrame, key: Sequence[str], groups: int = 5) -> DataFrame:
     """All rows of the first repeated keys."""
-    repeated = df.groupBy(*key).agg(_rows().alias("n")).where("n > 1")
+    repeated = df.groupBy(*key).agg(_rows().alias("__n")).where("__n > 1")
     first = repeated.orderBy(*key).limit(groups)
     # A handful of keys by construction.
     same = reduce(lambda x, y: x & y, [df[k].eqNullSafe(first[k]) for k in key])
@@ -445,7 +443,7 @@ def mapping_conflicts(
     df: DataFrame, key: str, value: str, nulls: str = "ignore"
 ) -> DataFrame:
     """Keys with more than one value; ``nulls='value'`` counts NULL as a value."""
-    pairs = df.where(F.col(key).isNotNull()).groupBy(key, value).agg(F.lit(1).alias("x"))
+    pairs = df.where(F.col(key).isNotNull()).select(key, value).distinct()
     if nulls == "ignore":
         pairs = pairs.where(F.col(value).isNotNull())
     return pairs.groupBy(key).agg(_rows().alias("n_values")).where("n_values > 1")
@@ -520,9 +518,9 @@ def quality_score(
         F.count_if(o.isNotNull() & ~o.isin(list(valid))).alias("invalid"),
         F.max(F.col(date)).alias("newest"),
     )
-    keys = df.groupBy(*key).agg(_rows().alias("n")).agg(_rows()).scalar()
+    keys = df.select(*key).distinct().agg(_rows()).scalar()
     # Share of each outcome within its group, then the spread of each outcome.
-    cells = df.na.drop(subset=[group, outcome]).groupBy(group, outcome).agg(_rows().alias("n"))
+    cells = drop_nulls(df, [group, outcome]).groupBy(group, outcome).agg(_rows().alias("n"))
     totals = cells.groupBy(F.col(group).alias("__g")).agg(F.sum("n").alias("t"))
     shares = cells.join(totals, F.col(group) == F.col("__g")).withColumn("s", F.col("n") / F.col("t"))
     spread = shares.groupBy(outcome).agg(F.stddev_samp("s").alias("sd")).agg(F.avg("sd")).scalar()

@@ -32,15 +32,15 @@ def _known(df: DataFrame, fd: Pair) -> bool:
 
 
 def _mode_by_group(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
-    """``(x..., values, rows, mode)``: NULL counts as a value, but is never the mode.
+    """``(k0, k1, ..., n_values, ..., mode)`` per X: NULL counts as a value, never as the mode.
 
     Counting (X, Y) first keeps a hot X at one row per Y before the groups meet.
     """
-    whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in x])
-    keys = [F.col(f"`{c}`") for c in x]
-    pairs = df.where(whole).groupBy(*keys, F.col(f"`{y}`").alias("__y")).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
+    names = {f"k{i}": F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(x)}
+    keys = [F.col(k) for k in names]
+    plain = df.select(*names.values(), F.col(f"`{y}`").alias("__y"))
+    whole = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+    pairs = plain.where(whole).groupBy(*keys, "__y").agg(F.count(F.lit(1)).alias("__n"))
     present = F.col("__y").isNotNull()
     order = F.when(present, F.struct(-F.col("__n"), F.col("__y")))
     return pairs.groupBy(*keys).agg(
@@ -109,10 +109,10 @@ def fd_violations(
             continue
         groups = _mode_by_group(df, x, y).where("n_values > 1")
         if detail is not None:
-            groups = groups.orderBy(*[F.col(f"`{c}`") for c in x]).limit(detail)
+            groups = groups.orderBy(*[f"k{i}" for i in range(len(x))]).limit(detail)
         part = groups.select(
             F.lit(f"{','.join(x)} {ARROW} {y}").alias("fd"),
-            F.array(*[F.col(f"`{c}`").cast("string") for c in x]).alias("x_value"),
+            F.array(*[F.col(f"k{i}").cast("string") for i in range(len(x))]).alias("x_value"),
             F.col("n_values"),
             F.col("present_rows").alias("n_rows"),
             F.col("mode").cast("string").alias("most_common_y"),
@@ -150,9 +150,9 @@ def repair_by_fd(
     def suggest(fd: Pair) -> DataFrame:
         x, y = fd
         groups = _mode_by_group(df, x, y).where(F.col("mode").isNotNull())
-        for c in x:
+        for i, c in enumerate(x):
             if c in exclusions:
-                groups = groups.where(~F.col(f"`{c}`").isin(list(exclusions[c])))
+                groups = groups.where(~F.col(f"k{i}").isin(list(exclusions[c])))
         return groups.where("n_present > 1 or n_values > n_present")
 
     maps = [(fd, suggest(fd)) for fd in usable]
@@ -173,7 +173,7 @@ def repair_from_report(df: DataFrame, violations: DataFrame) -> tuple[DataFrame,
                 fd,
                 rows.select(
                     *[
-                        F.col("x_value")[i].cast(df.schema[c].dataType).alias(c)
+                        F.col("x_value")[i].cast(df.schema[c].dataType).alias(f"k{i}")
                         for i, c in enumerate(x)
                     ],
                     F.col("most_common_y").cast(df.schema[y].dataType).alias("mode"),
@@ -197,7 +197,7 @@ def _apply(
     for i, ((x, y), suggested) in enumerate(maps):
         keys = [f"__k{j}" for j in range(len(x))]
         table = suggested.select(
-            *[F.col(f"`{c}`").alias(k) for c, k in zip(x, keys)], F.col("mode").alias("__v")
+            *[F.col(f"k{j}").alias(k) for j, k in enumerate(keys)], F.col("mode").alias("__v")
         )
         # A filled row carries NULL keys: it cannot match and is spread evenly.
         need = work.withColumns(
@@ -251,9 +251,9 @@ def repair_potential(
         groups = _mode_by_group(df, x, y).where(F.col("mode").isNotNull())
         groups = groups.where("n_present > 1 or n_values > n_present")
         skip = F.lit(False)
-        for c in x:
+        for i, c in enumerate(x):
             if c in exclusions:
-                skip = skip | F.col(f"`{c}`").isin(list(exclusions[c]))
+                skip = skip | F.col(f"k{i}").isin(list(exclusions[c]))
         part = groups.agg(F.count(F.lit(1)).alias("potential"), F.count_if(skip).alias("skipped"))
         part = part.select(F.lit(f"{','.join(x)} {ARROW} {y}").alias("fd"), "potential", "skipped")
         out = part if out is None else out.union(part)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
@@ -38,7 +39,13 @@ def project(
 
 
 def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop(how="any", subset=list(subset) if subset else None)
+    """Rows without NULL (and NaN) in the columns, as filters a scan can take over."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    out = df
+    for c in subset or df.columns:
+        col = F.col(f"`{c}`")
+        out = out.where(col.isNotNull() & ~F.isnan(col) if c in floats else col.isNotNull())
+    return out
 
 
 def fill_sentinel(

@@ -84,6 +84,8 @@ def frequent_itemsets(
     chosen = baskets.select("items")
     if prefixes is not None:
         chosen = chosen.select(F.filter("items", lambda i: _starts(i, prefixes)).alias("items"))
+    # Counting and the two mining passes read the baskets, not the table behind them.
+    chosen = chosen.persist()
     n = chosen.count()
     # A hair below the bound, so that rounding of min_support * n cannot lose an itemset.
     model = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9)).fit(chosen)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tablewright.functions.frames import scratch_path
 from tablewright.operators import clean, dependencies, fuzzy, inclusion, multivalue, profile, repair
 from tablewright.operators import rules as mining
-from tablewright.operators.rows import fill_sentinel, project, sample_n
+from tablewright.operators.rows import drop_nulls, fill_sentinel, project, sample_n
 from tablewright.sources.files import write_csv
 from tablewright.sources.tables import save_table
 
@@ -194,7 +194,7 @@ def mine_dependencies(
     important: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Exact dependencies of the complete rows, their roles, and inclusions."""
-    complete = project(df, columns).na.drop()
+    complete = drop_nulls(project(df, columns))
     fds = dependencies.discover_fds(complete, columns, max_lhs)
     filled = fill_sentinel(project(df, list(ind_columns or columns)))
     inds = inclusion.discover_inds(filled, min_conf=0.95)
@@ -218,7 +218,7 @@ def repair_by_afds(
     min_conf: float = 95.0,
 ) -> dict[str, DataFrame]:
     """Mine approximate dependencies, report their violations, repair by the selected ones."""
-    complete = project(df, columns).na.drop()
+    complete = drop_nulls(project(df, columns))
     afds = dependencies.discover_afds(complete, columns, max_lhs, threshold)
     afds = dependencies.filter_redundant(afds, max_lhs)
     accepted = repair.accepted_fds(afds, min_conf)
