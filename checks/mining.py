@@ -423,7 +423,7 @@ def itemset_sql(min_support: float) -> str:
 @query("a3_frequent_itemsets", f"""{itemset_sql(0.05)} select array_to_string(items, ',') as items, freq, n,
   freq::double / n as support from sets""")
 def a3(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS)
+    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
     return ar.frequent_itemsets(baskets, 0.05).withColumn("items", joined("items"))
 
 
@@ -442,7 +442,7 @@ def shown(rules):
 
 @query("a4_association_rules", f"{itemset_sql(0.05)}, {RULES} select * from rules where lift >= 1")
 def a4(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS)
+    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
     return shown(ar.association_rules(ar.frequent_itemsets(baskets, 0.05).persist(), "lift", 1.0))
 
 
@@ -450,7 +450,7 @@ def a4(spark, sf):
   and antecedents like 'o_orderstatus_%' and antecedents not like '%,%' and consequents not like '%,%'
   and consequents like 'o_orderpriority_%'""")
 def a5(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS)
+    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
     return shown(ar.rules_between(baskets, "o_orderstatus_", "o_orderpriority_", 0.02, "confidence", 0.1))
 
 
@@ -458,7 +458,7 @@ def a5(spark, sf):
   replace(antecedents, ',', ', '), replace(consequents, ',', ', '), support, confidence, lift) as rule, lift
   from rules where lift >= 1 order by lift desc, string_split(antecedents, ','), string_split(consequents, ',') limit 10""")
 def a6(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS)
+    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
     return ar.format_rules(ar.association_rules(ar.frequent_itemsets(baskets, 0.05).persist()), "lift", 10)
 
 
@@ -499,6 +499,6 @@ def a7_between(spark, sf):
   select source, unnest(string_split(consequents, ',')) as target, lift from (
   select unnest(string_split(antecedents, ',')) as source, consequents, lift from rules where lift >= 1)) group by all""")
 def a8(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS)
+    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
     edges = ar.rule_edges(ar.association_rules(ar.frequent_itemsets(baskets, 0.05).persist()))
     return edges.withColumn("weight", F.round("weight", 9))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +31,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True if the rows of ``df``, written as JSON, stay below ``max_bytes``.
+    """True if the rows of ``df``, as text, stay below ``max_bytes``.
 
     One aggregate over ``df``; keep ``df`` cheap or persisted.
     """
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    size = df.agg(F.sum(width).alias("b")).first()["b"] or 0
-    return size <= max_bytes
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint if the measured size allows it; else the plain (persisted) frame."""
-    df = df.persist()
-    return F.broadcast(df) if is_small(df, max_bytes) else df
+    widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
+    row = reduce(lambda a, b: a + b, widths) + 8 * len(widths)
+    return (df.agg(F.sum(row).alias("b")).first()["b"] or 0) <= max_bytes
 
 
 def lookup(

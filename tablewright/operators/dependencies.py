@@ -29,9 +29,12 @@ def discover_fds(
     """
     cols = list(columns or df.columns)
     top = min(max_lhs or len(cols) - 1, len(cols) - 1)
-    counts = class_counts(df, [(c,) for c in cols])
-    rows = df.count()
+    counts, rows = class_counts(df, [(c,) for c in cols])
     lhs_of: dict[str, list[frozenset]] = {c: [] for c in cols}
+    if not counts:
+        # No rows: every dependency holds, the minimal ones have one attribute.
+        out = [([x], a) for a in cols for x in cols if x != a]
+        return df.sparkSession.createDataFrame(out, FD_SCHEMA)
     keys = [s for s, k in counts.items() if k == rows]
     for size in range(2, top + 2):
         sets = [frozenset(s) for s in combinations(cols, size)]
@@ -45,7 +48,7 @@ def discover_fds(
                 counts[s] = counts[s - {implied[0]}]
             else:
                 unknown.append(s)
-        counts |= class_counts(df, [tuple(sorted(s, key=cols.index)) for s in unknown])
+        counts |= class_counts(df, [tuple(sorted(s, key=cols.index)) for s in unknown])[0]
         new = []
         for s in sets:
             for a in s:
@@ -64,13 +67,13 @@ def discover_keys(
 ) -> DataFrame:
     """Minimal attribute sets without two equal rows, as ``(attributes)``."""
     cols = list(columns or df.columns)
-    rows = df.count()
     keys: list[frozenset] = []
     for size in range(1, (max_size or len(cols)) + 1):
         sets = [s for s in combinations(cols, size) if _minimal(keys, frozenset(s))]
         if not sets:
             break
-        keys += [s for s, k in class_counts(df, sets).items() if k == rows]
+        counts, rows = class_counts(df, sets)
+        keys += [s for s, k in counts.items() if k == rows]
     out = [(sorted(k, key=cols.index),) for k in keys]
     return df.sparkSession.createDataFrame(out, "attributes array<string>")
 

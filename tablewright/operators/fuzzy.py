@@ -261,10 +261,13 @@ def char_tfidf(
 def tfidf_model(
     values: DataFrame, column: str, n: tuple[int, int] = (2, 3), min_df: int = 2
 ) -> tuple[PipelineModel, DataFrame]:
-    """The same weights as vectors: fitted stages and the frame with ``features``."""
+    """The same weights as vectors: fitted stages and the frame with ``features``.
+
+    The vocabulary goes to the driver: no more than the alphabet allows, uncut.
+    """
     grams = values.withColumn("__grams", _grams(F.col(column), n))
     counting = CountVectorizer(
-        inputCol="__grams", outputCol="__tf", minDF=float(min_df), vocabSize=1 << 22
+        inputCol="__grams", outputCol="__tf", minDF=float(min_df), vocabSize=(1 << 31) - 1
     ).fit(grams)
     counted = counting.transform(grams)
     idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted)

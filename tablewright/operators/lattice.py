@@ -80,12 +80,15 @@ def partition_stats(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     return out
 
 
-def class_counts(df: DataFrame, sets: Sequence[AttributeSet]) -> dict[frozenset, int]:
-    """Number of classes per attribute set, on the driver (one number per set)."""
+def class_counts(
+    df: DataFrame, sets: Sequence[AttributeSet]
+) -> tuple[dict[frozenset, int], int]:
+    """Number of classes per attribute set, and the row count, on the driver."""
     if not sets:
-        return {}
-    rows = partition_stats(df, sets).select("attributes", "classes").collect()
-    return {frozenset(r["attributes"]): r["classes"] for r in rows}
+        return {}, 0
+    found = partition_stats(df, sets).select("attributes", "classes", "rows").collect()
+    rows = max((r["rows"] for r in found), default=0)
+    return {frozenset(r["attributes"]): r["classes"] for r in found}, rows
 
 
 def pair_groups(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:

@@ -80,12 +80,14 @@ def _starts(item: Column, prefixes: Sequence[str]) -> Column:
 def frequent_itemsets(
     baskets: DataFrame, min_support: float, prefixes: Sequence[str] | None = None
 ) -> DataFrame:
-    """``(items, freq, n, support)`` with support of at least ``min_support``, items sorted."""
+    """``(items, freq, n, support)`` with support of at least ``min_support``, items sorted.
+
+    The baskets are read three times (count, items, itemsets): persist them if they cost
+    more than a scan.  Equal baskets merge into prefix trees before the shuffle.
+    """
     chosen = baskets.select("items")
     if prefixes is not None:
         chosen = chosen.select(F.filter("items", lambda i: _starts(i, prefixes)).alias("items"))
-    # Counting and the two mining passes read the baskets, not the table behind them.
-    chosen = chosen.persist()
     n = chosen.count()
     # A hair below the bound, so that rounding of min_support * n cannot lose an itemset.
     model = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9)).fit(chosen)

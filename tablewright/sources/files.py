@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,12 @@ GEOCODE_SCHEMA = (
     "statefips string, countyfips string, tractcode string, blockcode string"
 )
 
+# Cells the usual data-frame readers take for missing.
+CSV_NULLS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 
 def _csv(spark: SparkSession, multiline: bool, encoding: str | None) -> DataFrameReader:
     reader = (
@@ -32,12 +38,13 @@ def read_table(
     overrides: Mapping[str, str] | None = None,
     encodings: Sequence[str] | None = None,
     multiline: bool = True,
+    null_tokens: Sequence[str] = CSV_NULLS,
 ) -> DataFrame:
     """CSV with a header row.
 
     With ``schema`` nothing is inferred, which is the way to read large inputs.
     ``overrides`` gives types for single columns, e.g. text for identifiers with
-    leading zeros.  ``multiline`` allows line breaks inside quotes, at the price that a
+    leading zeros.  Cells equal to one of ``null_tokens`` become NULL.  ``multiline`` allows line breaks inside quotes, at the price that a
     file is read by one task: write large inputs as many files, or turn it off when no
     cell holds a line break.
     """
@@ -48,21 +55,35 @@ def read_table(
         kinds = dict(overrides or {})
         schema = T.StructType(
             [
-                T.StructField(n, T._parse_datatype_string(kinds[n]) if n in kinds else f.dataType)
+                T.StructField(n, T.DataType.fromDDL(kinds[n]) if n in kinds else f.dataType)
                 for n, f in zip(names, inferred.fields)
             ]
         )
     elif overrides:
-        given = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        given = schema if isinstance(schema, T.StructType) else T.DataType.fromDDL(schema)
         schema = T.StructType(
             [
-                T.StructField(f.name, T._parse_datatype_string(overrides[f.name]))
+                T.StructField(f.name, T.DataType.fromDDL(overrides[f.name]))
                 if f.name in overrides
                 else f
                 for f in given.fields
             ]
         )
-    return _csv(spark, multiline, encoding).schema(schema).csv(path)
+    return _nulls(_csv(spark, multiline, encoding).schema(schema).csv(path), null_tokens)
+
+
+def _nulls(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
+    """Missing-value tokens and NaN to NULL, column by column."""
+
+    def fix(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType) and tokens:
+            return F.when(~c.isin(list(tokens)), c).alias(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            return F.when(~F.isnan(c), c).alias(f.name)
+        return c
+
+    return df.select(*[fix(f) for f in df.schema.fields])
 
 
 def pick_encoding(spark: SparkSession, path: str, encodings: Sequence[str]) -> str:

@@ -197,3 +197,9 @@ def test_sample_is_stable_under_partitioning(spark):
 def test_project_is_strict(spark):
     with pytest.raises(ValueError, match="nope"):
         rows.project(spark.range(1), keep=["id", "nope"])
+
+
+def test_missing_tokens_become_null(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('a,b,c\nNA,1.5,007\n"",NaN,None\nx,bad,008\n')
+    got = files.read_table(spark, str(tmp_path / "n.csv"), "a string, b double, c string")
+    assert [tuple(r) for r in got.collect()] == [(None, 1.5, "007"), (None, None, None), ("x", None, "008")]

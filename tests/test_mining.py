@@ -179,3 +179,22 @@ def test_support_bound_is_inclusive(spark):
 def test_edges(spark):
     df = spark.createDataFrame([(["a"], ["b"], 2.0), (["a", "c"], ["b"], 1.5)], "antecedents array<string>, consequents array<string>, lift double")
     assert {(r.source, r.target): r.weight for r in rules.rule_edges(df).collect()} == {("a", "b"): 3.5, ("c", "b"): 1.5}
+
+
+def test_tables_with_the_names_used_inside(spark):
+    """Columns called like the engine's own must not clash."""
+    rows = [(i, i // 2, i % 3, "v") for i in range(12)]
+    names = ["n", "set_id", "size", "mode"]
+    df = spark.createDataFrame(rows, "n int, set_id int, size int, mode string")
+    assert (("n",), "set_id") in named(dep.discover_fds(df, names))
+    assert dep.discover_afds(df, names, 2, 0.5).count() > 0
+    fixed, _ = repair.repair_by_fd(df, ["set_id → mode", "mode,size → n"])
+    assert fixed.count() == 12
+    assert inc.discover_inds(df, names, 0.1).count() > 0
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "a int, b int")
+    assert named(dep.discover_fds(df)) == {(("a",), "b"), (("b",), "a")}
+    assert inc.discover_inds(df).count() == 0
+    assert rules.frequent_itemsets(df.selectExpr("array('x') as items"), 0.5).count() == 0
