@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,22 @@ CODES = r"\b(\d+)\.(?=\s+[A-Z])"
 SEPARATORS = ("|", ".", "-", ":", ";")
 
 
+# White space around a part.
+BLANKS = " \t\n\r\v\f\u0085\u00a0"
+
+
+def _pieces(c: Column, sep: str) -> Column:
+    """Parts as they stand between separators (a plain split, no pattern search)."""
+    return F.split(c, re.escape(sep))
+
+
+def strip(c: Column) -> Column:
+    return F.trim(c, F.lit(BLANKS))
+
+
 def parts(c: Column, sep: str = "|") -> Column:
     """Trimmed, non-empty parts of a cell."""
-    cells = F.transform(F.split(c, f"\\Q{sep}\\E"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return F.filter(cells, lambda p: p != "")
+    return F.filter(F.transform(_pieces(c, sep), strip), lambda p: p != "")
 
 
 def _non_empty(df: DataFrame, column: str) -> DataFrame:
@@ -46,7 +59,7 @@ def profile_multivalue(
         ],
         F.size(p).alias("entries"),
         F.forall(p, lambda x: x.rlike(r"^\s*\d+\.")).alias("numbered"),
-        F.exists(F.split(c, f"\\Q{sep}\\E"), lambda x: x.contains("Comments:")).alias("commented"),
+        F.exists(_pieces(c, sep), lambda x: x.contains("Comments:")).alias("commented"),
     )
     named = ["pipe", "period", "hyphen", "colon", "semicolon"]
     return counted.agg(
@@ -106,8 +119,10 @@ def parse_multivalue(
     fields: Sequence[str] = ("violation_code", "category", "comment"),
 ) -> DataFrame:
     """One row per matching part; the first field is a number, the rest is text."""
-    each = df.select(*key, F.explode(parts(F.col(column), sep)).alias("__part"))
-    hit = each.where(F.col("__part").rlike(pattern))
+    # Exploded first: trimming and matching then run as compiled code, row by row.
+    each = df.select(*key, F.explode(_pieces(F.col(column), sep)).alias("__part"))
+    each = each.withColumn("__part", strip(F.col("__part")))
+    hit = each.where((F.col("__part") != "") & F.col("__part").rlike(pattern))
     got = [F.trim(F.regexp_extract("__part", pattern, i)) for i in range(1, len(fields) + 1)]
     got[0] = got[0].try_cast("bigint")
     return hit.select(*key, *[g.alias(f) for g, f in zip(got, fields)])
