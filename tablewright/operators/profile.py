@@ -142,8 +142,7 @@ def describe_columns(df: DataFrame) -> DataFrame:
 
 def whole_days(start: Column, end: Column) -> Column:
     """Full days between two points in time."""
-    seconds = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.floor(seconds / 86_400_000_000).cast("long")
+    return F.extract(F.lit("DAY"), end - start).cast("long")
 
 
 def describe_by_type(df: DataFrame) -> dict[str, DataFrame]:
