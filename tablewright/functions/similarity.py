@@ -161,7 +161,11 @@ def best_of(value: Column, canonical: list[str], scorers: list[str]) -> Column:
 # D = floor((1-c)(la+lb)) single-letter insertions and deletions.  Cut the shorter
 # text into D+1 pieces: one piece stays whole, and it moves by no more than the
 # deletions to the left and the insertions to the right.  An equi-join on
-# (la, lb, piece number, piece) therefore misses no pair.
+# (la, lb, piece number, piece) therefore misses no pair.  The number of keys grows with the
+# cube of the length, so pairs whose longer text exceeds LONG letters meet on shared q-grams
+# instead: the edits allowed cannot break all of them.
+
+LONG = 48
 
 
 def _budget(la: int, lb: int, c: float) -> int:
@@ -177,10 +181,16 @@ def _longest(la: int, c: float) -> int:
     return int(la * (2 - c) / c + 1e-9)
 
 
+def _gram_keys(text: str, c: float) -> set[str]:
+    q = 3 if c >= 0.88 else 2 if c >= 0.72 else 1
+    return {"g:" + text[i : i + q] for i in range(len(text) - q + 1)}
+
+
 def piece_keys(text: str, c: float) -> list[str]:
     """Keys of ``text`` as the shorter side of a pair."""
-    la, out = len(text), set()
-    for lb in range(la, _longest(la, c) + 1):
+    la = len(text)
+    out = _gram_keys(text, c) if _longest(la, c) > LONG else set()
+    for lb in range(la, min(_longest(la, c), LONG) + 1):
         d = _budget(la, lb, c)
         if d < lb - la:
             continue
@@ -192,6 +202,8 @@ def piece_keys(text: str, c: float) -> list[str]:
 def window_keys(text: str, c: float) -> list[str]:
     """Keys of ``text`` as the longer side of a pair."""
     lb, out = len(text), set()
+    if lb > LONG:
+        return list(_gram_keys(text, c))
     for la in range(1, lb + 1):
         d = _budget(la, lb, c)
         if lb > _longest(la, c) or d < lb - la:

@@ -56,7 +56,8 @@ def detect_typos(
     if threshold < 90:
         raise ValueError("threshold must be at least 90 for lossless blocking")
     cut = (threshold - 0.5) / 100
-    counts = token_counts(df, column, min_len)
+    # The vocabulary is read by every key family below.
+    counts = token_counts(df, column, min_len).persist()
     # The same order of letters the scorer sees: blanks for apostrophes, words sorted.
     plain = F.trim(F.regexp_replace("word", "'", " "))
     sorted_words = F.array_join(F.array_sort(F.split(plain, r"\s+")), " ")
@@ -70,21 +71,37 @@ def detect_typos(
     def keyed(side: DataFrame, key: Column) -> DataFrame:
         return side.select(side.columns[0], F.explode(key).alias("k")).distinct()
 
-    def inside(form: Column) -> Column:
-        """Every part of the text that is at most 2/3 and at least 1/8 of it."""
-        n = F.length(form)
-        short = F.greatest(F.ceil(n / 8), F.lit(min_len)).cast("int")
-        long = F.floor(n / 1.5).cast("int")
-        sizes = F.when(short <= long, F.sequence(short, long)).otherwise(F.array().cast("array<int>"))
+    # No longer than the longest common word, and no longer than LONG, is cut out of a
+    # word; what is longer meets on its first three letters.
+    longest_common = common.agg(F.max(F.length("form"))).first()[0] or 0
+    limit = F.lit(min(longest_common, sim.LONG))
+    none = F.array().cast("array<string>")
+
+    def cuts(form: Column, sizes: Column) -> Column:
         return F.flatten(
             F.transform(
                 sizes,
                 lambda s: F.transform(
-                    F.sequence(F.lit(1), n - s + 1), lambda at: F.substring(form, at, s)
+                    F.sequence(F.lit(1), F.length(form) - s + 1),
+                    lambda at: F.substring(form, at, s),
                 ),
             )
         )
 
+    def inside(form: Column, most: Column) -> Column:
+        """Every part of the text that is at most 2/3 and at least 1/8 of it."""
+        n = F.length(form)
+        short = F.greatest(F.ceil(n / 8), F.lit(min_len)).cast("int")
+        long = F.least(F.floor(n / 1.5), most).cast("int")
+        sizes = F.when(short <= long, F.sequence(short, long))
+        grams = F.when(n >= 1.5 * sim.LONG, F.array_distinct(cuts(form, F.array(F.lit(3)))))
+        marked = F.transform(grams, lambda g: F.concat(F.lit("g:"), g))
+        return F.concat(F.coalesce(cuts(form, sizes), none), F.coalesce(marked, none))
+
+    def whole(form: Column) -> Column:
+        start = F.concat(F.lit("g:"), F.substring(form, 1, 3))
+        return F.array(F.when(F.length(form) > sim.LONG, start).otherwise(form))
+
     def parts(form: Column) -> Column:
         return F.split(form, " ")
 
@@ -94,12 +111,11 @@ def detect_typos(
         return F.filter(parts(form), lambda w: F.length(w) == most)
 
     form = F.col("form")
-    whole = F.array(form)
     joins = [
         (sim.block_keys(form, cut, True), sim.block_keys(form, cut, False)),
         (sim.block_keys(form, cut, False), sim.block_keys(form, cut, True)),
-        (whole, inside(form)),
-        (inside(form), whole),
+        (whole(form), inside(form, F.lit(sim.LONG))),
+        (inside(form, limit), whole(form)),
         (longest(form), parts(form)),
         (parts(form), longest(form)),
     ]

@@ -32,6 +32,24 @@ def test_blocking_misses_no_pair(a, b, cutoff):
         assert set(sim.piece_keys(short, cutoff)) & set(sim.window_keys(long, cutoff))
 
 
+@pytest.mark.parametrize("cutoff", [0.895, 0.8, 0.6])
+def test_blocking_of_long_texts(cutoff):
+    rng = random.Random(17)
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30, 90)))
+        b = list(a)
+        for _ in range(rng.randrange(int((1 - cutoff) * 2 * len(a)) + 1)):
+            at = rng.randrange(len(b))
+            if rng.random() < 0.5 and len(b) > 20:
+                del b[at]
+            else:
+                b.insert(at, rng.choice("ijk"))
+        short, long = sorted((a, "".join(b)), key=len)
+        if 2 * naive_lcs(a, "".join(b)) / (len(a) + len(b)) >= cutoff:
+            assert set(sim.piece_keys(short, cutoff)) & set(sim.window_keys(long, cutoff))
+    assert len(sim.window_keys("x y" * 5000, cutoff)) < 20
+
+
 def test_scores():
     assert sim.ratio("CHICAGOO", "CHICAGO") == 93
     assert sim.ratio("", "x") == 0
@@ -91,6 +109,8 @@ def words(rng, n):
 def test_typos_equal_brute_force(spark):
     rng = random.Random(3)
     texts = [" ".join(words(rng, 4)) for _ in range(150)] + ["1234 12 abc", None]
+    blob = "".join(rng.choice("abcdefgh") for _ in range(60))
+    texts += [blob] * 10 + [blob[:30] + "q" + blob[30:], blob + blob[::-1], "store" * 300, "k" * 3000]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     counts = {r.word: r.n for r in fuzzy.token_counts(df, "t").collect()}
     common = sorted(w for w, n in counts.items() if n >= 10)
