@@ -56,11 +56,17 @@ def lookup(
         table = table.persist()
         if is_small(table):
             return facts.join(F.broadcast(table), list(keys), "left")
-    no_key = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     spread = F.when(no_key, F.spark_partition_id()).otherwise(-1)
-    right = table.withColumn("__spread", F.lit(-1))
-    left = facts.withColumn("__spread", spread)
-    return left.join(right, [*keys, "__spread"], "left").drop("__spread")
+    # One struct holds keys and spread: a constant column of its own would be taken out of
+    # the join keys, and with it the spreading.
+    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    left = facts.withColumn("__key", F.struct(*fields, spread.alias("spread")))
+    right = table.select(
+        F.struct(*fields, F.lit(-1).alias("spread")).alias("__key"),
+        *[F.col(f"`{c}`") for c in table.columns if c not in keys],
+    )
+    return left.join(right, "__key", "left").drop("__key")
 
 
 def map_values(

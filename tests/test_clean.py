@@ -138,6 +138,22 @@ def test_lookup_shuffle_path_equals_broadcast_path(spark):
     assert one_way == other and len(other) == 60
 
 
+def test_lookup_spreads_rows_without_a_key(spark):
+    """Rows that cannot match do not meet in one task of the shuffle join."""
+    facts = spark.range(0, 4000, 1, 16).selectExpr("id", "cast(null as int) as k")
+    table = spark.range(500).selectExpr("cast(id as int) as k", "id * 2 as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup(facts, table, ["k"], check_size=False)
+        assert "hashpartitioning(__key" in joined._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and len(sizes) > 3 and max(sizes) < 2500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_map_values_touches_changed_values_only(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "c string")
     out = map_values(df, "c", lambda v: v.withColumn("__new", F.when(F.col("__old") == "a", None).otherwise(F.col("__old"))))
