@@ -131,7 +131,7 @@ def test_typo_frame_and_dictionary_agree(spark):
 
 
 def test_lookup_shuffle_path_equals_broadcast_path(spark):
-    facts = spark.createDataFrame([(i, None if i % 3 == 0 else i % 4) for i in range(60)], "i int, k int")
+    facts = spark.createDataFrame([(i, None if i % 3 == 0 else i % 4) for i in range(60)], "i int, k long")
     table = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k int, v string")
     one_way = sorted(map(tuple, lookup(facts, table, ["k"]).select("i", "k", "v").collect()))
     other = sorted(map(tuple, lookup(facts, table, ["k"], check_size=False).select("i", "k", "v").collect()))
