@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, near_dups, sharding, token_counts
+from tablewright.llm import bpe, near_dups, pairwise, quality_rules, secrets, sharding, token_counts
 from tablewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": sharding.query,
     "op3_min_max_near_dups": near_dups.query,
     "op4_token_counts": op4,
+    "op5_adaptive_rules": quality_rules.query,
     "op8_prefix_bpe": op8,
+    "op9_trigram_secrets": secrets.query,
+    "op10_pairwise_quality": pairwise.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_adaptive_rules": quality_rules.ORACLE}
