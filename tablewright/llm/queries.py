@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, near_dups, pairwise, quality_rules, secrets, sharding, token_counts
+from tablewright.llm import bpe, edit_embedding, mixing, near_dups, pairwise, quality_rules, secrets, sharding, token_counts
 from tablewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_min_max_near_dups": near_dups.query,
     "op4_token_counts": op4,
     "op5_adaptive_rules": quality_rules.query,
+    "op6_edit_embedding": edit_embedding.query,
+    "op7_block_mix": mixing.query,
     "op8_prefix_bpe": op8,
     "op9_trigram_secrets": secrets.query,
     "op10_pairwise_quality": pairwise.query,
