@@ -147,6 +147,15 @@ def node_sets(rows_in: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return map_batches(texts, schema, run)
 
 
+def shared_items(sets: DataFrame) -> DataFrame:
+    """``(node, most)``: how many items of each node another one has too."""
+    once = sets.select("node", F.explode("items").alias("item")).groupBy("item")
+    once = once.agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    own = once.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("node", F.size("items").alias("size"))
+    return sizes.join(own, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs ``(a, b)`` whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -216,18 +225,23 @@ def links(rows_in: DataFrame, feats: DataFrame, width: int, percent: int, rounds
         return None
     owners = members.select("node", "at.id", "at.digest").distinct()
     sets = written(node_sets(rows_in, owners, width), "sets")
-    members = members.select("bucket", "node", "n")
+    # Shingles that no other node here has are in no intersection: the others bound it, for a
+    # node as a whole (it has no link at all) and for each pair.
+    members = members.select("bucket", "node", "n").join(shared_items(sets), "node")
+    members = written(members.where(100 * F.col("most") >= percent * F.col("n")), "members")
 
     found: DataFrame | None = None
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    both = F.least("most", "most2")
+    near = 100 * both >= percent * (F.col("n") + F.col("m") - both)
     for r in range(rounds):
         waiting = written(open_buckets(rooted(members, found)), "open") if r else members.withColumn("root", F.col("node"))
         if r and waiting.isEmpty():
             return found
-        order = F.xxhash64(F.lit(r), "node")
-        centres = waiting.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "root"), order).alias("c"))
+        # First the node that shares most of its shingles, then one by chance.
+        order = F.struct(F.lit(r) if r else -F.col("most") / F.col("n"), F.xxhash64(F.lit(r), "node"))
+        centres = waiting.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "most", "root"), order).alias("c"))
         votes = waiting.join(centres, "bucket").select(
-            "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.root").alias("other"), "root"
+            "node", "n", "most", "root", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.most").alias("most2"), F.col("c.root").alias("other")
         )
         # A member tests one centre a round: the one that shares most buckets with it.
         votes = votes.where((F.col("root") != F.col("other")) & near)
@@ -244,7 +258,7 @@ def links(rows_in: DataFrame, feats: DataFrame, width: int, percent: int, rounds
     parts = waiting.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
     rest = waiting.join(main, "bucket").where("root <> main")
-    other = waiting.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("apart"))
+    other = waiting.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("most").alias("most2"), F.col("root").alias("apart"))
     pairs = (
         rest.join(other, "bucket")
         .where((F.col("root") != F.col("apart")) & near)
