@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, edit_embedding, mixing, near_dups, pairwise, quality_rules, secrets, sharding, token_counts
+from tablewright.llm import bpe, edit_embedding, html_text, mixing, near_dups, pairwise, quality_rules, secrets, sharding, token_counts
 from tablewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": sharding.query,
+    "op2_text_density": html_text.query,
     "op3_min_max_near_dups": near_dups.query,
     "op4_token_counts": op4,
     "op5_adaptive_rules": quality_rules.query,

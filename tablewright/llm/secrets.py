@@ -215,10 +215,10 @@ def written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def mask_secrets(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+def mask_secrets(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, chars: str | None = None) -> DataFrame:
     """``df`` with each secret of ``text`` replaced by ``[kind]``; overlapping ones by the first's.
 
-    Every row stays; a null text stays null.
+    Every row stays; a null text stays null.  ``chars``, if given, is the length of masked texts.
     """
     (spans,) = fresh(df, "spans")
 
@@ -232,7 +232,11 @@ def mask_secrets(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULE
     masked = F.aggregate(col(spans), first, step, lambda s: F.concat(s["out"], F.substr(col(text), s["at"] + 1)))
     found = find_secrets(df, spans, text, rules)
     new = F.when(F.size(col(spans)) > 0, masked).otherwise(col(text))
-    return found.withColumn(text, new).select(*[col(c) for c in df.columns])
+    changed = {text: new}
+    if chars is not None:
+        length = F.when(F.size(col(spans)) > 0, F.length(masked)).otherwise(col(chars))
+        changed[chars] = length.cast(df.schema[chars].dataType)
+    return found.withColumns(changed).select(*[col(c) for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
