@@ -184,19 +184,19 @@ def _oracle() -> str:
         + [f"{RATIOS[r][0]} >= max(case when f.ratio = '{r}' then f.lo end)" for r in RATIOS if RATIOS[r][2]]
     )
     return rf"""
-    with d as (select doc_id, lang, source, coalesce(text, '') as x from documents),
-    w as (select doc_id, lang, source, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as ws,
+    with d as materialized (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as x from documents),
+    w as (select rid, doc_id, lang, source, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as ws,
         list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) as ls from d),
-    p as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as a from w),
-    g as (select doc_id, i, a || ' ' || lead(a, 1) over (partition by doc_id order by i)
-        || ' ' || lead(a, 2) over (partition by doc_id order by i) as gram from p),
-    c as (select doc_id, i, count(*) over (partition by doc_id, gram) as k from g where gram is not null),
-    r as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from c where k > 1) group by 1),
-    t as (select w.doc_id, lang, source, cast(len(ws) as bigint) as n_words,
+    p as (select rid, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as a from w),
+    g as (select rid, i, a || ' ' || lead(a, 1) over (partition by rid order by i)
+        || ' ' || lead(a, 2) over (partition by rid order by i) as gram from p),
+    c as (select rid, i, count(*) over (partition by rid, gram) as k from g where gram is not null),
+    r as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2]) as j from c where k > 1) group by 1),
+    t as (select w.rid, doc_id, lang, source, cast(len(ws) as bigint) as n_words,
         cast(coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0) as bigint) as word_chars,
         cast(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
         cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words,
-        cast(len(ls) as bigint) as n_lines from w left join r using (doc_id)),
+        cast(len(ls) as bigint) as n_lines from w left join r using (rid)),
     sk as (select lang, source, ratio, cast(case when v > 0 then floor(ln(v) / {math.log(GAMMA)!r}) else {ZERO} end as bigint) as bin,
         count(*) as n from ({bins}) group by all),
     f as (select o.lang, o.source, o.ratio, {pick("q1")} - {REACH} * greatest({pick("q3")} - {pick("q1")}, {least}) as lo,
@@ -207,7 +207,7 @@ def _oracle() -> str:
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         not base_failed and coalesce({inside}, false) as kept
     from b left join f on b.lang is not distinct from f.lang and b.source is not distinct from f.source
-    group by doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines"""
+    group by rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines"""
 
 
 ORACLE = _oracle()

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import col, fresh, global_rank, table, whole
+from tablewright.llm.common import col, global_rank, table, whole
 
 #: Cells of the grid, whose table is broadcast: at most about 2 MB.
 MAX_CELL_BITS = 16
@@ -77,8 +77,12 @@ def hilbert_shards(
     if not dims or cells > MAX_CELL_BITS:
         raise ValueError(f"dimensions times bits must lie between 1 and {MAX_CELL_BITS}")
     df = df.drop("shard", "slot")
-    bins = fresh(df, *[f"bin{i}" for i in range(len(dims))])
-    index, rank = fresh(df, "index", "rank")
+    names = {f"c{i}": c for i, c in enumerate(df.columns)}  # names that clash with none used here
+    short = {c: n for n, c in names.items()}
+    df = df.select(*[col(c).alias(n) for n, c in names.items()])
+    dims = [short[d] for d in dims]
+    by = [F.col(short[c]) for c in order] or [F.xxhash64(*df.columns)]
+    bins, index, rank = [f"bin{i}" for i in range(len(dims))], "curve_index", "curve_rank"
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = df.agg(
         *[F.percentile_approx(ordinal(df, d), share, accuracy).alias(b) for d, b in zip(dims, bins)]
@@ -101,7 +105,7 @@ def hilbert_shards(
         *bins, "cell_rows", (F.sum("cell_rows").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("cell_rows")).alias("first")
     )
     n_rows = df.count()
-    ranked = global_rank(binned, groups, bins, [col(c) for c in order], rank)
+    ranked = global_rank(binned, groups, bins, by, rank)
     # The first n_rows % shards shards get one row more.
     small, more = divmod(n_rows, shards)
     edge = more * (small + 1)
@@ -109,7 +113,9 @@ def hilbert_shards(
         more + F.floor((F.col(rank) - edge) / max(small, 1))
     )
     first = F.when(F.col(rank) < edge, shard * (small + 1)).otherwise(edge + (shard - more) * max(small, 1))
-    return ranked.withColumns({"shard": shard.cast("int"), "slot": (F.col(rank) - first).cast("long")}).drop(rank, *bins)
+    return ranked.select(
+        *[F.col(n).alias(c) for n, c in names.items()], shard.cast("int").alias("shard"), (F.col(rank) - first).cast("long").alias("slot")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
