@@ -108,9 +108,9 @@ def w3(spark, sf):
     return reduce(DataFrame.union, counts)
 
 
-@query("w4_mine_dependencies", f"{fd_sql(2)} select * from minimal")
+@query("w4_mine_dependencies", f"{fd_sql()} select * from minimal")
 def w4(spark, sf):
-    out = jobs.mine_dependencies(table(spark, sf, "order_facts"), FACTS, max_lhs=2)
+    out = jobs.mine_dependencies(table(spark, sf, "order_facts"), FACTS)
     return out["fds"].select(F.array_join("lhs", ",").alias("lhs"), "rhs")
 
 

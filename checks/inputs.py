@@ -34,7 +34,7 @@ DERIVED = {
     # Orders with customer and nation: many dependencies, no missing values.
     "order_facts": (
         """o_orderkey, o_custkey, o_orderstatus, o_orderpriority, c_mktsegment, n_name,
-        n_regionkey""",
+        n_regionkey, o_orderdate""",
         """orders join customer on o_custkey = c_custkey
         join nation on c_nationkey = n_nationkey""",
     ),

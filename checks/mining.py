@@ -57,8 +57,8 @@ def candidates(top: int, cols=FACTS) -> str:
 SUBSET = "list_has_all(string_split(f.lhs, ','), string_split(g.lhs, ',')) and len(g.lhs) < len(f.lhs)"
 
 
-def fd_sql(top: int) -> str:
-    return f"""{cte('order_facts')}, {class_table(top + 1)}, {candidates(top)},
+def fd_sql(top: int = len(FACTS) - 1, cols=FACTS) -> str:
+    return f"""{cte('order_facts')}, {class_table(top + 1, cols)}, {candidates(top, cols)},
     fds as (select lhs, rhs from cand join cls a on a.attrs = lhs join cls b on b.attrs = both_attrs where a.k = b.k),
     minimal as (select f.* from fds f where not exists (select 1 from fds g where g.rhs = f.rhs and {SUBSET}))"""
 
@@ -72,16 +72,20 @@ def d1(spark, sf):
     return lattice.partition_stats(facts(spark, sf), SETS).withColumn("attributes", joined("attributes"))
 
 
-@query("d2_discover_fds", f"{fd_sql(2)} select * from minimal")
+# Eight columns and no bound on the left side.
+EIGHT = [*FACTS, "o_orderdate"]
+
+
+@query("d2_discover_fds", f"{fd_sql(7, EIGHT)} select * from minimal")
 def d2(spark, sf):
-    return dep.discover_fds(facts(spark, sf), FACTS, max_lhs=2).withColumn("lhs", joined("lhs"))
+    return dep.discover_fds(facts(spark, sf), EIGHT).withColumn("lhs", joined("lhs"))
 
 
-@query("d3_discover_keys", f"""{cte('order_facts')}, {class_table(3)},
+@query("d3_discover_keys", f"""{cte('order_facts')}, {class_table(len(FACTS))},
   keys as (select attrs as lhs from cls where k = (select count(*) from order_facts))
   select lhs as attributes from keys f where not exists (select 1 from keys g where {SUBSET})""")
 def d3(spark, sf):
-    return dep.discover_keys(facts(spark, sf), FACTS, max_size=3).withColumn("attributes", joined("attributes"))
+    return dep.discover_keys(facts(spark, sf), FACTS).withColumn("attributes", joined("attributes"))
 
 
 NULLY = ["c_custkey", "c_nationkey", "c_mktsegment", "n_name", "r_name"]
@@ -113,10 +117,10 @@ def d5(spark, sf):
     return dep.minimal_fds(some).withColumn("lhs", joined("lhs"))
 
 
-@query("d6_discover_minimal_fds", f"""{cte('cust_nation')}, fds as ({single_rhs(1)} union all {single_rhs(2)})
+@query("d6_discover_minimal_fds", f"""{cte('cust_nation')}, fds as ({' union all '.join(map(single_rhs, range(1, 5)))})
   select f.* from fds f where not exists (select 1 from fds g where g.rhs = f.rhs and {SUBSET})""")
 def d6(spark, sf):
-    return dep.discover_minimal_fds(table(spark, sf, "cust_nation"), 2, NULLY).withColumn("lhs", joined("lhs"))
+    return dep.discover_minimal_fds(table(spark, sf, "cust_nation"), 4, NULLY).withColumn("lhs", joined("lhs"))
 
 
 @query("d7_g3_score", f"""{cte('cust_nation')} select 'c_nationkey' as lhs, 'n_name' as rhs,
@@ -272,23 +276,23 @@ def d13(spark, sf):
     return fixed
 
 
-@query("d14_attribute_involvement", f"""{fd_sql(2)} select attribute, count(*) as n from (select unnest(string_split(lhs, ',')) as attribute
+@query("d14_attribute_involvement", f"""{fd_sql()} select attribute, count(*) as n from (select unnest(string_split(lhs, ',')) as attribute
   from minimal union all select rhs from minimal) group by 1 order by 2 desc, 1 limit 5""")
 def d14(spark, sf):
-    return dep.attribute_involvement(dep.discover_fds(facts(spark, sf), FACTS, 2))
+    return dep.attribute_involvement(dep.discover_fds(facts(spark, sf), FACTS))
 
 
-@query("d14_attribute_roles", f"""{fd_sql(2)} select 'n_name' as attribute, 'determines' as role, lhs, rhs from minimal
+@query("d14_attribute_roles", f"""{fd_sql()} select 'n_name' as attribute, 'determines' as role, lhs, rhs from minimal
   where list_contains(string_split(lhs, ','), 'n_name') union all select 'n_name', 'determined', lhs, rhs from minimal where rhs = 'n_name'""")
 def d14_roles(spark, sf):
-    fds = dep.discover_fds(facts(spark, sf), FACTS, 2)
+    fds = dep.discover_fds(facts(spark, sf), FACTS)
     return dep.attribute_roles(fds, ["n_name"]).withColumn("lhs", joined("lhs"))
 
 
-@query("d15_fd_edges", f"""{fd_sql(2)} select distinct unnest(string_split(lhs, ',')) as source, replace(lhs, ',', ' + ') as target,
+@query("d15_fd_edges", f"""{fd_sql()} select distinct unnest(string_split(lhs, ',')) as source, replace(lhs, ',', ' + ') as target,
   0.5::double as weight from minimal where contains(lhs, ',') union all select replace(lhs, ',', ' + '), rhs, 1.0 from minimal""")
 def d15(spark, sf):
-    return dep.fd_edges(dep.discover_fds(facts(spark, sf), FACTS, 2))
+    return dep.fd_edges(dep.discover_fds(facts(spark, sf), FACTS))
 
 
 # --- inclusion --------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -14,12 +15,15 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else one made here."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    known = spark.sparkContext.getCheckpointDir()
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose tasks run in the driver, gets a temporary one; on a
+    cluster that would be the driver's alone, so it is an error.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="tablewright-")
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -77,13 +81,19 @@ def map_values(
     ``make`` gets the frame ``(__old)`` of distinct values and returns
     ``(__old, __new)``.  Only changed values are joined back.
     """
-    values = df.select(F.col(column).alias("__old")).where("__old is not null").distinct()
+    whole = F.col(quoted(column))
+    values = df.select(whole.alias("__old")).where("__old is not null").distinct()
     changed = make(values).select("__old", "__new").where("not (__new <=> __old)")
     changed = changed.withColumn("__hit", F.lit(True))
-    joined = lookup(df.withColumn("__old", F.col(column)), changed, ["__old"])
+    joined = lookup(df.withColumn("__old", whole), changed, ["__old"])
     return joined.withColumn(
-        column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column))
-    ).select(*df.columns)
+        column, F.when(F.col("__hit"), F.col("__new")).otherwise(whole)
+    ).select(*map(quoted, df.columns))
+
+
+def quoted(name: str) -> str:
+    """A column name as it stands, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def unpivot_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -133,13 +133,13 @@ def fill_by_lookup(
     table_value: str,
     order_by: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Fill NULL ``target`` from ``table``; of several entries the first by ``order_by``.
+    """Fill NULL ``target`` from ``table``; of several entries with a value the first by ``order_by``.
 
     Only rows that need a value carry a join key, so filled rows never meet in one task.
     """
     order = list(order_by or [F.col(table_value)])
     first = first_by_key(
-        table.where(F.col(table_key).isNotNull()),
+        table.where(F.col(table_key).isNotNull() & F.col(table_value).isNotNull()),
         [table_key],
         order,
         [table_key, table_value],

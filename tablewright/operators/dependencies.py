@@ -17,63 +17,75 @@ def _minimal(found: list[frozenset], candidate: frozenset) -> bool:
     return not any(f <= candidate for f in found)
 
 
+def _free_sets(
+    df: DataFrame, cols: Sequence[str], top: int
+) -> tuple[dict[str, list[frozenset]], list[frozenset], int]:
+    """Minimal left sides per attribute, minimal keys, and the number of rows.
+
+    Level by level: X -> A holds iff X and X+A split the rows into equally many classes.  Only
+    sets that no known key or dependency reduces to a smaller one are counted, and only they
+    are led on to the next level.  The driver keeps one number per counted set; the rows stay
+    in Spark, one aggregate per level (in batches of sets).
+    """
+    lhs_of: dict[str, list[frozenset]] = {c: [] for c in cols}
+    counts, rows = class_counts(df, [(c,) for c in cols])
+    if not counts:
+        return lhs_of, [], 0
+    keys = [s for s, n in counts.items() if n == rows]
+
+    def known(s: frozenset) -> int | None:
+        while s not in counts:
+            if any(k <= s for k in keys):
+                return rows
+            implied = next((a for a in s if not _minimal(lhs_of[a], s - {a})), None)
+            if implied is None:
+                return None
+            s = s - {implied}
+        return counts[s]
+
+    level = list(counts)
+    for _ in range(top):
+        tried = [(x, a) for x in level for a in cols if a not in x and _minimal(lhs_of[a], x)]
+        unknown = [s for s in dict.fromkeys(x | {a} for x, a in tried) if known(s) is None]
+        counts |= class_counts(df, [tuple(sorted(s, key=cols.index)) for s in unknown])[0]
+        new = [(x, a) for x, a in tried if known(x) == known(x | {a})]
+        for x, a in new:
+            lhs_of[a].append(x)
+        keys += [s for s in unknown if counts[s] == rows]
+        level = [s for s in unknown if all(_minimal(lhs_of[a], s - {a}) for a in s)]
+        if not level:
+            break
+    return lhs_of, keys, rows
+
+
 def discover_fds(
     df: DataFrame, columns: Sequence[str] | None = None, max_lhs: int | None = None
 ) -> DataFrame:
     """All minimal exact dependencies ``(lhs, rhs)`` with a non-empty left side.
 
-    Level by level: X -> A holds iff X and X+A split the rows into equally many classes.
-    A set that contains a key, or both sides of a known dependency, has a known count
-    and is not counted again.  The driver keeps one number per set; the rows stay in
-    Spark, one aggregate per level (in batches of sets).
+    On an empty table every dependency holds; the minimal ones have one attribute.
     """
     cols = list(columns or df.columns)
-    top = min(max_lhs or len(cols) - 1, len(cols) - 1)
-    counts, rows = class_counts(df, [(c,) for c in cols])
-    lhs_of: dict[str, list[frozenset]] = {c: [] for c in cols}
-    if not counts:
-        # No rows: every dependency holds, the minimal ones have one attribute.
+    lhs_of, _, rows = _free_sets(df, cols, min(max_lhs or len(cols) - 1, len(cols) - 1))
+    if not rows:
         out = [([x], a) for a in cols for x in cols if x != a]
-        return df.sparkSession.createDataFrame(out, FD_SCHEMA)
-    keys = [s for s, k in counts.items() if k == rows]
-    for size in range(2, top + 2):
-        sets = [frozenset(s) for s in combinations(cols, size)]
-        unknown = []
-        for s in sets:
-            if any(k <= s for k in keys):
-                counts[s] = rows
-                continue
-            implied = [a for a in s if not _minimal(lhs_of[a], s - {a})]
-            if implied:
-                counts[s] = counts[s - {implied[0]}]
-            else:
-                unknown.append(s)
-        counts |= class_counts(df, [tuple(sorted(s, key=cols.index)) for s in unknown])[0]
-        new = []
-        for s in sets:
-            for a in s:
-                x = s - {a}
-                if counts[x] == counts[s] and _minimal(lhs_of[a], x):
-                    new.append((a, x))
-        for a, x in new:
-            lhs_of[a].append(x)
-        keys += [s for s in unknown if counts[s] == rows]
-    out = [(sorted(x, key=cols.index), a) for a in cols for x in lhs_of[a]]
+    else:
+        out = [(sorted(x, key=cols.index), a) for a in cols for x in lhs_of[a]]
     return df.sparkSession.createDataFrame(out, FD_SCHEMA)
 
 
 def discover_keys(
     df: DataFrame, columns: Sequence[str] | None = None, max_size: int | None = None
 ) -> DataFrame:
-    """Minimal attribute sets without two equal rows, as ``(attributes)``."""
+    """Minimal attribute sets without two equal rows, as ``(attributes)``.
+
+    If even all attributes together are no key, nothing else is counted.
+    """
     cols = list(columns or df.columns)
+    whole, rows = class_counts(df, [tuple(cols)])
     keys: list[frozenset] = []
-    for size in range(1, (max_size or len(cols)) + 1):
-        sets = [s for s in combinations(cols, size) if _minimal(keys, frozenset(s))]
-        if not sets:
-            break
-        counts, rows = class_counts(df, sets)
-        keys += [s for s, k in counts.items() if k == rows]
+    if whole and whole[frozenset(cols)] == rows:
+        keys = _free_sets(df, cols, (max_size or len(cols)) - 1)[1]
     out = [(sorted(k, key=cols.index),) for k in keys]
     return df.sparkSession.createDataFrame(out, "attributes array<string>")
 

@@ -154,17 +154,17 @@ def correct_words(
             return F.when(w.contains("'"), w).otherwise(F.coalesce(hit, w))
 
         return df.withColumn(column, F.array_join(F.transform(tokens, fix), " "))
-    # The words of a text stay on its row; only the distinct words meet the dictionary.
-    each = df.select(
-        F.struct(*df.columns).alias("__row"), F.posexplode_outer(tokens).alias("__pos", "__w")
-    )
+    # Distinct texts are taken apart and put together again, so equal rows cannot merge.
     fixes = _table(df, mapping).where(~F.col("typo").contains("'"))
-    fixed = lookup(each.withColumnRenamed("__w", "typo"), fixes, ["typo"])
-    word = F.struct("__pos", F.coalesce("correction", "typo").alias("w"))
-    back = fixed.groupBy("__row").agg(F.array_sort(F.collect_list(word)).alias("__ws"))
-    joined = F.array_join(F.transform("__ws", lambda w: w["w"]), " ")
-    out = back.select("__row.*", F.when(F.col(f"__row.{column}").isNotNull(), joined).alias("__n"))
-    return out.withColumn(column, F.col("__n")).drop("__n")
+
+    def rebuilt(values: DataFrame) -> DataFrame:
+        words = F.posexplode_outer(text.words(F.col("__old"))).alias("__pos", "typo")
+        fixed = lookup(values.select("__old", words), fixes, ["typo"])
+        word = F.struct("__pos", F.coalesce("correction", "typo").alias("w"))
+        back = fixed.groupBy("__old").agg(F.array_sort(F.collect_list(word)).alias("__ws"))
+        return back.select("__old", F.array_join(F.transform("__ws", lambda w: w["w"]), " ").alias("__new"))
+
+    return map_values(df, column, rebuilt)
 
 
 def apply_corrections(

@@ -21,6 +21,9 @@ def _typed_value(df: DataFrame, name: str) -> Column:
         whole = (d == F.floor(d)) & (F.abs(d) < 2.0**53)
         number = F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
         return F.concat(F.lit("n:"), number)
+    if isinstance(kind, T.DecimalType):
+        digits = c.cast("string")
+        return F.concat(F.lit("n:"), F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits))
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return F.concat(F.lit("n:"), (c.cast("long") if isinstance(kind, T.BooleanType) else c).cast("string"))
     if isinstance(kind, T.StringType):

@@ -75,7 +75,8 @@ def validate_fds(
     )
     if usable:
         # Attribute order in a dependency is free: match on the sorted left side.
-        stats = pair_stats(df, usable).select(
+        pairs = dict.fromkeys((tuple(sorted(x)), y) for x, y in usable)
+        stats = pair_stats(df, list(pairs)).select(
             F.array_sort("lhs").alias("__l"), "rhs", "bad_groups", "surplus_values"
         )
         listed = listed.withColumn("__l", F.array_sort("lhs")).join(stats, ["__l", "rhs"], "left")

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from tablewright.functions.frames import unpivot_strings
 from tablewright.operators.multivalue import CODES
 
+# Between column and value where items of several columns meet: in no column name.
+SEP = "\x1f"
 CODE_PREFIX = "Violation_"
 RULES_SCHEMA = (
     "antecedents array<string>, consequents array<string>, "
@@ -46,15 +48,19 @@ def build_baskets(
     max_categories: int = 20,
     pattern: str = CODES,
     keep: Sequence[str] = (),
+    sep: str = "_",
 ) -> DataFrame:
     """``(*keep, items)``: ``column_value`` items of frequent categories and code items.
 
+    Where one column name starts with another and ``sep``, only a ``sep`` that no name holds
+    (``SEP``) tells their items apart.
+
     Each row builds its own basket; a row without items keeps an empty one.
     """
     items: list[Column] = []
     for c, values in top_categories(df, columns, max_categories).items():
         v = F.col(f"`{c}`").cast("string")
-        items.append(F.when(v.isin(values), F.concat(F.lit(f"{c}_"), v)))
+        items.append(F.when(v.isin(values), F.concat(F.lit(f"{c}{sep}"), v)))
     basket = F.array_compact(F.array(*items)) if items else F.array().cast("array<string>")
     if text_column:
         codes = F.regexp_extract_all(F.col(text_column), F.lit(pattern), F.lit(1))
@@ -143,7 +149,7 @@ def rules_between(
     metric: str = "confidence",
     min_threshold: float = 0.5,
 ) -> DataFrame:
-    """Rules from items of one prefix to items of another."""
+    """Rules from items of one prefix to items of another; neither may start another's prefix."""
     both = [antecedent_prefix, consequent_prefix]
     rules = association_rules(
         frequent_itemsets(baskets, min_support, both).persist(), metric, min_threshold
@@ -172,20 +178,29 @@ def mine_rules(
     analysis: str | None = None,
 ) -> dict[str, DataFrame]:
     """The three standard analyses by name: codes, categories, category to codes."""
-    baskets = build_baskets(df, [c for c in columns if c != text_column], text_column).persist()
+    baskets = build_baskets(df, [c for c in columns if c != text_column], text_column, sep=SEP).persist()
     out: dict[str, DataFrame] = {}
     if analysis in (None, "violations") and text_column:
         found = frequent_itemsets(baskets, 0.1, [CODE_PREFIX]).persist()
         out["violations"] = association_rules(found, "lift", 1.0)
     if analysis in (None, "categories") and columns:
-        found = frequent_itemsets(baskets, 0.05, [f"{c}_" for c in columns]).persist()
+        found = frequent_itemsets(baskets, 0.05, [f"{c}{SEP}" for c in columns]).persist()
         out["categories"] = association_rules(found, "lift", 1.0)
     if analysis in (None, "category_violations") and text_column:
         for c in columns:
             out[f"{c}_to_violations"] = rules_between(
-                baskets, f"{c}_", CODE_PREFIX, 0.02, "confidence", 0.05
+                baskets, f"{c}{SEP}", CODE_PREFIX, 0.02, "confidence", 0.05
             )
-    return out
+    return {name: _named(rules) for name, rules in out.items()}
+
+
+def _named(rules: DataFrame) -> DataFrame:
+    """Items written ``column_value``."""
+    plain = {
+        side: F.transform(side, lambda i: F.replace(i, F.lit(SEP), F.lit("_")))
+        for side in ("antecedents", "consequents")
+    }
+    return rules.withColumns(plain)
 
 
 def rule_edges(rules: DataFrame, agg: str = "sum") -> DataFrame:

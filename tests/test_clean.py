@@ -219,3 +219,12 @@ def test_missing_tokens_become_null(spark, tmp_path):
     (tmp_path / "n.csv").write_text('a,b,c\nNA,1.5,007\n"",NaN,None\nx,bad,008\n')
     got = files.read_table(spark, str(tmp_path / "n.csv"), "a string, b double, c string")
     assert [tuple(r) for r in got.collect()] == [(None, 1.5, "007"), (None, None, None), ("x", None, "008")]
+
+
+def test_an_entry_without_a_value_does_not_hide_one_with(spark):
+    from tablewright.operators import clean
+
+    df = spark.createDataFrame([(1, None), (2, "WI")], "zip int, state string")
+    table = spark.createDataFrame([(1, None), (1, "IL")], "z int, s string")
+    out = clean.fill_by_lookup(df, "state", "zip", table, "z", "s")
+    assert {r["zip"]: r["state"] for r in out.collect()} == {1: "IL", 2: "WI"}

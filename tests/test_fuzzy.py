@@ -157,3 +157,22 @@ def test_cluster_corrections(spark):
     assert found.get("CHICAGOO", "CHICAGO") == "CHICAGO"
     lonely = spark.createDataFrame([("x",)], "c string")
     assert fuzzy.cluster_corrections(lonely, "c", CITIES).count() == 0
+
+
+def test_equal_rows_keep_their_own_corrected_words(spark):
+    from tablewright.operators import fuzzy
+
+    df = spark.createDataFrame([("red bolt",), ("red bolt",), (None,), ("",)], "`t.x` string")
+    fixes = spark.createDataFrame([("red", "crimson")], "typo string, correction string")
+    by_frame = fuzzy.correct_words(df.toDF("t"), "t", fixes).collect()
+    by_dict = fuzzy.correct_words(df.toDF("t"), "t", {"red": "crimson"}).collect()
+    assert sorted(map(str, by_frame)) == sorted(map(str, by_dict))
+    assert [r["t"] for r in by_frame].count("crimson bolt") == 2
+
+
+def test_a_dot_in_a_column_name(spark):
+    from tablewright.functions.frames import map_values
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "`t.x` string, n int")
+    out = map_values(df, "t.x", lambda v: v.selectExpr("__old", "upper(__old) as __new"))
+    assert sorted(r["t.x"] for r in out.collect()) == ["A", "B"] and out.columns == ["t.x", "n"]

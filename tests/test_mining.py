@@ -198,3 +198,68 @@ def test_empty_table(spark):
     assert named(dep.discover_fds(df)) == {(("a",), "b"), (("b",), "a")}
     assert inc.discover_inds(df).count() == 0
     assert rules.frequent_itemsets(df.selectExpr("array('x') as items"), 0.5).count() == 0
+
+
+def brute_fds(rows, cols):
+    from itertools import combinations
+
+    def holds(x, a):
+        seen = {}
+        return all(seen.setdefault(tuple(r[c] for c in x), r[a]) == r[a] for r in rows)
+
+    found = []
+    for size in range(1, len(cols)):
+        for x in combinations(cols, size):
+            for a in cols:
+                if a not in x and holds(x, a) and not any(set(y) < set(x) and b == a for y, b in found):
+                    found.append((x, a))
+    return sorted(found)
+
+
+def test_unbounded_fds_and_keys_against_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    from tablewright.operators import dependencies as dep
+
+    rnd, cols = random.Random(4), list("abcde")
+    for trial in range(6):
+        rows = [{c: rnd.randint(0, 1 + (i + trial) % 3) for i, c in enumerate(cols)} for _ in range(12)]
+        if trial % 2:
+            for r in rows:
+                r["e"], r["d"] = r["a"] * 10 + r["b"], 7
+        df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], cols)
+        got = sorted((tuple(r["lhs"]), r["rhs"]) for r in dep.discover_fds(df).collect())
+        assert got == brute_fds(rows, cols)
+        keys = []
+        for size in range(1, 6):
+            for s in combinations(cols, size):
+                if len({tuple(r[c] for c in s) for r in rows}) == len(rows) and not any(set(k) < set(s) for k in keys):
+                    keys.append(s)
+        assert sorted(tuple(r["attributes"]) for r in dep.discover_keys(df).collect()) == sorted(keys)
+
+
+def test_permuted_left_sides_give_one_report_row_each(spark):
+    from tablewright.operators import repair
+
+    df = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 1, 1)], "x int, w int, y int")
+    report = repair.validate_fds(df, [((("x", "w"), "y"), 90.0), ((("w", "x"), "y"), 90.0)]).collect()
+    assert len(report) == 2 and {r["violation_count"] for r in report} == {1}
+
+
+def test_columns_that_start_alike_are_families_of_their_own(spark):
+    from tablewright.operators import rules
+
+    rows = [("high", "a"), ("high", "a"), ("low", "b"), ("low", "b")]
+    df = spark.createDataFrame(rows, "risk string, risk_type string")
+    baskets = rules.build_baskets(df, ["risk", "risk_type"], sep=rules.SEP)
+    found = rules.rules_between(baskets, f"risk{rules.SEP}", f"risk_type{rules.SEP}", 0.1, "confidence", 0.1).collect()
+    assert {(r["antecedents"][0], r["consequents"][0]) for r in found} == {(f"risk{rules.SEP}high", f"risk_type{rules.SEP}a"), (f"risk{rules.SEP}low", f"risk_type{rules.SEP}b")}
+
+
+def test_decimal_and_integer_are_one_value(spark):
+    from tablewright.operators import inclusion
+
+    df = spark.sql("select cast(1.00 as decimal(9,2)) as d, 1 as i union all select cast(10.50 as decimal(9,2)), 1")
+    found = {(r["lhs"], r["rhs"]) for r in inclusion.discover_inds(df, min_conf=1.0).collect()}
+    assert found == {("i", "d")}
