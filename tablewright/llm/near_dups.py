@@ -7,8 +7,8 @@ in two sets with the probability of their similarity.  Bands of the signature ma
 Buckets are joined without forming all pairs of their members: texts with equal sets are one
 node; each node is first tested against the one bucket centre it shares most buckets with, in
 a few rounds with other centres, and links are closed into components.  What then is still
-apart in a common bucket is tested pair by pair, without the pairs inside the largest
-component of the bucket.  Every link is confirmed on the full sets.
+apart in a common bucket is tested pair by pair, but for the pairs inside the largest
+component of the bucket and those whose common items are too few.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from tablewright.llm.common import col, fresh, map_batches, table, whole, writte
 
 #: Chance of missing a pair just at the threshold.
 MISS = 1e-6
+#: Nodes that have a rare item, at most.
+RARE = 16
+#: Columns of a node and of its partner in a pair.
+PARTNER = {"node": "other", "n": "m", "most": "most2", "root": "other_root"}
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 IS_SPACE = np.zeros(256, bool)
@@ -254,18 +258,41 @@ def links(rows_in: DataFrame, feats: DataFrame, width: int, percent: int, rounds
     waiting = written(open_buckets(rooted(members, found)), "open")
     if waiting.isEmpty():
         return found
-    # Of each bucket, all but the largest component against all that is in another one.
-    parts = waiting.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    return written(found.union(confirm(apart_pairs(waiting, sets, percent), sets, percent)), "links")
+
+
+def apart_pairs(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that may be linked, of nodes with a common bucket.
+
+    Items that more than ``RARE`` of these nodes have are common, the others rare.  A pair with a
+    rare item in common is found by it, at most ``RARE`` nodes to an item.  Any other pair can only
+    share common items: few enough of them rule a node or a pair out, and of what is left all but
+    the largest component of a bucket meets what is in another one.
+    """
+    roots = waiting.select("node", "n", "root").distinct()
+    items = sets.join(roots, "node").select("node", F.explode("items").alias("item"))
+    rare = written(items.groupBy("item").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE), "rare")
+    held = written(items.join(rare, "item").select("node", "item", "k"), "held")
+    bound = roots.join(held.groupBy("node").agg(F.count(F.lit(1)).alias("few")), "node", "left")
+    bound = bound.select("node", (F.col("n") - F.coalesce("few", F.lit(0))).alias("most"))
+    able = waiting.drop("most").join(bound, "node").where(100 * F.col("most") >= percent * F.col("n"))
+
+    parts = able.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    rest = waiting.join(main, "bucket").where("root <> main")
-    other = waiting.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("most").alias("most2"), F.col("root").alias("apart"))
-    pairs = (
-        rest.join(other, "bucket")
-        .where((F.col("root") != F.col("apart")) & near)
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
+    rest = able.join(main, "bucket").where("root <> main")
+    other = able.select("bucket", *[F.col(c).alias(n) for c, n in PARTNER.items()])
+    both = F.least("most", "most2")
+    by_bucket = rest.join(other, "bucket").where(
+        (F.col("root") != F.col("other_root")) & (100 * both >= percent * (F.col("n") + F.col("m") - both))
+    )
+
+    left = held.where("k > 1").join(roots, "node")
+    right = left.select("item", *[F.col(c).alias(n) for c, n in PARTNER.items() if c != "most"])
+    by_item = left.join(right, "item").where(
+        (F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     )
-    return written(found.union(confirm(pairs, sets, percent)), "links")
+    pair = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+    return by_bucket.select(*pair).union(by_item.select(*pair)).distinct()
 
 
 def groups(df: DataFrame, text: str, key: str, width: int, percent: int, rows: int) -> tuple[DataFrame, DataFrame]:
