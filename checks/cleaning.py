@@ -30,17 +30,25 @@ def s2(spark, sf):
     files.write_csv(table(spark, sf, "documents").select("doc_id", "text"), path)
     return files.read_table(
         spark, path, "doc_id bigint, text string",
-        encodings=["utf-8", "latin1", "iso-8859-1", "cp1252"],
+        encodings=["utf-8", "latin1", "iso-8859-1", "cp1252"], multiline=True,
     )
 
 
+# The same texts in a single-byte encoding, which is not valid UTF-8.
+@query("s2_csv_latin1", "select doc_id, text from documents")
+def s2_latin1(spark, sf):
+    path = scratch_path(spark, "documents-latin1")
+    files.write_csv(table(spark, sf, "documents").select("doc_id", "text"), path, encoding="ISO-8859-1")
+    return files.read_table(spark, path, "doc_id bigint, text string", encodings=["utf-8", "latin1"], multiline=True)
+
+
 @query("s3_csv_sink", "select lang, source, count(*) as n, cast(sum(length(text)) as bigint) as letters "
        "from documents group by all")
 def s3(spark, sf):
     path = scratch_path(spark, "documents-csv")
     files.write_csv(table(spark, sf, "documents"), path)
     back = files.read_table(
-        spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint"
+        spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint", multiline=True
     )
     return back.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("letters")
@@ -304,8 +312,8 @@ def c14(spark, sf):
   count(*) as n from customer where c_custkey % 5 = 0 group by 1""")
 def c15(spark, sf):
     c = table(spark, sf, "cust_nation").select("c_custkey", "c_nationkey", "n_name")
-    even = table(spark, sf, "nation").where("n_nationkey % 2 = 0")
-    filled = clean.fill_by_lookup(c, "n_name", "c_nationkey", even, "n_nationkey", "n_name")
+    nation = table(spark, sf, "nation").withColumn("n_name", F.expr("case when n_nationkey % 2 = 0 then n_name end"))
+    filled = clean.fill_by_lookup(c, "n_name", "c_nationkey", nation, "n_nationkey", "n_name")
     return clean.fill_summary(clean.fill_audit(c, filled, "c_custkey", "n_name"))
 
 

@@ -25,12 +25,14 @@ def zips(spark, sf) -> DataFrame:
 
 
 def answers(spark, sf) -> DataFrame:
-    """Geocoder answers for every even customer."""
-    c = table(spark, sf, "customer").where("c_custkey % 2 = 0")
+    """Geocoder answers for every customer, a match for the even ones."""
+    c = table(spark, sf, "customer")
+    even = F.col("c_custkey") % 2 == 0
     line = F.concat(F.col("c_custkey"), F.lit(" Main ST, Chicago, IL, "), 60600 + F.col("c_nationkey"))
     return c.select(
         F.col("c_custkey").cast("string").alias("ID"), line.alias("input_address"),
-        F.lit("Match").alias("match_status"), F.concat(F.lit("-88."), "c_custkey", F.lit(",42.0")).alias("location"),
+        F.when(even, "Match").otherwise("No_Match").alias("match_status"),
+        F.when(even, F.concat(F.lit("-88."), "c_custkey", F.lit(",42.0"))).alias("location"),
     )
 
 

@@ -110,10 +110,15 @@ def p5(spark, sf):
 @query("p6_summary", """select 'count' as summary, count(l_quantity)::varchar as l_quantity,
   count(l_returnflag)::varchar as l_returnflag from lineitem
   union all select 'min', min(l_quantity)::varchar, min(l_returnflag) from lineitem
-  union all select 'max', max(l_quantity)::varchar, max(l_returnflag) from lineitem""")
+  union all select 'max', max(l_quantity)::varchar, max(l_returnflag) from lineitem
+  union all select s, round(v, 6)::varchar, null from (select unnest(['mean', 'stddev', '25%', '50%', '75%']) as s,
+    unnest([avg(l_quantity), stddev_samp(l_quantity), quantile_cont(l_quantity, 0.25), quantile_cont(l_quantity, 0.5),
+    quantile_cont(l_quantity, 0.75)]) as v from lineitem)""")
 def p6(spark, sf):
     out = profile.summary(table(spark, sf, "lineitem").select("l_quantity", "l_returnflag"))
-    return out.where("summary in ('count', 'min', 'max')")
+    rounded = F.round(F.col("l_quantity").cast("double"), 6).cast("string")
+    exact = F.col("summary").isin("count", "min", "max")
+    return out.withColumn("l_quantity", F.when(exact, F.col("l_quantity")).otherwise(rounded))
 
 
 @query("p7_value_counts", f"""{cte('orders_null')} select o_orderpriority, count(*) as n,

@@ -20,6 +20,10 @@ from tablewright.functions import text
 from tablewright.functions.frames import lookup, map_values
 
 
+# Starts of the clustering.
+STARTS = 10
+
+
 def _table(df: DataFrame, mapping: Mapping[str, str] | DataFrame) -> DataFrame:
     """A correction dictionary as a frame ``(typo, correction)``."""
     if isinstance(mapping, DataFrame):
@@ -174,11 +178,11 @@ def apply_corrections(
     level: str = "value",
 ) -> DataFrame:
     """Correct whole values, or word by word, through the distinct values."""
+    if level == "token":
+        return correct_words(df, column, mapping)
     table = _table(df, mapping)
 
     def make(values: DataFrame) -> DataFrame:
-        if level == "token":
-            return correct_words(values.withColumn("__new", F.col("__old")), "__new", mapping)
         return lookup(values.withColumn("typo", F.col("__old")), table, ["typo"]).select(
             "__old", F.coalesce("correction", "__old").alias("__new")
         )
@@ -298,7 +302,10 @@ def tfidf_model(
 def cluster_values(
     df: DataFrame, column: str, k: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """``(value, cluster)`` for the distinct values, by k-means on their TF-IDF vectors."""
+    """``(value, cluster)`` for the distinct values, by k-means on their TF-IDF vectors.
+
+    Of ``STARTS`` runs, each until it settles, the one of least cost counts.
+    """
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
     values = values.persist()
     n = values.count()
@@ -307,8 +314,11 @@ def cluster_values(
         # Nothing to tell values apart by: no clusters.
         return values.limit(0).withColumn("cluster", F.lit(0))
     _, vectors = tfidf_model(values, "value")
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).select("value", "cluster")
+    vectors = vectors.persist()
+    start = KMeans(k=k, maxIter=300, featuresCol="features", predictionCol="cluster")
+    models = [start.copy({start.seed: seed + i}).fit(vectors) for i in range(STARTS)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(vectors).select("value", "cluster")
 
 
 def cluster_corrections(
@@ -363,17 +373,20 @@ def compare_columns(
 ) -> DataFrame:
     """Adds ``similarity`` and ``relationship`` of two columns; ``b`` may be filled from ``a``.
 
-    Every row is scored where it lies: no shuffle.  Equal and missing pairs skip the
-    scorer.
+    The distinct pairs of different values are scored, once each, and joined back; equal and
+    missing pairs take no part.
     """
     was_missing = F.col(b).isNull()
     out = df.withColumn("missing_initial", was_missing)
     if fill_missing:
         out = out.withColumn(b, F.coalesce(F.col(b), F.col(a)))
     same = F.lower(F.col(a)) == F.lower(F.col(b))
-    left, right = F.when(~same, F.col(a)), F.when(~same, F.col(b))
-    scored = F.coalesce(sim.score("matcher", left, right), F.lit(0.0))
-    out = out.withColumn("similarity", F.when(same, F.lit(1.0)).otherwise(scored))
+    out = out.withColumns({"__a": F.when(~same, F.col(a)), "__b": F.when(~same, F.col(b))})
+    pairs = out.select("__a", "__b").where("__a is not null and __b is not null").distinct()
+    scored = pairs.withColumn("__s", sim.score("matcher", F.col("__a"), F.col("__b")))
+    out = lookup(out, scored, ["__a", "__b"])
+    similarity = F.when(same, F.lit(1.0)).otherwise(F.coalesce("__s", F.lit(0.0)))
+    out = out.withColumn("similarity", similarity).drop("__a", "__b", "__s")
     return out.withColumn("relationship", relationship(F.col("similarity"), threshold))
 
 

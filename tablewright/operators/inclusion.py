@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 # Columns per bit mask.
 MASK_BITS = 62
-GRAM = 3
+# Letters of a part that stands for a longer value.
+GRAM = 16
 
 
 def _typed_value(df: DataFrame, name: str) -> Column:
@@ -115,7 +116,8 @@ def _with_grams(values: DataFrame, sizes: Sequence[int]) -> DataFrame:
         grams = F.transform(at, lambda i: F.substring("v", i, k))
         return F.when(F.length("v") >= k, grams).otherwise(F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.flatten(F.array(*[of(k) for k in sizes])))
+    none = F.array().cast("array<string>")
+    grams = F.array_distinct(F.flatten(F.array(none, *[of(k) for k in sizes])))
     return values.withColumn("g", F.explode(grams))
 
 
@@ -127,9 +129,10 @@ def discover_substring_inds(
 ) -> DataFrame:
     """As ``discover_inds``; a value counts if it is part of any value of the other column.
 
-    Values equal to one of the other column are settled by an equi-join, values of up to
-    three letters by the distinct grams.  A longer one meets only the texts that
-    hold its rarest three-letter gram; a semi join stops at the first hit.
+    Values equal to one of the other column are settled by an equi-join.  Others of up to ``GRAM``
+    letters meet the distinct parts of just their lengths; a longer one meets the texts that hold
+    its rarest part of ``GRAM`` letters, and a semi join stops at the first hit.  Both are linear
+    in the length of all texts, and no short, hot gram is joined on.
     """
     cols = list(columns or df.columns)
     plain = _plain_value if normalize else (lambda d, c: F.col(f"`{c}`").cast("string"))
@@ -156,7 +159,9 @@ def discover_substring_inds(
         texts, (needles["d"] == texts["d"]) & (needles["v"] == texts["t"]), "left_anti"
     ).persist()
     short = left.where(F.length("v") <= GRAM)
-    small = _with_grams(texts.withColumnRenamed("t", "v"), range(1, GRAM + 1))
+    # At most GRAM numbers go to the driver.
+    lengths = short.where("v != ''").select(F.length("v").alias("k")).distinct().orderBy("k").collect()
+    small = _with_grams(texts.withColumnRenamed("t", "v"), [r["k"] for r in lengths])
     small = small.select("d", F.col("g").alias("v")).distinct()
     blank = short.where(F.length("v") == 0).join(
         texts.select("d").distinct(), "d", "left_semi"

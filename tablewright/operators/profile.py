@@ -231,8 +231,15 @@ def column_profile(df: DataFrame, samples: int = 2) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """Spark's generic summary; its percentiles are approximate."""
-    return df.summary()
+    """Spark's generic summary, with exact, interpolated quartiles for its percentiles."""
+    shown = df.summary("count", "mean", "stddev", "min", "max")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numbers = [c for c in shown.columns[1:] if isinstance(kinds[c], T.NumericType)]
+    quartiles = exact_quantiles(df, numbers, [0.25, 0.5, 0.75]) if numbers else {}
+    for i, name in enumerate(("25%", "50%", "75%")):
+        cells = [F.lit(quartiles[c][i] if c in quartiles else None).cast("string").alias(c) for c in shown.columns[1:]]
+        shown = shown.union(df.sparkSession.range(1).select(F.lit(name).alias("summary"), *cells))
+    return shown
 
 
 def value_counts(

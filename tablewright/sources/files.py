@@ -37,16 +37,16 @@ def read_table(
     schema: T.StructType | str | None = None,
     overrides: Mapping[str, str] | None = None,
     encodings: Sequence[str] | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
     null_tokens: Sequence[str] = CSV_NULLS,
 ) -> DataFrame:
     """CSV with a header row.
 
     With ``schema`` nothing is inferred, which is the way to read large inputs.
     ``overrides`` gives types for single columns, e.g. text for identifiers with
-    leading zeros.  Cells equal to one of ``null_tokens`` become NULL.  ``multiline`` allows line breaks inside quotes, at the price that a
-    file is read by one task: write large inputs as many files, or turn it off when no
-    cell holds a line break.
+    leading zeros.  Cells equal to one of ``null_tokens`` become NULL.  ``multiline`` allows
+    line breaks inside quotes, at the price that a file is read by one task: turn it on only
+    where cells hold line breaks, and write such inputs as many files.
     """
     encoding = pick_encoding(spark, path, encodings) if encodings else None
     if schema is None:
@@ -101,8 +101,10 @@ def pick_encoding(spark: SparkSession, path: str, encodings: Sequence[str]) -> s
     raise ValueError(f"none of {list(encodings)} can read {path}")
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(
+    df: DataFrame, path: str, mode: str = "errorifexists", encoding: str = "UTF-8"
+) -> None:
+    df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", encoding).csv(path)
 
 
 def read_geocode_results(spark: SparkSession, path: str) -> DataFrame:
