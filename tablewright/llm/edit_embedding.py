@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tablewright.llm.common import col, map_batches, table, whole
+from tablewright.llm.common import col, map_batches, table, whole, written
+from tablewright.llm.near_dups import open_buckets, rooted
 
 SLOTS = 256
 #: Steps after which the random bits of the walk repeat; characters that share their bits.
@@ -210,5 +211,69 @@ def with_edits(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return dealt.mapInArrow(run, schema)
 
 
+def band_bits(bands: int, bits: int) -> list[list[int]]:
+    """The bits of a fingerprint that each band samples."""
+    rng = np.random.RandomState(SEED + 2)
+    return [sorted(rng.choice(SLOTS, bits, replace=False).tolist()) for _ in range(bands)]
+
+
+def buckets(texts: DataFrame, bands: int, bits: int) -> DataFrame:
+    """``(node, n, bucket)`` of ``texts (node, text)``: one row per band of the fingerprint."""
+    sampled = band_bits(bands, bits)
+
+    def rows(batch):
+        for node, t in zip(batch["node"], batch["text"]):
+            all_bits = f"{int(Walk().take(t).fingerprint(), 16):0{SLOTS}b}"
+            yield node, len(t), [f"{i}:{''.join([all_bits[b] for b in band])}" for i, band in enumerate(sampled)]
+
+    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("n", T.LongType())])
+    schema = schema.add("keys", T.ArrayType(T.StringType()))
+    return map_batches(texts, schema, rows).select("node", "n", F.explode("keys").alias("bucket"))
+
+
+def near_texts(
+    df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = 20, bands: int = 48, bits: int = 14, rounds: int = 2
+) -> DataFrame:
+    """``(key, component_id)``: texts that chains of at most ``edits`` edits each connect.
+
+    Texts that agree in all bits of a band are candidates; the edit distance confirms each link.
+    In every bucket a centre is tested first, then what is still apart, so no pairs are formed
+    inside a group that is one already.  Fingerprints of texts a few edits apart may still differ
+    in every band: a share of links is missed, fewer with more bands of fewer bits.  Equal texts
+    are one node; null is empty; null keys are passed over by the minimum.
+    """
+    body = whole(col(text))
+    rows_in = df.select(col(key).alias("id"), F.sha2(body.cast("binary"), 256).alias("node"), body.alias("text"))
+    texts = rows_in.groupBy("node").agg(F.first("text").alias("text"))
+    members = written(buckets(texts, bands, bits), "bits").withColumn("root", F.col("node"))
+    members = open_buckets(members).select("bucket", "node", "n")
+    x, y = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        distance = F.levenshtein("x", "y", edits)  # -1 beyond the bound, found without the whole table
+        return pairs.join(x, "a").join(y, "b").where(distance >= 0).select("a", "b")
+
+    apart = (F.col("root") != F.col("other_root")) & (F.abs(F.col("n") - F.col("m")) <= edits)
+    partner = ["bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")]
+    pair = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+    found = None
+    for r in range(rounds + 1):
+        waiting = written(open_buckets(rooted(members, found)), "waiting")
+        if r < rounds:
+            order = F.struct(F.xxhash64(F.lit(r), "node"), "node")
+            left, right = waiting, waiting.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), order).alias("c"))
+            right = right.select("bucket", "c.*").select(*partner)
+        else:
+            parts = waiting.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+            main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+            left, right = waiting.join(main, "bucket").where("root <> main"), waiting.select(*partner)
+        new = confirmed(left.join(right, "bucket").where(apart).select(*pair).distinct())
+        found = written(new if found is None else found.union(new), "edit-links")
+    nodes = rooted(rows_in.select("node").distinct(), found)
+    named = rows_in.select("id", "node").join(nodes, "node")
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return named.join(least, "root").select(F.col("id").alias(key), "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))

@@ -235,6 +235,26 @@ def test_likeness_falls_with_edits():
     assert mean[0] == 1 and mean[0] > mean[1] > mean[2] > mean[3]
 
 
+def test_near_texts_by_edit_distance(spark, none):
+    import random
+
+    rnd, rows = random.Random(8), []
+    for g in range(12):
+        base = [rnd.choice("abcdefghij ") for _ in range(1500)]
+        for c in range(6):
+            text = base[:]
+            for _ in range(rnd.randint(0, 3) * 2):
+                text[rnd.randrange(1500)] = rnd.choice("xyz")
+            rows.append((g * 100 + c, "".join(text)))
+    rows += [(5000, rows[0][1]), (5001, None), (5002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in edit_embedding.near_texts(df, edits=12).collect()}
+    assert len(got) == len(rows) and got[5000] == 0 and got[5002] == 5001
+    found = sum(got[i] == i // 100 * 100 for i, _ in rows[:72])
+    assert found >= 70 and all(got[i] // 100 == i // 100 for i, _ in rows[:72])  # recall; no false link
+    assert edit_embedding.near_texts(none).count() == 0
+
+
 def test_targets_stop_at_twice_the_size():
     assert mixing.target_words([100, 10, 10, 0]) == [140.0, 20.0, 20.0, 0.0]
     assert mixing.target_words([]) == [] and mixing.target_words([0, 0]) == [0.0, 0.0]
