@@ -41,6 +41,8 @@ HEADLINE = (
     "t4_snap_to",
     "t8_char_tfidf",
     "t10_close_matches",
+    "t2_detect_typos",
+    "w1_clean",
 )
 
 

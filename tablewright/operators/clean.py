@@ -387,9 +387,11 @@ def clean_category_text(
     rules = TERM_RULES if terms is None else terms
 
     def make(values: DataFrame) -> DataFrame:
-        ready = values.withColumn("__new", before_typos(F.col("__old")))
-        fixed = correct_words(ready, "__new", typos)
-        return fixed.withColumn("__new", after_typos(F.col("__new"), fixes, rules))
+        ready = values.select(F.col("__old").alias("__raw"), before_typos(F.col("__old")).alias("__text"))
+        fixed = correct_words(ready, "__text", typos)
+        return fixed.select(
+            F.col("__raw").alias("__old"), after_typos(F.col("__text"), fixes, rules).alias("__new")
+        )
 
     out = output or column
     return map_values(df.withColumn(out, F.col(column)), out, make)

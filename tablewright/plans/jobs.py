@@ -109,7 +109,8 @@ def clean_inspections(
     df = clean.fill_from(df, "aka_name", "dba_name")
     df = df.withColumn("city", F.upper("city"))
     df = fuzzy.snap_to(df, "city", [o.dominant_city[0]])
-    df, _ = repair.repair_by_fd(df, o.repairs, o.key_exclusions)
+    # The repair reads its input once per rule: written first, no lookup or score is repeated.
+    df, _ = repair.repair_by_fd(stage(df, "filled"), o.repairs, o.key_exclusions)
     df = stage(df, "repaired")
     # Dictionary of the facility texts: known typos and the detected ones.
     typos = fuzzy.detect_typos(df, "facility_type", known=clean.KNOWN_TYPOS)
