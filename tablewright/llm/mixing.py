@@ -157,7 +157,8 @@ def takes(docs: DataFrame, draws: DataFrame, block: int, seed: int) -> DataFrame
     """``(no, start, lo, hi)``: each run of words, counted in its document, that a slot takes."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = docs.where("size > 0").select("no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    slots = slot_blocks(draws, block, seed).select("no", "block", "words")
+    # Made from few rows, the slots look small to the planner: never to be broadcast.
+    slots = slot_blocks(draws, block, seed).select("no", "block", "words").hint("merge")
     lo = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     hi = F.least(F.col("block") * block + F.col("words") - F.col("start"), F.col("size"))
     return pieces.join(slots, ["no", "block"]).select("no", "start", lo.alias("lo"), hi.alias("hi")).where("hi > lo")
