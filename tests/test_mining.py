@@ -200,7 +200,7 @@ def test_empty_table(spark):
     assert rules.frequent_itemsets(df.selectExpr("array('x') as items"), 0.5).count() == 0
 
 
-def brute_fds(rows, cols):
+def plain_fds(rows, cols):
     from itertools import combinations
 
     def holds(x, a):
@@ -230,7 +230,7 @@ def test_unbounded_fds_and_keys_against_brute_force(spark):
                 r["e"], r["d"] = r["a"] * 10 + r["b"], 7
         df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], cols)
         got = sorted((tuple(r["lhs"]), r["rhs"]) for r in dep.discover_fds(df).collect())
-        assert got == brute_fds(rows, cols)
+        assert got == plain_fds(rows, cols)
         keys = []
         for size in range(1, 6):
             for s in combinations(cols, size):
