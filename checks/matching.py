@@ -141,6 +141,42 @@ def t9(spark, sf):
     return fuzzy.cluster_values(table(spark, sf, "name_typos"), "typed_name")
 
 
+# Five groups of four values that share no letter with another group: whatever the numbers of the
+# clusters, their members are known, and so is what each is corrected to.
+GROUPS = "concat(repeat(substr('abcdefghij', {at}, 2), 8), {n})"
+GROUPED = f"""with g as (select distinct c_custkey % 5 as g, {GROUPS.format(at='cast(c_custkey % 5 * 2 + 1 as int)',
+  n='(c_custkey % 20 - c_custkey % 5) // 5')} as value from customer)"""
+
+
+def grouped(spark, sf):
+    text = GROUPS.format(at="cast(c_custkey % 5 * 2 + 1 as int)", n="(c_custkey % 20 - c_custkey % 5) div 5")
+    return table(spark, sf, "customer").select(F.expr(text).alias("value"))
+
+
+@query("t9_cluster_groups", f"{GROUPED} select value, min(value) over (partition by g) as first_member from g")
+def t9_groups(spark, sf):
+    found = fuzzy.cluster_values(grouped(spark, sf), "value", k=5)
+    least = found.groupBy("cluster").agg(F.min("value").alias("first_member"))
+    return found.join(least, "cluster").select("value", "first_member")
+
+
+@query("t6_cluster_corrections_groups", f"""{GROUPED} select a.value as typo, b.value as correction
+  from g a join g b using (g) where b.value like '%0' and a.value != b.value""")
+def t6_groups(spark, sf):
+    valid = [letters * 8 + "0" for letters in ("ab", "cd", "ef", "gh", "ij")]
+    return fuzzy.cluster_corrections(grouped(spark, sf), "value", valid, k=5)
+
+
+# Digests are far apart; with one letter dropped, 31 of 32 + 31 letters are matched twice.
+@query("t10_close_matches_planted", """with v as (select md5(c_custkey::varchar) as a from customer),
+  p as (select a, concat(substr(a, 1, 4), substr(a, 6)) as b from v)
+  select a as value, b as "match", 62 / 63.0::double as ratio, 1::integer as rank from p union all select b, a, 62 / 63.0::double, 1 from p""")
+def t10_planted(spark, sf):
+    whole = table(spark, sf, "customer").select(F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("v"))
+    dropped = whole.select(F.concat(F.substring("v", 1, 4), F.substring("v", 6, 40)).alias("v"))
+    return fuzzy.close_matches(whole.union(dropped), "v", cutoff=0.95)
+
+
 @query("t10_close_matches")
 def t10(spark, sf):
     return fuzzy.close_matches(table(spark, sf, "name_typos"), "typed_name")
