@@ -33,4 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_trigram_secrets": secrets.query,
     "op10_pairwise_quality": pairwise.query,
 }
-ORACLES: dict[str, str] = {"op5_adaptive_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_adaptive_rules": quality_rules.ORACLE,
+    "op9_trigram_secrets": secrets.ORACLE,
+}

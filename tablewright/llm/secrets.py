@@ -249,3 +249,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written_out(base).cast("binary"), 256).alias("base_sha256"),
         written_out(F.col("spans")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    parts = []
+    for n, r in enumerate(RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""select rid, {n} as n, '{r.kind}' as kind, s, s + length(f[i]) as e from (select rid, f, i, inner_,
+            list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) as s
+            from (select rid, f, unnest(range(1, len(f) + 1)) as i, unnest(c) as inner_, g from (select rid,
+            regexp_extract_all(t, {pattern}, 0) as f, regexp_extract_all(t, {pattern}, {r.group if r.least else 0}) as c,
+            string_split_regex(t, {pattern}) as g from d where regexp_matches(t, {pattern})))) where length(inner_) >= {r.least}"""
+        )
+    text = "kind || ':' || s::bigint || ':' || e::bigint"
+    counts = ", ".join(f"count(*) filter (n = {n}) as n_{r.kind}" for n, r in enumerate(BASE))
+    return f"""with d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+    found as ({' union all '.join(parts)})
+    select doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' order by s, n) filter (n < {len(BASE)}), '')) as base_sha256,
+    coalesce(string_agg({text}, ',' order by s, n), '') as spans from d left join found using (rid) group by rid, doc_id"""
+
+
+ORACLE = _oracle()
