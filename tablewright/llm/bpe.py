@@ -22,7 +22,7 @@ from tablewright.llm.common import Recent, col, map_batches, whole
 
 NEVER = 1 << 60
 #: Words, chunks and token pairs that a worker remembers, twice as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class State:

@@ -20,7 +20,7 @@ from tablewright.llm.vocabulary import Vocabulary
 
 NEVER = 1 << 60
 #: Words and chunks that a worker remembers, twice as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def merge(symbols: str, ranks: dict[tuple[str, str], int]) -> list[str]:
