@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 TIMES = 2
 #: Rows of a source in one sorted run; slots made from one row.
-RUN = 100_000
+RUN = 20_000
 MANY = 50_000
 
 
