@@ -29,7 +29,24 @@ class Rule:
     group: int = 0
     least: int = 0
 
-
+    @property
+    def native(self) -> str:
+        """The pattern for Java, where a repeated group takes stack for each round unless it gives nothing back."""
+        return self.pattern.replace(")*", ")*+")
+
+
+#: What may stand between the lines of a key, escaped or quoted ones too.
+BETWEEN = r"""(?:\\r)?[\x09-\x0D\x20"',>|#*+\\]+"""
+#: The header, encapsulated ones as of encrypted keys, then all up to the end mark; or, without
+#: one, lines of 16 base64 characters or more and a shorter last one.  No part needs a group's
+#: rounds given back (``Rule.native``).
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"(?:{BETWEEN}[A-Z][A-Za-z0-9]{{0,30}}-[A-Z][A-Za-z0-9-]{{0,30}}:[A-Za-z0-9,\x20-]+)*"
+    r"""(?:[A-Za-z0-9+/=\x09-\x0D\x20\\"',>|#*;]*-----END [A-Z ]{0,30}PRIVATE KEY-----"""
+    rf"|{BETWEEN}[A-Za-z0-9+/]{{16,}}={{0,2}}(?:{BETWEEN}[A-Za-z0-9+/]{{16,}}={{0,2}})*"
+    rf"(?:{BETWEEN}[A-Za-z0-9+/]+={{1,2}}|\\[A-Za-z0-9+/]+|\r?\n[\x09\x20>|#*]*[A-Za-z0-9+/]+(?m:$))?)?"
+)
 #: The three base rules, then those that the method adds.
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -39,8 +56,8 @@ BASE = (
 MORE = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("key_block", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}"),
+    Rule("key_block", KEY_BLOCK),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)?"),
 )
 RULES = BASE + MORE
 
@@ -160,9 +177,9 @@ def candidates(posted: DataFrame, grams: Sequence[str], queries: Sequence[Query]
 
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """``array<struct<start, number, stop, kind>>`` of the rule's matches, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    checked = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.least else hits
-    gaps = F.split(text, rule.pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(rule.native), F.lit(0))
+    checked = F.regexp_extract_all(text, F.lit(rule.native), F.lit(rule.group)) if rule.least else hits
+    gaps = F.split(text, rule.native, -1)
     none = F.array().cast("array<struct<start:int,number:int,stop:int,kind:string>>")
 
     def located(parts: Column) -> Column:
@@ -180,7 +197,7 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda s: s["out"])
 
     parts = F.struct(hits.alias("hits"), checked.alias("checked"), gaps.alias("gaps"))
-    return F.when(text.rlike(rule.pattern), let(parts, located)).otherwise(none)
+    return F.when(text.rlike(rule.native), let(parts, located)).otherwise(none)
 
 
 def find_secrets(df: DataFrame, out: str = "spans", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
