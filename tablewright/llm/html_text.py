@@ -1,10 +1,11 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree of blocks; what cannot be the article by its tag, role, class or id is
-left out.  Each block gets the density of its subtree: characters per tag, scaled down by the
-share of links in both.  A container's density sum adds up its children's densities; the block of
-largest sum is the article.  Its path to the body gives the threshold: blocks beside the path,
-and the ancestors that only join such blocks, count too if their density reaches it.
+The page becomes a tree of blocks; what cannot be the article by its tag or role is left out, and
+by its class or id if it holds a small share of the page's unlinked text.  Each block gets the
+density of its subtree: characters per tag, scaled down by the share of links in both.  A
+container's density sum adds up its children's densities; the block of largest sum is the article.
+Its path to the body gives the threshold: blocks beside the path, and the ancestors that only join
+such blocks, count too if their density reaches it.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ NEVER = frozenset(
     "head nav aside footer form script style noscript template iframe svg math canvas object embed audio video button select textarea input dialog menu title noembed noframes map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of a class or id by which a block is not the article.
+#: Class tokens or ids, or their last words, by which a block is hardly the article.
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promoted promotion
     sidebar sidenav menu submenu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar
@@ -51,6 +52,14 @@ NAMES = frozenset(
     notice notices notification alert popup modal overlay paywall related recommended recommendations trending widget widgets
     pagination pager toolbar skip""".split()
 )
+#: Those of them that stand for what readers wrote, which may well be longer than the article.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Words that turn a name into a property of the block, as in with-sidebar.
+TURNED = frozenset("with has have no not without is show hide open free enabled".split())
+#: The largest share of the page's unlinked text at which a name decides, by kind of name.
+SMALL, SMALL_READERS = 0.25, 0.5
+#: Longer ones of readers count so much less, unless they hold nearly all of the text.
+LOWERED, NEARLY_ALL = 0.02, 0.95
 ARTICLE = frozenset(("article", "main"))
 #: A base of 1, as without any link, has no logarithms: it counts as a little more.
 LEAST = 0.2
@@ -64,10 +73,13 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Block:
-    __slots__ = ("tag", "up", "items", "chars", "tags", "link_chars", "link_tags", "out", "density", "sum")
+    __slots__ = ("tag", "up", "items", "chars", "tags", "link_chars", "link_tags", "out", "named", "lowered", "holds", "density", "sum")
 
-    def __init__(self, tag: str, up: Block | None, out: bool):
+    def __init__(self, tag: str, up: Block | None, out: bool, named: float = 0.0):
         self.tag, self.up, self.out = tag, up, out
+        self.named = named  # the share of text up to which its name decides
+        self.lowered = up is not None and up.lowered
+        self.holds = False  # whether an article or main is in it, or is it
         self.items: list[Block | str] = []  # text and blocks in page order
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
@@ -87,13 +99,28 @@ def left_out(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("main",):
-            words = {w.lower() for w in PART.findall(value)}
-            if words & NAMES or ("header" in words and not in_article and tag in ("div", "section")):
-                return True
     return False
 
 
+def named(tag: str, attributes: str, in_article: bool) -> float:
+    """The share of the page's text up to which the element's class or id decides; 0 without such a name."""
+    share = 0.0
+    if not attributes or tag in ("html", "body") or tag in ARTICLE:
+        return share
+    for name, value in NAMED.findall(attributes):
+        if name.lower() not in ("class", "id"):
+            continue
+        for token in value.strip("\"'").split():
+            words = [w.lower() for w in PART.findall(token)]
+            if not words or TURNED.intersection(words):
+                continue
+            if words[-1] in READERS:
+                share = SMALL_READERS
+            elif words[-1] in NAMES or (words[-1] == "header" and not in_article and tag in ("div", "section")):
+                share = max(share, SMALL)
+    return share
+
+
 def parse(page: str) -> Block:
     """The tree of blocks, with text gathered in the innermost block."""
     root = Block("html", None, False)
@@ -167,12 +194,18 @@ def parse(page: str) -> Block:
                 block.items.append(Block("hr", block, True))
             continue
         out = block.out or left_out(tag, attributes, articles > 0)
-        if tag in INLINE and not (out and not block.out):
+        name = 0.0 if out else named(tag, attributes, articles > 0)
+        if tag in INLINE and not (out and not block.out) and not name:
             made = None
         else:
-            made = Block(tag, block, out)
+            made = Block(tag, block, out, name)
             block.items.append(made)
             block = made
+            if tag in ARTICLE and not out:
+                up = made
+                while up is not None and not up.holds:
+                    up.holds = True
+                    up = up.up
         if tag != "html" and tag != "body" or made is not None:
             stack.append((tag, made))
             links += tag == "a"
@@ -192,6 +225,22 @@ def in_order(root: Block) -> list[Block]:
     return found
 
 
+def by_name(root: Block) -> None:
+    """Leaves out the blocks whose name decides: with little of the unlinked text, and no article in them."""
+    blocks = in_order(root)
+    unlinked = {id(b): b.chars - b.link_chars for b in blocks}
+    for b in reversed(blocks):
+        if b.up is not None:
+            unlinked[id(b.up)] += unlinked[id(b)]
+    total = unlinked[id(root)]
+    for b in blocks:
+        if b.named and not b.holds and unlinked[id(b)] <= b.named * total:
+            b.out = True
+        elif b.named == SMALL_READERS and not b.holds and unlinked[id(b)] <= NEARLY_ALL * total:
+            b.lowered = True
+        b.lowered = b.lowered or (b.up is not None and b.up.lowered)
+
+
 def measure(blocks: list[Block]) -> None:
     """Densities of the subtrees and their sums; ``blocks`` in page order, the root first."""
     for b in reversed(blocks):
@@ -208,7 +257,7 @@ def measure(blocks: list[Block]) -> None:
         # The weight is a logarithm whose base grows with the share of links; empty counts are 1.
         base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
         weight = math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / max(math.log(base), LEAST)
-        b.density = c / t * weight
+        b.density = c / t * weight * (LOWERED if b.lowered else 1)
     for b in blocks:
         inner = [x.density for x in b.items if isinstance(x, Block) and not x.out]
         b.sum = sum(inner) if inner else b.density
@@ -239,7 +288,9 @@ TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure figcaption
 
 def main_text(page: str) -> str:
     """Blocks of the article, white space inside each turned into one space, joined by two line breaks."""
-    blocks = in_order(parse(page))
+    root = parse(page)
+    by_name(root)
+    blocks = in_order(root)
     measure(blocks)
     parts: list[str] = []
     line: list[str] = []

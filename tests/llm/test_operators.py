@@ -367,3 +367,14 @@ def test_whole_keys_are_masked(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
     assert [masked[i] for i in range(len(cases))] == [m for _, m in cases]
+
+
+@pytest.mark.parametrize(
+    "name", ["content with-sidebar", "site has-sidebar", "elementor-widget-text-editor", "post comments-open", "related-links-enabled", "ad-free", "discussion"]
+)
+def test_names_do_not_stand_in_for_density(name):
+    five = ["Words of the article, plain and long. " * 4] * 5
+    body = "".join(f"<p>{p}</p>" for p in five)
+    text = "\n\n".join(p.strip() for p in five)
+    for page in (f"<div class='{name}'>{body}</div>", f"<article class='{name}'>{body}</article>", f"<div class=sidebar><article>{body}</article></div>"):
+        assert html_text.main_text(f"<body>{page}<div id=site-footer><p>foot</p></div></body>") == text
