@@ -5,7 +5,8 @@ by its class or id if it holds a small share of the page's unlinked text.  Each
 density of its subtree: characters per tag, scaled down by the share of links in both.  A
 container's density sum adds up its children's densities; the block of largest sum is the article.
 Its path to the body gives the threshold: blocks beside the path, and the ancestors that only join
-such blocks, count too if their density reaches it.
+such blocks, count too if their density reaches it and most of their text is no link.  Where the
+page marks its article, only blocks marked alike stand beside it.
 """
 
 from __future__ import annotations
@@ -73,13 +74,14 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Block:
-    __slots__ = ("tag", "up", "items", "chars", "tags", "link_chars", "link_tags", "out", "named", "lowered", "holds", "density", "sum")
+    __slots__ = ("tag", "up", "items", "chars", "tags", "link_chars", "link_tags", "own", "out", "named", "lowered", "holds", "density", "sum")
 
     def __init__(self, tag: str, up: Block | None, out: bool, named: float = 0.0):
         self.tag, self.up, self.out = tag, up, out
         self.named = named  # the share of text up to which its name decides
         self.lowered = up is not None and up.lowered
         self.holds = False  # whether an article or main is in it, or is it
+        self.own = True  # whether most of the text that is in no inner block is unlinked
         self.items: list[Block | str] = []  # text and blocks in page order
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
@@ -243,6 +245,8 @@ def by_name(root: Block) -> None:
 
 def measure(blocks: list[Block]) -> None:
     """Densities of the subtrees and their sums; ``blocks`` in page order, the root first."""
+    for b in blocks:
+        b.own = b.link_chars * 2 <= b.chars
     for b in reversed(blocks):
         if b.up is not None:
             up = b.up
@@ -263,24 +267,38 @@ def measure(blocks: list[Block]) -> None:
         b.sum = sum(inner) if inner else b.density
 
 
-def chosen(blocks: list[Block]) -> Block:
-    """The block of largest density sum, led up to the article it is in or the blocks it belongs to."""
+def chosen(blocks: list[Block]) -> tuple[Block, dict[int, Block], float | None]:
+    """The block of largest density sum, led up to the article it is in or the blocks it belongs to.
+
+    Also the blocks from there to the root, by identity, and the threshold; None if nothing
+    stands beside, as in a page that marks its main part.
+    """
     best = max(blocks, key=lambda b: b.sum)
     path = [best]
     while path[-1].up is not None:
         path.append(path[-1].up)
-    for b in reversed(path):  # the outermost article holds the rest of it
-        if b.tag == "article" or b.tag == "main":
-            return b
-    # The thinnest block on the path is the threshold.  The article goes on in the container as
-    # long as what stands beside is text: headings and paragraphs, or blocks that reach it.
-    threshold = min(b.density for b in path)
+    # The thinnest block on the path, up to the body, is the threshold.
+    inside = [b for b in path if b.tag != "html"] or path
+    threshold = min(b.density for b in inside)
+    by_id = {id(b): b for b in path}
+    marked = [b for b in reversed(path) if b.tag in ARTICLE]  # the outermost holds the rest of it
+    if marked:
+        return marked[0], by_id, None if marked[0].tag == "main" else threshold
+    # The article goes on in the container as long as what stands beside is text: headings and
+    # paragraphs, or blocks that reach the threshold.
     while best.up is not None and best.up.tag not in ("html", "body"):
         beside = [x for x in best.up.items if isinstance(x, Block) and not x.out and x is not best and x.chars]
-        if any(x.link_chars * 2 > x.chars or (x.density < threshold and x.tag not in TEXTS) for x in beside):
+        if not all(goes_on(x, best, best.up, threshold) for x in beside):
             break
         best = best.up
-    return best
+    return best, by_id, threshold
+
+
+def goes_on(x: Block, best: Block, container: Block | None, threshold: float) -> bool:
+    """Whether the article goes on in a block: dense enough or a paragraph of its container, and mostly unlinked."""
+    if not x.chars or x.link_chars * 2 > x.chars or (x.lowered and not best.lowered):
+        return False
+    return x.density >= threshold or (x.tag in TEXTS and container is not None and container.tag not in ("html", "body"))
 
 
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure figcaption table header hgroup".split())
@@ -292,6 +310,8 @@ def main_text(page: str) -> str:
     by_name(root)
     blocks = in_order(root)
     measure(blocks)
+    best, path, threshold = chosen(blocks)
+    marked = best.tag in ARTICLE
     parts: list[str] = []
     line: list[str] = []
 
@@ -301,16 +321,27 @@ def main_text(page: str) -> str:
             parts.append(" ".join(words))
         line.clear()
 
-    todo: list[Block | str | None] = [chosen(blocks)]
+    def taken(x: Block) -> bool:
+        if x is best:
+            return True
+        if threshold is None or id(x) in path or (marked and x.tag != "article"):
+            return False
+        return goes_on(x, best, path.get(id(x.up)), threshold)
+
+    todo: list[tuple[Block | str | None, bool]] = [(root, False)]
     while todo:
-        x = todo.pop()
+        x, all_of_it = todo.pop()
         if isinstance(x, str):
-            line.append(x)
+            if all_of_it:
+                line.append(x)
             continue
         flush()
         if x is not None and not x.out:
-            todo.append(None)  # its end
-            todo += reversed(x.items)
+            all_of_it = all_of_it or taken(x)
+            # The text that an ancestor itself holds beside the article is as dense as the ancestor.
+            own = all_of_it or (not marked and id(x) in path and x.own)
+            todo.append((None, False))  # its end
+            todo += [(i, own if isinstance(i, str) else all_of_it) for i in reversed(x.items)]
     flush()
     return "\n\n".join(parts)
 

@@ -378,3 +378,18 @@ def test_names_do_not_stand_in_for_density(name):
     text = "\n\n".join(p.strip() for p in five)
     for page in (f"<div class='{name}'>{body}</div>", f"<article class='{name}'>{body}</article>", f"<div class=sidebar><article>{body}</article></div>"):
         assert html_text.main_text(f"<body>{page}<div id=site-footer><p>foot</p></div></body>") == text
+
+
+def test_blocks_beside_the_path_are_taken():
+    one, two = ("".join(f"<p>{w} of the article, plain and long enough to count. {w} again.</p>" for _ in range(5)) for w in ("First", "Second"))
+    links = "<div><a href=1>one link</a> <a href=2>another link</a></div>"
+    for page in (
+        f"<div>{one}</div><div class=ad>buy</div><div>{two}</div>",
+        f"<div><div>{one}</div>{links}<div>{two}</div></div>",
+        f"<div><div>{one}</div></div><div>{links}<div>{two}</div></div>",
+        f"<article>{one}</article>{links}<article>{two}</article>",
+    ):
+        got = html_text.main_text(f"<body>{links}{page}{links}</body>")
+        assert got.count("First of") == got.count("Second of") == 5 and got.index("First") < got.index("Second")
+        assert "link" not in got and "buy" not in got
+    assert html_text.main_text(f"<body><main>{two}</main><article>{one}</article></body>").count("First") == 0
