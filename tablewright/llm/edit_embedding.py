@@ -217,35 +217,46 @@ def band_bits(bands: int, bits: int) -> list[list[int]]:
     return [sorted(rng.choice(SLOTS, bits, replace=False).tolist()) for _ in range(bands)]
 
 
-def buckets(texts: DataFrame, bands: int, bits: int) -> DataFrame:
-    """``(node, n, bucket)`` of ``texts (node, text)``: one row per band of the fingerprint."""
-    sampled = band_bits(bands, bits)
+def buckets(texts: DataFrame, bands: int, bits: int, edits: int, walks: int) -> DataFrame:
+    """``(node, n, bucket)`` of ``texts (node, text)``: a row or two per walk and band of its fingerprint.
+
+    Each walk takes a prefix of its own, which sets it to other random bits from there on.  Texts
+    whose lengths differ by more than ``edits`` cannot be linked: a bucket holds a cell of lengths,
+    and a text stands in its own and, near the end of it, in the next.
+    """
+    sampled, value = np.array(band_bits(bands, bits)), 1 << np.arange(bits, dtype=object)
+    cell, prime = 4 * (edits + 1), (1 << 61) - 1  # keys that clash add candidates only
 
     def rows(batch):
         for node, t in zip(batch["node"], batch["text"]):
-            all_bits = f"{int(Walk().take(t).fingerprint(), 16):0{SLOTS}b}"
-            yield node, len(t), [f"{i}:{''.join([all_bits[b] for b in band])}" for i, band in enumerate(sampled)]
+            keys = []
+            for w in range(walks):
+                print_ = Walk().take("\0" * (5 * w) + t).fingerprint()
+                all_bits = np.unpackbits(np.frombuffer(bytes.fromhex(print_), np.uint8)).astype(object)
+                keys += [(v * walks + w) * bands + i for i, v in enumerate(all_bits[sampled] @ value)]
+            cells = sorted({len(t) // cell, (len(t) + edits) // cell})
+            yield node, len(t), [int((c * (bands * walks << bits) + k) % prime) for c in cells for k in keys]
 
     schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("n", T.LongType())])
-    schema = schema.add("keys", T.ArrayType(T.StringType()))
+    schema = schema.add("keys", T.ArrayType(T.LongType()))
     return map_batches(texts, schema, rows).select("node", "n", F.explode("keys").alias("bucket"))
 
 
 def near_texts(
-    df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = 20, bands: int = 48, bits: int = 14, rounds: int = 2
+    df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = 20, bands: int = 48, bits: int = 14, rounds: int = 2, walks: int = 4
 ) -> DataFrame:
     """``(key, component_id)``: texts that chains of at most ``edits`` edits each connect.
 
-    Texts that agree in all bits of a band are candidates; the edit distance confirms each link.
+    Texts that agree in all bits of a band, in one of the walks, are candidates; the edit distance confirms each link.
     In every bucket a centre is tested first, then what is still apart, so no pairs are formed
     inside a group that is one already.  Fingerprints of texts a few edits apart may still differ
-    in every band: a share of links is missed, fewer with more bands of fewer bits.  Equal texts
+    in every band: a share of links is missed, fewer with more walks, or more bands of fewer bits.  Equal texts
     are one node; null is empty; null keys are passed over by the minimum.
     """
     body = whole(col(text))
     rows_in = df.select(col(key).alias("id"), F.sha2(body.cast("binary"), 256).alias("node"), body.alias("text"))
     texts = rows_in.groupBy("node").agg(F.first("text").alias("text"))
-    members = written(buckets(texts, bands, bits), "bits").withColumn("root", F.col("node"))
+    members = written(buckets(texts, bands, bits, edits, walks), "bits").withColumn("root", F.col("node"))
     members = open_buckets(members).select("bucket", "node", "n")
     x, y = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
 
@@ -277,3 +288,7 @@ def near_texts(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))
+
+
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(table(spark, sf_dir, "documents"))

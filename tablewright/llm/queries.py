@@ -33,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_trigram_secrets": secrets.query,
     "op10_pairwise_quality": pairwise.query,
 }
+#: Further jobs of these operators.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_edit_links": edit_embedding.links_query}
 ORACLES: dict[str, str] = {
     "op5_adaptive_rules": quality_rules.ORACLE,
     "op9_trigram_secrets": secrets.ORACLE,

@@ -393,3 +393,25 @@ def test_blocks_beside_the_path_are_taken():
         assert got.count("First of") == got.count("Second of") == 5 and got.index("First") < got.index("Second")
         assert "link" not in got and "buy" not in got
     assert html_text.main_text(f"<body><main>{two}</main><article>{one}</article></body>").count("First") == 0
+
+
+@pytest.mark.parametrize("length", [500, 1500])
+def test_recall_of_near_texts_at_twenty_edits(spark, length):
+    import random
+
+    import __spark_entry__
+
+    rnd, rows, letters = random.Random(4), [], "abcdefghij "
+    for g in range(100):
+        base = [rnd.choice(letters) for _ in range(length)]
+        rows.append((2 * g, "".join(base)))
+        for _ in range(20):
+            i = rnd.randrange(len(base))
+            rnd.choice([lambda: base.__setitem__(i, rnd.choice(letters)), lambda: base.pop(i), lambda: base.insert(i, rnd.choice(letters))])()
+        rows.append((2 * g + 1, "".join(base)))
+    got = {r.doc_id: r.component_id for r in edit_embedding.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] // 2 == i // 2 for i in got)  # by construction at most 20 edits apart; no false link
+    found = sum(got[2 * g + 1] == 2 * g for g in range(100))
+    print("recall", length, found / 100)
+    assert found >= 90
+    assert "op6_edit_links" in __spark_entry__.queries()
