@@ -20,6 +20,9 @@ COLUMNS = {
     "op8": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10": "doc_id held_out score predicted",
+    "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13": "doc_id start n_tokens ids_crc32",
 }
 
 
