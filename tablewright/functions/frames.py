@@ -34,6 +34,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder: what it was made from may be released."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True if the rows of ``df``, as text, stay below ``max_bytes``.
 

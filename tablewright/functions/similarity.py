@@ -78,6 +78,10 @@ def weighted(a: str, b: str) -> int:
     if not a or not b:
         return 0
     spread = max(len(a), len(b)) / min(len(a), len(b))
+    if " " not in a and " " not in b:  # one word each: every order is the same
+        if spread < 1.5:
+            return ratio(a, b)
+        return round(max(ratio(a, b), (0.9 if spread <= 8 else 0.6) * partial(a, b)))
     if spread < 1.5:
         return round(max(ratio(a, b), 0.95 * token_sort(a, b), 0.95 * token_set(a, b)))
     scale = 0.9 if spread <= 8 else 0.6
@@ -115,12 +119,22 @@ SCORERS: dict[str, Callable[[str, str], float]] = {
 }
 
 
-def score(name: str, a: Column, b: Column) -> Column:
-    """Score of two string columns; NULL where a side is NULL."""
+def score(name: str, a: Column, b: Column, least: float = 0.0) -> Column:
+    """Score of two string columns; NULL where a side is NULL.
+
+    For the block matchers, pairs that cannot reach ``least`` letter by letter get 0.
+    """
+    low = name == "matcher"
+
+    def bounded(x: str, y: str) -> float:
+        p, q = (x.lower(), y.lower()) if low else (x, y)
+        if least and 2 * lcs_length(p, q) < least * (len(p) + len(q)) - 1e-9:
+            return 0.0
+        return SCORERS[name](x, y)
 
     @F.pandas_udf("double")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        cached = lru_cache(maxsize=None)(SCORERS[name])
+        cached = lru_cache(maxsize=None)(bounded if least else SCORERS[name])
         return pd.Series(
             [
                 None if x is None or y is None else float(cached(x, y))
@@ -153,74 +167,3 @@ def best_of(value: Column, canonical: list[str], scorers: list[str]) -> Column:
         return pd.DataFrame(rows, columns=["match", "score"])
 
     return run(value)
-
-
-# --- blocking keys ----------------------------------------------------------------
-#
-# Two texts whose score 2M/(la+lb) reaches ``c`` differ by at most
-# D = floor((1-c)(la+lb)) single-letter insertions and deletions.  Cut the shorter
-# text into D+1 pieces: one piece stays whole, and it moves by no more than the
-# deletions to the left and the insertions to the right.  An equi-join on
-# (la, lb, piece number, piece) therefore misses no pair.  The number of keys grows with the
-# cube of the length, so pairs whose longer text exceeds LONG letters meet on shared q-grams
-# instead: the edits allowed cannot break all of them.
-
-LONG = 48
-
-
-def _budget(la: int, lb: int, c: float) -> int:
-    d = int((1 - c) * (la + lb) + 1e-9)
-    return d - ((la + lb - d) % 2)
-
-
-def _pieces(la: int, d: int) -> list[tuple[int, int]]:
-    return [(i * la // (d + 1), (i + 1) * la // (d + 1)) for i in range(d + 1)]
-
-
-def _longest(la: int, c: float) -> int:
-    return int(la * (2 - c) / c + 1e-9)
-
-
-def _gram_keys(text: str, c: float) -> set[str]:
-    q = 3 if c >= 0.88 else 2 if c >= 0.72 else 1
-    return {"g:" + text[i : i + q] for i in range(len(text) - q + 1)}
-
-
-def piece_keys(text: str, c: float) -> list[str]:
-    """Keys of ``text`` as the shorter side of a pair."""
-    la = len(text)
-    out = _gram_keys(text, c) if _longest(la, c) > LONG else set()
-    for lb in range(la, min(_longest(la, c), LONG) + 1):
-        d = _budget(la, lb, c)
-        if d < lb - la:
-            continue
-        for i, (s, e) in enumerate(_pieces(la, d)):
-            out.add(f"{la}:{lb}:{i}:{text[s:e]}")
-    return list(out)
-
-
-def window_keys(text: str, c: float) -> list[str]:
-    """Keys of ``text`` as the longer side of a pair."""
-    lb, out = len(text), set()
-    if lb > LONG:
-        return list(_gram_keys(text, c))
-    for la in range(1, lb + 1):
-        d = _budget(la, lb, c)
-        if lb > _longest(la, c) or d < lb - la:
-            continue
-        left, right = (d - (lb - la)) // 2, (d + (lb - la)) // 2
-        for i, (s, e) in enumerate(_pieces(la, d)):
-            for at in range(max(0, s - left), min(lb - (e - s), s + right) + 1):
-                out.add(f"{la}:{lb}:{i}:{text[at : at + e - s]}")
-    return list(out)
-
-
-def block_keys(text: Column, cutoff: float, shorter: bool) -> Column:
-    """Join keys (array of strings) for pairs scoring at least ``cutoff`` (0..1)."""
-    make = piece_keys if shorter else window_keys
-
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else make(v, cutoff) for v in values])
-
-    return run(text)

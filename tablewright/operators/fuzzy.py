@@ -7,6 +7,8 @@ that miss no qualifying pair, and only then a score is computed.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import permutations
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import similarity as sim
 from tablewright.functions import text
-from tablewright.functions.frames import lookup, map_values
+from tablewright.functions.frames import kept_table, lookup, map_values
+from tablewright.functions.grams import LONGEST, similar_pairs, window_pairs
 
 
 # Starts of the clustering.
@@ -52,94 +55,137 @@ def detect_typos(
 ) -> DataFrame:
     """``(typo, correction)``: rare words close to a common one with the same first letter.
 
-    The best common word is taken first and the letter is tested after.  A weighted
-    score of 90 or more needs letter-wise closeness, or one text inside the other, or
-    shared words around an apostrophe; each has its own blocking key, so a lower
-    threshold is refused.
+    The best common word is taken first, ties to the alphabetically first, and the letter is
+    tested after.  Any threshold above 0 may be asked for: each part of the weighted score sets
+    a bound of its own for the pairs that can reach it (``_typo_candidates``).
     """
-    if threshold < 90:
-        raise ValueError("threshold must be at least 90 for lossless blocking")
-    cut = (threshold - 0.5) / 100
-    # The vocabulary is read by every key family below.
-    counts = token_counts(df, column, min_len).persist()
-    # The same order of letters the scorer sees: blanks for apostrophes, words sorted.
+    counts = token_counts(df, column, min_len)
+    # What the scorer sees: blanks for apostrophes.
     plain = F.trim(F.regexp_replace("word", "'", " "))
-    sorted_words = F.array_join(F.array_sort(F.split(plain, r"\s+")), " ")
-    forms = F.explode(F.array_distinct(F.array(plain, sorted_words))).alias("form")
-    rare = counts.where(F.col("n") < min_count)
-    if known:
-        rare = rare.where(~F.col("word").isin(list(known)))
-    rare = rare.select(F.col("word").alias("rare"), forms)
-    common = counts.where(F.col("n") >= min_count).select(F.col("word").alias("common"), forms)
-
-    def keyed(side: DataFrame, key: Column) -> DataFrame:
-        return side.select(side.columns[0], F.explode(key).alias("k")).distinct()
-
-    # No longer than the longest common word, and no longer than LONG, is cut out of a
-    # word; what is longer meets on its first three letters.
-    longest_common = common.agg(F.max(F.length("form"))).first()[0] or 0
-    limit = F.lit(min(longest_common, sim.LONG))
-    none = F.array().cast("array<string>")
-
-    def cuts(form: Column, sizes: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                sizes,
-                lambda s: F.transform(
-                    F.sequence(F.lit(1), F.length(form) - s + 1),
-                    lambda at: F.substring(form, at, s),
-                ),
-            )
-        )
-
-    def inside(form: Column, most: Column) -> Column:
-        """Every part of the text that is at most 2/3 and at least 1/8 of it."""
-        n = F.length(form)
-        short = F.greatest(F.ceil(n / 8), F.lit(min_len)).cast("int")
-        long = F.least(F.floor(n / 1.5), most).cast("int")
-        sizes = F.when(short <= long, F.sequence(short, long))
-        grams = F.when(n >= 1.5 * sim.LONG, F.array_distinct(cuts(form, F.array(F.lit(3)))))
-        marked = F.transform(grams, lambda g: F.concat(F.lit("g:"), g))
-        return F.concat(F.coalesce(cuts(form, sizes), none), F.coalesce(marked, none))
-
-    def whole(form: Column) -> Column:
-        start = F.concat(F.lit("g:"), F.substring(form, 1, 3))
-        return F.array(F.when(F.length(form) > sim.LONG, start).otherwise(form))
-
-    def parts(form: Column) -> Column:
-        return F.split(form, " ")
-
-    def longest(form: Column) -> Column:
-        """The longest word of a form: in every form that holds all its words."""
-        most = F.array_max(F.transform(parts(form), F.length))
-        return F.filter(parts(form), lambda w: F.length(w) == most)
-
-    form = F.col("form")
-    joins = [
-        (sim.block_keys(form, cut, True), sim.block_keys(form, cut, False)),
-        (sim.block_keys(form, cut, False), sim.block_keys(form, cut, True)),
-        (whole(form), inside(form, F.lit(sim.LONG))),
-        (inside(form, limit), whole(form)),
-        (longest(form), parts(form)),
-        (parts(form), longest(form)),
-    ]
+    words = counts.select("word", "n", plain.alias("plain"), F.unhex(F.md5("word")).alias("id")).persist()
+    try:
+        rare, common = words.where(F.col("n") < min_count), words.where(F.col("n") >= min_count)
+        if known:
+            rare = rare.where(~F.col("word").isin(list(known)))
+        close = _best_common(rare, common, threshold)
+        close = close.where((F.col("score") >= threshold) & (F.substring("rare", 1, 1) == F.substring("common", 1, 1)))
+        found = kept_table(close.select(F.col("rare").alias("typo"), F.col("common").alias("correction")))
+    finally:
+        words.unpersist()
+    return found.union(_table(df, known)) if known else found
+
+
+def _need(threshold: float, scale: float) -> float | None:
+    """The share of letters a part of the score must match for ``scale`` times it to reach the threshold."""
+    points = ceil((threshold - 0.5) / scale - 1e-9)
+    return (points - 0.5) / 100 if points <= 100 else None
+
+
+def _orders(tokens: Column) -> Column:
+    """A text's words in every order, for up to three; sorted letters for more are made elsewhere."""
+    def joined(*at: int) -> Column:
+        return F.concat_ws(" ", *[F.get(tokens, F.lit(i)) for i in at])
+
+    by_size = {n: F.array(*[joined(*p) for p in permutations(range(n))]) for n in (1, 2, 3)}
+    out = F.array().cast("array<string>")
+    for n, forms in by_size.items():
+        out = F.when(F.size(tokens) == n, forms).otherwise(out)
+    return out
+
+
+def _typo_candidates(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """``(id, other)``: every pair of a rare and a common word whose weighted score may reach the threshold.
+
+    - Whole texts, as they are or by words in any order: pairs of like forms.
+    - One at least 1.5 times as long: the shorter against windows of the longer one.
+    - Words in common (texts with apostrophes only): the shared words may make up most of a text,
+      or, beside a much longer one, score by themselves whatever the rest.
+    """
+    tokens = F.split("plain", r"\s+")
+    distinct = F.array_distinct(tokens)
+    most = rare.unionByName(common).agg(F.max(F.size(tokens))).first()[0] or 0
+
+    def forms(side: DataFrame) -> DataFrame:
+        made = F.array(F.col("plain"), F.array_join(F.array_sort(tokens), " "))
+        if most > 1:
+            made = F.array_union(made, _orders(distinct))
+        return side.select("id", F.explode(F.array_distinct(made)).alias("form"))
+
+    def letters(side: DataFrame) -> DataFrame:
+        """Letters in order: what two texts share of them bounds every order of their words."""
+        texts = F.array_distinct(F.array(F.col("plain"), F.array_join(distinct, " ")))
+        one_each = side.select("id", F.explode(texts).alias("text"))
+        return one_each.select("id", F.array_join(F.array_sort(F.split("text", "")), "").alias("form"))
+
+    ways = [(forms(rare), forms(common), LONGEST)]
+    if most > 3:
+        many = F.size(distinct) > 3
+        ways += [(letters(rare.where(many)), letters(common), 1), (letters(rare), letters(common.where(many)), 1)]
+    window = _need(threshold, 0.9)
     pairs = None
-    for left, right in joins:
-        found = keyed(rare, left).join(keyed(common, right), "k").select("rare", "common")
-        pairs = found if pairs is None else pairs.union(found)
-    scored = pairs.distinct().withColumn(
-        "score", sim.score("weighted", F.col("rare"), F.col("common"))
-    )
-    # Ties go to the alphabetically first common word.
-    top = scored.groupBy("rare").agg(
-        F.min_by(F.col("common"), F.struct(-F.col("score"), F.col("common"))).alias("c"),
-        F.max("score").alias("score"),
-    )
-    close = top.where(
-        (F.col("score") >= threshold)
-        & (F.substring("rare", 1, 1) == F.substring("c", 1, 1))
-    ).select(F.col("rare").alias("typo"), F.col("c").alias("correction"))
-    return close.union(_table(df, known)) if known else close
+    for left, right, longest in ways:
+        found = [similar_pairs(left, right, _need(threshold, 1.0))]
+        if window:
+            times = 1.5 if most == 1 else 1.0  # a text's forms may be shorter than itself
+            found.append(window_pairs(left, right, window, longest, times))
+            turned = window_pairs(right, left, window, longest, times)
+            found.append(turned.select(F.col("other").alias("id"), F.col("id").alias("other")))
+        for part in found:
+            pairs = part if pairs is None else pairs.union(part)
+    if most > 1:
+        pairs = pairs.union(_shared_words(rare, common, threshold))
+    return pairs.distinct()
+
+
+def _shared_words(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """``(id, other)``: pairs that the words they share may lift to the threshold."""
+    tokens = F.array_distinct(F.split("plain", r"\s+"))
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        made = side.select(F.col("id").alias(name), "word", F.length("plain").alias("n"), F.size(tokens).alias("parts"), F.explode(tokens).alias("part"))
+        return made.withColumnsRenamed({c: f"{name}_{c}" for c in ("word", "n", "parts")})
+
+    a, b = parts(rare, "id"), parts(common, "other")
+    out = None
+    need = _need(threshold, 0.95)
+    if need:
+        # The longest shared word is this long at least, if the shared ones make up enough of a text.
+        def long_enough(name: str) -> Column:
+            return F.length("part") + 1 >= (F.col(f"{name}_n") * (need / (2 - need)) + 1) / F.col(f"{name}_parts") - 1e-9
+
+        out = a.where(long_enough("id")).join(b, "part").select("id", "other")
+        out = out.union(a.join(b.where(long_enough("other")), "part").select("id", "other"))
+    # A much longer text that holds one of the words scores alike whatever it is: of each length
+    # the first in the alphabet stands for all.
+    first = b.groupBy("part", "other_n").agg(F.min_by("other", "other_word").alias("other"))
+    spread = F.greatest("id_n", "other_n") / F.least("id_n", "other_n")
+    for scale, fits in ((0.9, (spread >= 1.5) & (spread <= 8)), (0.6, spread > 8)):
+        if _need(threshold, scale * 0.95):
+            more = a.join(first, "part").where(fits).select("id", "other")
+            out = more if out is None else out.union(more)
+    return a.join(b, "part").select("id", "other").limit(0) if out is None else out
+
+
+def _best_common(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """``(rare, common, score)``: the best common word of each rare one that has any in reach."""
+    pairs = _typo_candidates(rare, common, threshold)
+    told = lookup(pairs, rare.select("id", F.col("word").alias("rare"), F.col("plain").alias("a")), ["id"])
+    told = lookup(told, common.select(F.col("id").alias("other"), F.col("word").alias("common"), F.col("plain").alias("b")), ["other"])
+    la, lb = F.length("a"), F.length("b")
+    short, long = F.when(la <= lb, F.col("a")).otherwise(F.col("b")), F.when(la <= lb, F.col("b")).otherwise(F.col("a"))
+    spread = F.greatest(la, lb) / F.least(la, lb)
+    single = ~F.contains("a", F.lit(" ")) & ~F.contains("b", F.lit(" ")) & (spread >= 1.5)
+    inside = F.contains(long, short)
+    # Of two single words one inside the other scores all of the window's share, and no more.
+    told = told.withColumn("sure", F.when(single & inside, F.when(spread <= 8, 90.0).otherwise(60.0)))
+    window = _need(threshold, 0.9) or 1.0
+    # One word that leaves no letter out must be inside the other.
+    hopeless = single & ~inside & (F.least(la, lb) * (2 * (1 - window) / (2 - window)) < 1) & F.lit(_need(threshold, 1.0) > 0.8)
+    told = told.where(~hopeless)
+    scored = told.where("sure is null").select("rare", "common", sim.score("weighted", F.col("rare"), F.col("common")).alias("score"))
+    every = scored.union(told.where("sure is not null").select("rare", "common", "sure"))
+    top = every.groupBy("rare").agg(F.min(F.struct((-F.col("score")).alias("score"), "common")).alias("t"))
+    return top.select("rare", F.col("t.common").alias("common"), (-F.col("t.score")).alias("score"))
 
 
 def correct_words(
@@ -423,24 +469,22 @@ def close_matches(
     """``(value, match, ratio, rank)``: the ``n`` closest other values per distinct value.
 
     ``queries`` (one column of the same name) limits the values searched for.  A block
-    ratio is never above the letter-wise one, so the blocking keys miss no pair.
+    ratio is never above the letter-wise one, so the candidates of ``similar_pairs`` miss no pair.
     """
     values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
-    asked = values if queries is None else queries.select(F.col(column).alias("v")).distinct()
-
-    def keyed(side: DataFrame, shorter: bool, name: str) -> DataFrame:
-        keys = F.explode(sim.block_keys(F.col("v"), cutoff, shorter))
-        return side.select(F.col("v").alias(name), keys.alias("k"))
-
-    one = keyed(asked, True, "value").join(keyed(values, False, "match"), "k")
-    two = keyed(asked, False, "value").join(keyed(values, True, "match"), "k")
-    pairs = one.select("value", "match").union(two.select("value", "match"))
-    scored = (
-        pairs.where("value != match")
-        .distinct()
-        .withColumn("ratio", sim.score("matcher_raw", F.col("match"), F.col("value")))
-        .where(F.col("ratio") >= cutoff)
-    )
+    texts = values.select(F.unhex(F.md5("v")).alias("id"), F.col("v").alias("form"))
+    if queries is None:
+        once = similar_pairs(texts, texts, cutoff, ordered=True)
+        pairs = once.select(F.inline(F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other")))))
+    else:
+        asked = queries.select(F.col(column).alias("form")).where("form is not null").distinct()
+        asked = asked.select(F.unhex(F.md5("form")).alias("id"), "form")
+        pairs = similar_pairs(asked, texts, cutoff).where("id != other")
+        texts = texts.union(asked).distinct()
+    told = lookup(pairs, texts.select("id", F.col("form").alias("value")), ["id"])
+    told = lookup(told, texts.select(F.col("id").alias("other"), F.col("form").alias("match")), ["other"])
+    ratio = sim.score("matcher_raw", F.col("match"), F.col("value"), cutoff)
+    scored = told.select("value", "match", ratio.alias("ratio")).where(F.col("ratio") >= cutoff)
     # rank <= n is pushed below the shuffle, so a value with many matches sends n rows.
     order = Window.partitionBy("value").orderBy(F.desc("ratio"), F.desc("match"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
