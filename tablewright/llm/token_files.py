@@ -46,8 +46,11 @@ KEYS_FRAME = 0x184D2A50
 FILE_BYTES = 256 << 20
 #: Chunks that a worker remembers (twice as many at most), none of more letters than LONGEST.
 REMEMBERED, LONGEST = 300_000, 48
-#: White space and what follows up to the next.  Separators 1C to 1F are none to the tokenizer.
-CHUNK = re.compile(r"\s*[\S\x1c-\x1f]+|\s+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+#: A line break before a letter; white space with what follows, up to the next or, behind plain letters,
+#: up to a sign other than an apostrophe.  Separators 1C to 1F are no white space to the tokenizer.
+CHUNK = re.compile(rf"\n(?=[{LETTERS}])|\s*(?:[{LETTERS}]+(?=[\s!-&(-/:-@\[-`{{-~]|\Z)|[\S\x1c-\x1f]+)|\s+")
+PLAIN = re.compile(rf" ?[{LETTERS}]+")
 
 
 # --- ids ----------------------------------------------------------------------------
@@ -56,9 +59,11 @@ CHUNK = re.compile(r"\s*[\S\x1c-\x1f]+|\s+")
 class Encoder:
     """Ids of texts, as bytes, by the ``tokenizers`` library, asked once per chunk.
 
-    A byte-level pre-token may start with white space but goes on with none, and added
-    tokens hold none: between a letter and white space every text may be cut, and the ids of the
-    pieces are those of the text.
+    A byte-level pre-token may start with white space but goes on with none, a run of letters
+    ends before any sign but an apostrophe, a single line break stands alone, and an added token
+    holds no white space and starts with a sign: there every text may be cut, and the ids of the
+    pieces are those of the text.  A chunk of plain letters is one pre-token and goes to the
+    library's model at once.
     """
 
     def __init__(self, spec: str):
@@ -70,15 +75,20 @@ class Encoder:
         if cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"] or data["normalizer"]:
             raise ValueError("only plain byte-level vocabularies are read")
         for t in data["added_tokens"]:
-            if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]):
-                raise ValueError("added tokens that reach over white space are not read")
+            if t["lstrip"] or t["rstrip"] or t["single_word"] or not re.fullmatch(r"[<\[{][^\s]+", t["content"]):
+                raise ValueError("added tokens with white space, or that start with no bracket, are not read")
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = {b: c for b, c in enumerate(vocabulary.byte_alphabet())}
         self.chunks = Recent(self.encode, REMEMBERED)
 
     def encode(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        if PLAIN.fullmatch(chunk):
+            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
@@ -288,7 +298,8 @@ def read_tokens(
                     if out:
                         yield batch(out)
 
-    return based.repartition(F.col("file")).mapInArrow(read, schema)
+    # A number of partitions of its own, or these few rows would all be put into one task.
+    return based.repartition(max(1, manifest.count()), "file").mapInArrow(read, schema)
 
 
 def ids_of(tokens: bytes) -> list[int]:
