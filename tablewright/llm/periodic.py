@@ -70,7 +70,7 @@ def runs_of(words: np.ndarray) -> list[tuple[int, int, int]]:
         for i, p in zip(at[head].tolist(), gap[head].tolist()):
             if i + p < known.get(p, 0):
                 continue
-            first, last = extended(words, i, i + 2 * p + length, p)
+            first, last = extended(words, i, i + p + length, p)
             known[p] = last
             if last - first >= max(MIN_WORDS, MIN_PERIODS * p):
                 found.add((first, last - first, p))
