@@ -27,11 +27,9 @@ LONGEST = 3
 NEAR = 1e-9
 
 
-def unmatched(la: Column, lb: Column, c: float) -> tuple[Column, Column]:
-    """Most letters of either text that may stay unmatched."""
-    d = F.floor((la + lb) * (1 - c) + NEAR)
-    d = d - F.pmod(la + lb - d, F.lit(2))
-    return F.floor((d + la - lb) / 2), F.floor((d - la + lb) / 2)
+def unmatched(own: Column, other: Column, c: float) -> Column:
+    """Most letters of a text of ``own`` letters that may stay unmatched: ``(D + own - other) / 2``."""
+    return F.floor(own * (1 - c / 2) - other * (c / 2) + NEAR)
 
 
 def lost(q: int | Column, own: Column, other: Column) -> Column:
@@ -77,28 +75,66 @@ def grams(side: DataFrame, need: dict[int, Column]) -> DataFrame:
     return letters.select("id", which, "n", F.explode(every).alias("g")).select("id", "which", "n", "g.q", "g.token", "g.at")
 
 
-def rarest(all_grams: DataFrame, counts: DataFrame, most: Column) -> DataFrame:
-    """Of each form's grams the ``most`` rarest: ``(id, ..., q, token, rank, first, last)``.
-
-    ``rank`` counts from 0 along the order (count, gram, place); ``first`` and ``last`` are its places.
-    """
-    keys = ["id", "which", "n", "q"]
+def in_order(all_grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(id, which, n, q, order)``: each form's grams by (count, gram, place), the rarest first."""
     told = lookup(all_grams, counts, ["token"])
     order = F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token", "at")
-    ordered = told.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("order"))
-    chosen = ordered.select(*keys, F.posexplode(F.slice("order", 1, F.greatest(most, F.lit(0)).cast("int"))).alias("rank", "g"))
+    return told.groupBy("id", "which", "n", "q").agg(F.array_sort(F.collect_list(order)).alias("order"))
+
+
+def rarest(ordered: DataFrame, most: Column, *more: str) -> DataFrame:
+    """Of each form's grams the ``most`` first: ``(id, which, n, q, *more, token, rank, first, last)``.
+
+    ``rank`` counts from 0; ``first`` and ``last`` are the gram's places among those taken.
+    """
+    keys = ["id", "which", "n", "q", *more]
+    taken = F.slice("order", 1, F.greatest(most, F.lit(0)).cast("int"))
+    chosen = ordered.select(*keys, F.posexplode(taken).alias("rank", "g"))
     return chosen.groupBy(*keys, F.col("g.token").alias("token")).agg(
         F.min("rank").alias("rank"), F.min("g.at").alias("first"), F.max("g.at").alias("last")
     )
 
 
+def cell(n: Column) -> Column:
+    """Number of the cell of lengths that holds ``n``: single lengths below 16, then eight to a doubling."""
+    shift = F.greatest(F.floor(F.log2(n.cast("double")) + NEAR) - 3, F.lit(0)).cast("int")
+    return F.when(n < 16, n).otherwise(8 * shift + F.call_function("shiftright", n, shift)).cast("int")
+
+
+def cell_ends(k: Column) -> tuple[Column, Column]:
+    """Least and greatest length of a cell."""
+    shift = F.when(k < 16, 0).otherwise(F.floor(k / 8) - 1).cast("int")
+    low = F.call_function("shiftleft", k - 8 * shift, shift)
+    return low, low + F.call_function("shiftleft", F.lit(1), shift) - 1
+
+
+def by_length(ordered: DataFrame, c: float) -> DataFrame:
+    """Per cell of lengths that partners may have, as many of the rarest grams as those may leave lost, and one.
+
+    Adds ``own`` and ``theirs``, the cells of the form and of its partners.
+    """
+    n, q = F.col("n"), F.col("q")
+    least, most = F.ceil(n * (c / (2 - c)) - NEAR), F.floor(n * ((2 - c) / c) + NEAR)
+    dealt = ordered.withColumn("own", cell(n)).withColumn("theirs", F.explode(F.sequence(cell(least), cell(most))))
+    low, high = cell_ends(F.col("theirs"))
+    dealt = dealt.withColumns({"low": F.greatest(low, least), "high": F.least(high, most)})
+
+    def parts(length: Column) -> tuple[Column, Column]:
+        return n * (1 - c / 2) - length * (c / 2), length * (1 - c / 2) - n * (c / 2)
+
+    (own_most, other_low), (own_low, other_most) = parts(F.col("low")), parts(F.col("high"))
+    apart = lost(q, F.floor(own_most + NEAR), F.floor(other_most + NEAR))
+    ends = F.greatest(lost(q, own_most, other_low), lost(q, own_low, other_most))
+    return rarest(dealt, F.least(apart, F.floor(ends + NEAR)) + 1, "own", "theirs")
+
+
 def counted(all_grams: DataFrame) -> DataFrame:
     """How many texts hold a gram, near enough to order by: places are counted."""
     return all_grams.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, c: float, ordered: bool = False) -> DataFrame:
-    """``(id, other)``: all pairs of forms that may score ``c`` or more, each pair once.
+    """``(id, other)``: all pairs of forms that may score ``c`` or more, some more than once.
 
     ``left`` and ``right`` are ``(id, form)``; an id may have several forms.  Null and empty
     forms meet nothing.  ``ordered`` asks for pairs with the smaller id first only.
@@ -113,32 +149,34 @@ def similar_pairs(left: DataFrame, right: DataFrame, c: float, ordered: bool = F
             need[q] = ~kept_by_all(q + 1, n, c)
         return grams(side.select("id", "form").where(n > 0), need)
 
-    most = F.floor(F.col("n") * 2 * (1 - c) * F.greatest(F.col("q") / (2 - c), (F.col("q") - 1) / c) + NEAR) + 1
     every = all_of(right)
     counts = counted(every)
-    a = rarest(all_of(left), counts, most).alias("a")
-    b = rarest(every, counts, most).alias("b")
+    a = by_length(in_order(all_of(left), counts), c).alias("a")
+    b = by_length(in_order(every, counts), c).alias("b")
     la, lb, q = F.col("a.n"), F.col("b.n"), F.col("a.q")
-    da, db = unmatched(la, lb, c)
+    da, db = unmatched(la, lb, c), unmatched(lb, la, c)
 
     def kept(k: int) -> Column:
         return (lost(k, da, db) < la - k + 1) & (lost(k, db, da) < lb - k + 1)
 
     # Of the lengths of grams that outlast the edits, the longest is the pair's.
-    theirs = F.lit(1)
+    length = F.lit(1)
     for k in range(2, LONGEST + 1):
-        theirs = F.when(kept(k), k).otherwise(theirs)
-    fits = (da >= 0) & (db >= 0) & (q == theirs)
+        length = F.when(kept(k), k).otherwise(length)
+    fits = (da >= 0) & (db >= 0) & (q == length)
     fits &= (F.col("a.rank") <= lost(q, da, db)) & (F.col("b.rank") <= lost(q, db, da))
     fits &= (F.col("b.first") - F.col("a.last") <= db) & (F.col("a.first") - F.col("b.last") <= da)
     if ordered:
         fits &= F.col("a.id") < F.col("b.id")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (q == F.col("b.q")) & fits)
-    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+    same = (F.col("a.token") == F.col("b.token")) & (q == F.col("b.q"))
+    same &= (F.col("a.own") == F.col("b.theirs")) & (F.col("a.theirs") == F.col("b.own"))
+    met = a.join(b, same & fits)
+    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
 
 
 def window_pairs(short: DataFrame, long: DataFrame, c: float, longest: int = LONGEST, times: float = 1.0) -> DataFrame:
-    """``(id, other)``: pairs where a window of the longer form may score ``c`` against the shorter one.
+    """``(id, other)``: pairs where a window of the longer form may score ``c`` against the shorter one,
+    some more than once.
 
     Both sides are ``(id, form)``; the window is as long as the shorter form, or cut off by the
     end of the longer one.  Of the shorter form the rarest grams are indexed, of the longer one
@@ -157,10 +195,11 @@ def window_pairs(short: DataFrame, long: DataFrame, c: float, longest: int = LON
 
     n = F.length("form")
     need = {q: kept(q, n) & ~kept(q + 1, n) if q < longest else kept(q, n) for q in range(1, longest + 1)}
-    every = grams(long.select("id", "form"), {q: F.lit(True) for q in need})
+    used = short.agg(*[F.max(need[q]).alias(str(q)) for q in need]).first()
+    every = grams(long.select("id", "form"), {q: F.lit(True) for q in need if used[str(q)]} or {1: F.lit(False)})
     held = every.groupBy("id", "q", "token", "n").agg(F.count(F.lit(1)).alias("times"))
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
-    own = rarest(grams(short.select("id", "form"), need), counts, gone(F.col("q"), F.col("n")) + 1)
+    own = rarest(in_order(grams(short.select("id", "form"), need), counts), gone(F.col("q"), F.col("n")) + 1)
     a, b = own.alias("a"), held.alias("b")
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.n") * times <= F.col("b.n")))
-    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))

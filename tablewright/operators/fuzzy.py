@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from tablewright.functions import similarity as sim
 from tablewright.functions import text
 from tablewright.functions.frames import kept_table, lookup, map_values
-from tablewright.functions.grams import LONGEST, similar_pairs, window_pairs
+from tablewright.functions.grams import similar_pairs, window_pairs
 
 
 # Starts of the clustering.
 STARTS = 10
+# Letters of the longest grams by which windows are found.
+WINDOW_GRAM = 4
 
 
 def _table(df: DataFrame, mapping: Mapping[str, str] | DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def _orders(tokens: Column) -> Column:
 
 
 def _typo_candidates(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """``(id, other)``: every pair of a rare and a common word whose weighted score may reach the threshold.
+    """``(id, other)``: every pair of a rare and a common word whose weighted score may reach the threshold,
+    some more than once.
 
     - Whole texts, as they are or by words in any order: pairs of like forms.
     - One at least 1.5 times as long: the shorter against windows of the longer one.
@@ -117,7 +120,7 @@ def _typo_candidates(rare: DataFrame, common: DataFrame, threshold: float) -> Da
         one_each = side.select("id", F.explode(texts).alias("text"))
         return one_each.select("id", F.array_join(F.array_sort(F.split("text", "")), "").alias("form"))
 
-    ways = [(forms(rare), forms(common), LONGEST)]
+    ways = [(forms(rare), forms(common), WINDOW_GRAM)]
     if most > 3:
         many = F.size(distinct) > 3
         ways += [(letters(rare.where(many)), letters(common), 1), (letters(rare), letters(common.where(many)), 1)]
@@ -134,7 +137,7 @@ def _typo_candidates(rare: DataFrame, common: DataFrame, threshold: float) -> Da
             pairs = part if pairs is None else pairs.union(part)
     if most > 1:
         pairs = pairs.union(_shared_words(rare, common, threshold))
-    return pairs.distinct()
+    return pairs
 
 
 def _shared_words(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
@@ -174,16 +177,20 @@ def _best_common(rare: DataFrame, common: DataFrame, threshold: float) -> DataFr
     la, lb = F.length("a"), F.length("b")
     short, long = F.when(la <= lb, F.col("a")).otherwise(F.col("b")), F.when(la <= lb, F.col("b")).otherwise(F.col("a"))
     spread = F.greatest(la, lb) / F.least(la, lb)
-    single = ~F.contains("a", F.lit(" ")) & ~F.contains("b", F.lit(" ")) & (spread >= 1.5)
-    inside = F.contains(long, short)
+    single = ~F.contains("a", F.lit(" ")) & ~F.contains("b", F.lit(" "))
+    wide, inside = single & (spread >= 1.5), F.contains(long, short)
     # Of two single words one inside the other scores all of the window's share, and no more.
-    told = told.withColumn("sure", F.when(single & inside, F.when(spread <= 8, 90.0).otherwise(60.0)))
-    window = _need(threshold, 0.9) or 1.0
-    # One word that leaves no letter out must be inside the other.
-    hopeless = single & ~inside & (F.least(la, lb) * (2 * (1 - window) / (2 - window)) < 1) & F.lit(_need(threshold, 1.0) > 0.8)
-    told = told.where(~hopeless)
-    scored = told.where("sure is null").select("rare", "common", sim.score("weighted", F.col("rare"), F.col("common")).alias("score"))
-    every = scored.union(told.where("sure is not null").select("rare", "common", "sure"))
+    told = told.withColumn("sure", F.when(wide & inside, F.when(spread <= 8, 90.0).otherwise(60.0)))
+    # One word that may leave no letter out must be inside the other; two of like lengths are no
+    # more edits apart than letters may stay unmatched.
+    whole, window = _need(threshold, 1.0), _need(threshold, 0.9) or 1.0
+    hopeless = wide & ~inside & (F.least(la, lb) * (2 * (1 - window) / (2 - window)) < 1) & F.lit(whole > 0.8)
+    far = single & ~wide & (F.levenshtein("a", "b") > (la + lb) * (1 - whole) + 1e-9)
+    told = told.where(~(hopeless | far))
+    told = told.select("rare", "common", "sure").distinct()
+    unsure = F.when(F.col("sure").isNull(), F.col("rare"))
+    score = F.coalesce("sure", sim.score("weighted", unsure, F.col("common")))
+    every = told.select("rare", "common", score.alias("score"))
     top = every.groupBy("rare").agg(F.min(F.struct((-F.col("score")).alias("score"), "common")).alias("t"))
     return top.select("rare", F.col("t.common").alias("common"), (-F.col("t.score")).alias("score"))
 
@@ -475,14 +482,17 @@ def close_matches(
     texts = values.select(F.unhex(F.md5("v")).alias("id"), F.col("v").alias("form"))
     if queries is None:
         once = similar_pairs(texts, texts, cutoff, ordered=True)
-        pairs = once.select(F.inline(F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other")))))
+        pairs = once.distinct().select(F.inline(F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other")))))
     else:
         asked = queries.select(F.col(column).alias("form")).where("form is not null").distinct()
         asked = asked.select(F.unhex(F.md5("form")).alias("id"), "form")
-        pairs = similar_pairs(asked, texts, cutoff).where("id != other")
+        pairs = similar_pairs(asked, texts, cutoff).where("id != other").distinct()
         texts = texts.union(asked).distinct()
     told = lookup(pairs, texts.select("id", F.col("form").alias("value")), ["id"])
     told = lookup(told, texts.select(F.col("id").alias("other"), F.col("form").alias("match")), ["other"])
+    # As many edits as unmatched letters at most: most candidates need no score.
+    edits = (F.length("value") + F.length("match")) * (1 - cutoff) + 1e-9
+    told = told.where(F.levenshtein("value", "match") <= edits)
     ratio = sim.score("matcher_raw", F.col("match"), F.col("value"), cutoff)
     scored = told.select("value", "match", ratio.alias("ratio")).where(F.col("ratio") >= cutoff)
     # rank <= n is pushed below the shuffle, so a value with many matches sends n rows.

