@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.frames import share, unpivot_strings
-from tablewright.functions.stats import exact_quantiles, moments
+from tablewright.functions.stats import exact_quantiles, number_report
 from tablewright.operators.fuzzy import close_matches
 from tablewright.operators.lattice import set_counts, set_id
 from tablewright.operators.rows import drop_nulls, sample_n
@@ -81,8 +81,8 @@ DESCRIPTION = (
 def describe_columns(df: DataFrame) -> DataFrame:
     """One row per column; fields that do not fit its type are NULL.
 
-    Counts and ranges come from one aggregate, moments from a second, quartiles from
-    ``exact_quantiles``; distinct values and modes from one grouping of all columns.
+    Counts and ranges come from one aggregate, moments and quartiles from the two scans of
+    ``number_report``; distinct values and modes from one grouping of all columns.
     """
     kinds = {f.name: _kind(f) for f in df.schema.fields}
     numbers = [c for c, k in kinds.items() if k == "numerical"]
@@ -99,9 +99,7 @@ def describe_columns(df: DataFrame) -> DataFrame:
         elif kind == "boolean":
             aggs.append(F.count_if(col).alias(f"{c}|true_count"))
     row = df.agg(*aggs).first()
-    found = moments(df, numbers) if numbers else {}
-    counts = {c: m["count"] for c, m in found.items()}
-    quartiles = exact_quantiles(df, numbers, QUARTILES, counts) if numbers else {}
+    found, quartiles = number_report(df, numbers, QUARTILES) if numbers else ({}, {})
 
     def line(c: str) -> dict:
         n, total = row[f"{c}|count"], row["rows"]

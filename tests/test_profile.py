@@ -24,11 +24,12 @@ def test_empty_and_null_columns(spark):
     assert profile.describe_columns(df.limit(0)).count() == 3
 
 
-@pytest.mark.parametrize("limit", [0, 30, 500])
+@pytest.mark.parametrize("limit,sketch,room", [(5_000_000, 8192, 2), (30, 8, 60), (500, 8, 0)])
 @pytest.mark.parametrize("shape", ["spread", "hot", "few"])
-def test_quantiles_by_brackets(spark, monkeypatch, limit, shape):
-    """The bracket search, forced onto small data, against numpy."""
-    monkeypatch.setattr(stats, "RANK_LIMIT", limit)
+def test_quantiles_by_brackets(spark, monkeypatch, limit, sketch, room, shape):
+    """As they are, with brackets that are sketched again, and with sketches that miss their ranks."""
+    for name, value in (("BRACKET_ROWS", limit), ("SKETCH", sketch), ("ROOM", room)):
+        monkeypatch.setattr(stats, name, value)
     rng = random.Random(limit)
     values = {
         "spread": [rng.gauss(0, 100) for _ in range(2000)],
