@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablewright.llm import vocabulary
-from tablewright.llm.common import Recent, col, map_batches, scratch, table, whole, written
+from tablewright.llm.common import Recent, col, scratch, table, whole
 
 # Fixed values of the seekable format: https://github.com/facebook/zstd, contrib/seekable_format.
 SEEK_TABLE_FRAME = 0x184D2A5E
@@ -177,28 +177,6 @@ MANIFEST = T.StructType(
 )
 
 
-def frames(df: DataFrame, path: str, end: int | None, text: str, key: str, level: int) -> DataFrame:
-    """``(key, frame, size, checksum)``: every text encoded and packed, in the task that read it."""
-    spec = df.sparkSession.sparkContext.broadcast(vocabulary.read(path))
-    last = b"" if end is None else struct.pack("<I", end)
-
-    def rows(batch):
-        encode, pack = encoder(spec.value), zstandard.ZstdCompressor(level=level)
-        for k, t in zip(batch["k"], batch["t"]):
-            ids = encode(t) + last
-            yield k, pack.compress(ids) if ids else b"", len(ids), checksum(ids)
-
-    schema = T.StructType(
-        [
-            T.StructField("key", df.schema[key].dataType),
-            T.StructField("frame", T.BinaryType()),
-            T.StructField("size", T.LongType()),
-            T.StructField("checksum", T.LongType()),
-        ]
-    )
-    return map_batches(df.select(col(key).alias("k"), whole(col(text)).alias("t")), schema, rows, rows=256)
-
-
 def write_tokens(
     df: DataFrame,
     folder: str,
@@ -216,12 +194,18 @@ def write_tokens(
     by their content.  Null text is empty; repeated rows are written as often; other columns
     are not read.  An empty table has an empty manifest.  A text, its ids and a file's table are
     held by one task, a file is not.  ``folder`` is a path or address that executors reach alike.
+
+    One range shuffle puts the texts in order; a task encodes its range and writes it, so a lost
+    one repeats no more than that.
     """
     if not isinstance(df.schema[key].dataType, (T.IntegralType, T.StringType)):
         raise ValueError("the key must be a whole number or a text")
     spark = df.sparkSession
-    made = written(frames(df, path, end, text, key, level), "frames")  # encoded once, whatever follows
-    ordered = made.repartitionByRange("key", "size", "checksum").sortWithinPartitions("key", "size", "checksum")
+    spec = spark.sparkContext.broadcast(vocabulary.read(path))
+    last = b"" if end is None else struct.pack("<I", end)
+    texts = df.select(col(key).alias("key"), whole(col(text)).alias("text"))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.octet_length("text")]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order)
     place = f"{folder.rstrip('/')}/data"
     arrow = to_arrow_schema(MANIFEST)
     files, inside = opened(place)
@@ -230,6 +214,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth, writer, name = TaskContext.get().partitionId(), 0, None, ""
         files, inside = opened(place)
+        encode, pack = encoder(spec.value), zstandard.ZstdCompressor(level=level)
 
         def closed() -> pa.RecordBatch:
             tokens = sum(e[1] for e in writer.entries) // 4
@@ -237,11 +222,12 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for row in zip(*(batch.column(n) for n in ("key", "frame", "size", "checksum"))):
+            for k, t in zip(*(batch.column(n) for n in ("key", "text"))):
                 if writer is None:
                     name = f"{part:06d}-{nth:06d}-{uuid.uuid4().hex}.zst"
                     writer = FrameWriter(files.open_output_stream(f"{inside}/{name}", compression=None))
-                writer.add(*(v.as_py() for v in row))
+                ids = encode(t.as_py()) + last
+                writer.add(k.as_py(), pack.compress(ids) if ids else b"", len(ids), checksum(ids))
                 if writer.size >= file_bytes:
                     yield closed()
                     writer, nth = None, nth + 1
