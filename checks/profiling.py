@@ -44,6 +44,38 @@ def p1_lineitem(spark, sf):
     return rounded(rounded(numbers, ["std_dev", "skewness", "kurtosis"]), ["mean"], 7)
 
 
+KINDS = {
+    "l_returnflag": "categorical", "l_linestatus": "categorical", "l_shipdate": "datetime", "late": "boolean", "l_quantity": "numerical",
+}
+LATE = "case when l_orderkey % 8 = 0 then null else l_quantity > 25 end"
+
+
+def kind_row(c: str, kind: str) -> str:
+    """What the description says of a column besides its moments."""
+    text, date, flag = (kind == k for k in ("categorical", "datetime", "boolean"))
+    top = f"(select {{}} from (select {c} v, count(*) n from d where {c} is not null group by 1 order by 2 desc, 1 limit 1))"
+    return f"""select '{c}' as "column", '{kind}' as kind, count(*) as total_count, count(*) - count({c}) as missing_count,
+      (count(*) - count({c})) * 100.0::double / count(*) as missing_pct, count(distinct {c}) as unique_count,
+      {top.format("v") if text else "null::varchar"} as top_value, {top.format("n") if text else "null::bigint"} as top_freq,
+      {top.format("n") + " * 100.0::double / count(*)" if text else "null::double"} as top_pct,
+      {f"strftime(min({c}), '%Y-%m-%d %H:%M:%S')" if date else "null::varchar"} as min_date,
+      {f"strftime(max({c}), '%Y-%m-%d %H:%M:%S')" if date else "null::varchar"} as max_date,
+      {f"date_diff('day', min({c}), max({c}))" if date else "null::bigint"} as range_days,
+      {f"count(*) filter ({c})" if flag else "null::bigint"} as true_count,
+      {f"count(*) filter (not {c})" if flag else "null::bigint"} as false_count,
+      {f"count(*) filter ({c}) * 100.0::double / count({c})" if flag else "null::double"} as true_pct from d"""
+
+
+@query("p1_describe_kinds", f"with d as (select *, {LATE} as late from lineitem) "
+       + " union all ".join(kind_row(c, k) for c, k in KINDS.items()))
+def p1_kinds(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("late", F.expr(LATE)).select(*KINDS)
+    return profile.describe_columns(rows).select(
+        "column", "kind", "total_count", "missing_count", "missing_pct", "unique_count", "top_value", "top_freq", "top_pct",
+        "min_date", "max_date", "range_days", "true_count", "false_count", "true_pct",
+    )
+
+
 def modes(col: str, src: str) -> str:
     return f"""select '{col}' as "column", t.total as total_count, v as top_value, n as top_freq,
     n * 100.0::double / t.total as top_pct, u as unique_count from (
