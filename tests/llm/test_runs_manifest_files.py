@@ -270,3 +270,17 @@ def test_damage_is_found(spark, tmp_path):
     assert [r.doc_id for r in got] == ["k7"]
     with pytest.raises(ValueError):
         token_files.write_tokens(df.withColumn("doc_id", F.lit(1.5)), folder, queries.BYTE_VOCABULARY)
+
+
+def test_unequal_words_have_unequal_hashes():
+    from tablewright.llm import near_dups
+
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < 2048:  # the words that defeat a polynomial modulo a power of two
+        word += word.translate(swap)
+    words = [word, word.translate(swap), "x" * 7, "x" * 8, "x" * 9, "x" * 7 + "y", "\0", "\0\0", "é", word + "a"]
+    got = near_dups.word_hashes(" \n".join(words) + " ").tolist()
+    assert len(set(got)) == len(words)
+    assert [near_dups.word_hashes(w.upper() if w.isascii() else w)[0] for w in words] == got
+    assert not len(near_dups.word_hashes(" \t")) and not len(near_dups.word_hashes(""))
