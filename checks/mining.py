@@ -452,9 +452,15 @@ def a4(spark, sf):
     return shown(ar.association_rules(ar.frequent_itemsets(baskets, 0.05).persist(), "lift", 1.0))
 
 
-@query("a5_rules_between", f"""{itemset_sql(0.02)}, {RULES} select * from rules where confidence >= 0.1
-  and antecedents like 'o_orderstatus_%' and antecedents not like '%,%' and consequents not like '%,%'
-  and consequents like 'o_orderpriority_%'""")
+# One item of each column at most: the rules are pairs of values, their counts two plain groupings.
+@query("a5_rules_between", f"""{cte('line_facts')}, n as (select count(*) as n from line_facts),
+  fa as (select o_orderstatus as a, count(*) as fa from line_facts where o_orderstatus is not null group by 1),
+  fc as (select o_orderpriority as c, count(*) as fc from line_facts where o_orderpriority is not null group by 1),
+  met as (select o_orderstatus as a, o_orderpriority as c, count(*) as f from line_facts
+    where o_orderstatus is not null and o_orderpriority is not null group by all)
+  select 'o_orderstatus_' || a as antecedents, 'o_orderpriority_' || c as consequents, f::double / n as support,
+  f::double / fa as confidence, (f * n)::double / (fa * fc) as lift
+  from met join fa using (a) join fc using (c), n where f >= 0.02 * n and f::double / fa >= 0.1""")
 def a5(spark, sf):
     baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
     return shown(ar.rules_between(baskets, "o_orderstatus_", "o_orderpriority_", 0.02, "confidence", 0.1))

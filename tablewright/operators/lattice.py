@@ -91,9 +91,10 @@ def class_counts(
     return {frozenset(r["attributes"]): r["classes"] for r in found}, rows
 
 
-def pair_groups(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    """One row per (pair, X value): group size and the spread of Y inside.
+def _pair_rows(df: DataFrame, pairs: Sequence[Pair]) -> tuple[DataFrame, list[str]]:
+    """One row per (pair, X value, Y value), and the columns' order.
 
+    ``c{i}`` are the X values, ``y{i}`` the Y value where the Y is column i; ``n`` counts rows.
     Each union X+Y is counted once; dropping Y in turn from those counts serves every
     pair on the same attributes.  Groups with a NULL in X are left out.
     """
@@ -127,14 +128,28 @@ def pair_groups(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
         x_null = x_null | (member(i) & (F.col("rhs_id") != i) & null)
         y_null = y_null | ((F.col("rhs_id") == i) & null)
     masked = [F.when(F.col("rhs_id") != i, F.col(f"c{i}")).alias(f"c{i}") for i in range(len(columns))]
-    flat = each.where(~x_null).select("set_id", "rhs_id", *masked, "n", y_null.alias("y_null"))
+    ys = [F.when(F.col("rhs_id") == i, F.col(f"c{i}")).alias(f"y{i}") for i in range(len(columns))]
+    return each.where(~x_null).select("set_id", "rhs_id", *masked, *ys, "n", y_null.alias("y_null")), list(columns)
+
+
+def pair_groups(df: DataFrame, pairs: Sequence[Pair], mode: bool = False) -> DataFrame:
+    """One row per (pair, X value): group size and the spread of Y inside.
+
+    NULL counts as a value of Y.  ``mode`` adds the most frequent one that is not NULL, the smallest
+    of several, as field ``y{i}`` of a struct.
+    """
+    flat, columns = _pair_rows(df, pairs)
     present = F.when(~F.col("y_null"), F.col("n")).otherwise(0)
+    ys = [F.col(f"y{i}") for i in range(len(columns))]
+    order = F.when(~F.col("y_null"), F.struct(-F.col("n"), *ys))
+    most = [F.min_by(F.struct(*ys), order).alias("mode")] if mode else []
     return flat.groupBy("set_id", "rhs_id", *[f"c{i}" for i in range(len(columns))]).agg(
         F.sum("n").alias("size"),
         F.count(F.lit(1)).alias("n_values"),
         F.count_if(~F.col("y_null")).alias("n_present"),
         F.sum(present).alias("present_rows"),
         F.max("n").alias("largest"),
+        *most,
     )
 
 

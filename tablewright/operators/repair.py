@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.frames import lookup
-from tablewright.operators.lattice import Pair, pair_stats
+from tablewright.functions.frames import kept_table, lookup
+from tablewright.operators.lattice import Pair, pair_groups, pair_stats, set_id
 
 ARROW = "→"
 
@@ -31,24 +31,56 @@ def _known(df: DataFrame, fd: Pair) -> bool:
     return all(c in df.columns for c in (*fd[0], fd[1]))
 
 
-def _mode_by_group(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
-    """``(k0, k1, ..., n_values, ..., mode)`` per X: NULL counts as a value, never as the mode.
+class _Groups:
+    """X groups of several dependencies with their modes, from one aggregate over the table.
 
-    Counting (X, Y) first keeps a hot X at one row per Y before the groups meet.
+    NULL counts as a value of Y, never as the mode; X values with a NULL form no group.
     """
-    names = {f"k{i}": F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(x)}
-    keys = [F.col(k) for k in names]
-    plain = df.select(*names.values(), F.col(f"`{y}`").alias("__y"))
-    whole = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
-    pairs = plain.where(whole).groupBy(*keys, "__y").agg(F.count(F.lit(1)).alias("__n"))
-    present = F.col("__y").isNotNull()
-    order = F.when(present, F.struct(-F.col("__n"), F.col("__y")))
-    return pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.count_if(present).alias("n_present"),
-        F.sum(F.when(present, F.col("__n")).otherwise(0)).alias("present_rows"),
-        F.min_by(F.when(present, F.col("__y")), order).alias("mode"),
-    )
+
+    def __init__(self, df: DataFrame, fds: Sequence[Pair]):
+        self.fds = list(fds)
+        self.columns = [c for c in df.columns if c in {a for x, y in self.fds for a in (*x, y)}]
+        #: Several dependencies may differ in the order of X only.
+        which: dict[tuple[int, int], list[int]] = {}
+        for no, (x, y) in enumerate(self.fds):
+            which.setdefault((set_id(self.columns, (*x, y)), self.columns.index(y)), []).append(no)
+        groups = pair_groups(df, list(dict.fromkeys(self.fds)), mode=True)
+        number = F.coalesce(
+            *[
+                F.when((F.col("set_id") == s) & (F.col("rhs_id") == r), F.array(*[F.lit(n) for n in nos]))
+                for (s, r), nos in which.items()
+            ]
+        )
+        #: ``(fd_no, c0, c1, ..., n_values, n_present, present_rows, mode)``.
+        self.rows = groups.withColumn("fd_no", F.explode(number))
+
+    def x(self, no: int) -> list[Column]:
+        """The X values of a dependency, in its own order."""
+        return [F.col(f"c{self.columns.index(c)}") for c in self.fds[no][0]]
+
+    def mode(self, no: int) -> Column:
+        return F.col("mode")[f"y{self.columns.index(self.fds[no][1])}"]
+
+    def by_fd(self, value: Callable[[int], Column]) -> Column:
+        """A value that each dependency makes in a way of its own."""
+        return F.coalesce(*[F.when(F.col("fd_no") == no, value(no)) for no in range(len(self.fds))])
+
+    def name(self) -> Column:
+        return self.by_fd(lambda no: F.lit(f"{','.join(self.fds[no][0])} {ARROW} {self.fds[no][1]}"))
+
+    def excluded(self, exclusions: Mapping[str, Sequence]) -> Column:
+        """Whether an X value is one of those to pass over."""
+
+        def hit(no: int) -> Column:
+            tests = [x.isin(list(exclusions[c])) for c, x in zip(self.fds[no][0], self.x(no)) if c in exclusions]
+            return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+        return self.by_fd(hit)
+
+
+def _suggesting(groups: _Groups) -> DataFrame:
+    """Groups with a mode that more than one row, or a missing value, speaks for."""
+    return groups.rows.where("mode is not null and (n_present > 1 or n_values > n_present)")
 
 
 def accepted_fds(afds: DataFrame, min_conf: float = 95.0) -> list[tuple[Pair, float]]:
@@ -104,23 +136,30 @@ def fd_violations(
     ``x_value`` holds the X values as strings in the order of the dependency.
     """
     chosen = {parse_fd(s) for s in selected}
-    out = None
-    for x, y in fds:
-        if not _known(df, (x, y)):
-            continue
-        groups = _mode_by_group(df, x, y).where("n_values > 1")
-        if detail is not None:
-            groups = groups.orderBy(*[f"k{i}" for i in range(len(x))]).limit(detail)
-        part = groups.select(
-            F.lit(f"{','.join(x)} {ARROW} {y}").alias("fd"),
-            F.array(*[F.col(f"k{i}").cast("string") for i in range(len(x))]).alias("x_value"),
-            F.col("n_values"),
-            F.col("present_rows").alias("n_rows"),
-            F.col("mode").cast("string").alias("most_common_y"),
-            F.lit((x, y) in chosen).alias("will_fix"),
-        )
-        out = part if out is None else out.union(part)
-    return out
+    known = [fd for fd in fds if _known(df, fd)]
+    if not known:
+        return None
+    groups = _Groups(df, known)
+    bad = groups.rows.where("n_values > 1")
+    if detail is not None:
+        # By the typed X values, in the order of each dependency; row_number <= detail is pushed down.
+        at = range(max(len(x) for x, _ in known))
+        keys = [
+            F.when(F.col("fd_no") == no, groups.x(no)[i])
+            for i in at
+            for no in range(len(known))
+            if i < len(known[no][0])
+        ]
+        place = F.row_number().over(Window.partitionBy("fd_no").orderBy(*keys))
+        bad = bad.withColumn("__place", place).where(F.col("__place") <= detail)
+    return bad.select(
+        groups.name().alias("fd"),
+        groups.by_fd(lambda no: F.array(*[x.cast("string") for x in groups.x(no)])).alias("x_value"),
+        "n_values",
+        F.col("present_rows").alias("n_rows"),
+        groups.by_fd(lambda no: groups.mode(no).cast("string")).alias("most_common_y"),
+        groups.by_fd(lambda no: F.lit(known[no] in chosen)).alias("will_fix"),
+    )
 
 
 def violation_values(df: DataFrame, violations: DataFrame, fd: Pair) -> DataFrame:
@@ -148,16 +187,17 @@ def repair_by_fd(
     exclusions = dict(key_exclusions or {})
     usable = [fd for fd in map(parse_fd, fds) if _known(df, fd)]
 
-    def suggest(fd: Pair) -> DataFrame:
-        x, y = fd
-        groups = _mode_by_group(df, x, y).where(F.col("mode").isNotNull())
-        for i, c in enumerate(x):
-            if c in exclusions:
-                groups = groups.where(~F.col(f"k{i}").isin(list(exclusions[c])))
-        return groups.where("n_present > 1 or n_values > n_present")
+    if not usable:
+        return _apply(df, [])
+    groups = _Groups(df, usable)
+    # Counted once, then read per dependency.
+    rows = kept_table(_suggesting(groups).where(~groups.excluded(exclusions)))
 
-    maps = [(fd, suggest(fd)) for fd in usable]
-    return _apply(df, maps)
+    def suggested(no: int) -> DataFrame:
+        keys = [x.alias(f"k{i}") for i, x in enumerate(groups.x(no))]
+        return rows.where(F.col("fd_no") == no).select(*keys, groups.mode(no).alias("mode"))
+
+    return _apply(df, [(fd, suggested(no)) for no, fd in enumerate(usable)])
 
 
 def repair_from_report(df: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -244,18 +284,15 @@ def repair_potential(
     df: DataFrame, fds: Sequence[str], key_exclusions: Mapping[str, Sequence] | None = None
 ) -> DataFrame:
     """``(fd, potential, skipped)``: X groups with a suggestion, and excluded ones."""
-    exclusions = dict(key_exclusions or {})
-    out = None
-    for x, y in map(parse_fd, fds):
-        if not _known(df, (x, y)):
-            continue
-        groups = _mode_by_group(df, x, y).where(F.col("mode").isNotNull())
-        groups = groups.where("n_present > 1 or n_values > n_present")
-        skip = F.lit(False)
-        for i, c in enumerate(x):
-            if c in exclusions:
-                skip = skip | F.col(f"k{i}").isin(list(exclusions[c]))
-        part = groups.agg(F.count(F.lit(1)).alias("potential"), F.count_if(skip).alias("skipped"))
-        part = part.select(F.lit(f"{','.join(x)} {ARROW} {y}").alias("fd"), "potential", "skipped")
-        out = part if out is None else out.union(part)
-    return out
+    known = [fd for fd in map(parse_fd, fds) if _known(df, fd)]
+    if not known:
+        return None
+    groups = _Groups(df, known)
+    skip = groups.excluded(dict(key_exclusions or {}))
+    counts = _suggesting(groups).groupBy("fd_no").agg(
+        F.count(F.lit(1)).alias("potential"), F.count_if(skip).alias("skipped")
+    )
+    names = [(no, f"{','.join(x)} {ARROW} {y}") for no, (x, y) in enumerate(known)]
+    listed = df.sparkSession.createDataFrame(names, "fd_no int, fd string").join(counts, "fd_no", "left")
+    zero = F.lit(0).cast("long")
+    return listed.select("fd", F.coalesce("potential", zero).alias("potential"), F.coalesce("skipped", zero).alias("skipped"))
