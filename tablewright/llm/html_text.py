@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +42,10 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 NEVER = frozenset(
-    "head nav aside footer form script style noscript template iframe svg math canvas object embed audio video button select textarea input dialog menu title noembed noframes map".split()
+    "head nav aside footer script style noscript template iframe svg math canvas object embed audio video button select textarea input dialog menu title noembed noframes map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Class tokens or ids, or their last words, by which a block is hardly the article.
+#: Class tokens or ids, or their first or last words, by which a block is hardly the article.
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promoted promotion
     sidebar sidenav menu submenu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar
@@ -55,10 +56,13 @@ NAMES = frozenset(
 )
 #: Those of them that stand for what readers wrote, which may well be longer than the article.
 READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Those that say so in any place.
+ASIDES = frozenset("sidebar footer".split())
 #: Words that turn a name into a property of the block, as in with-sidebar.
 TURNED = frozenset("with has have no not without is show hide open free enabled".split())
-#: The largest share of the page's unlinked text at which a name decides, by kind of name.
-SMALL, SMALL_READERS = 0.25, 0.5
+#: The largest share of the page's unlinked text at which a name decides, by kind of name; a form
+#: that holds more is the page itself.
+SMALL, SMALL_READERS, SMALL_FORM = 0.25, 0.5, 0.4
 #: Longer ones of readers count so much less, unless they hold nearly all of the text.
 LOWERED, NEARLY_ALL = 0.02, 0.95
 ARTICLE = frozenset(("article", "main"))
@@ -66,10 +70,11 @@ ARTICLE = frozenset(("article", "main"))
 LEAST = 0.2
 
 TOKEN = re.compile(
-    r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[A-Za-z/!?][^>]*\Z""",
+    r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*>|<[A-Za-z/!?][^>]*\Z""",
     re.S,
 )
-NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
+#: One attribute after the other, so that nothing inside a value counts as a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -93,7 +98,7 @@ def left_out(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    for name, value in NAMED.findall(attributes):
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
@@ -106,19 +111,19 @@ def left_out(tag: str, attributes: str, in_article: bool) -> bool:
 
 def named(tag: str, attributes: str, in_article: bool) -> float:
     """The share of the page's text up to which the element's class or id decides; 0 without such a name."""
-    share = 0.0
+    share = SMALL_FORM if tag == "form" else 0.0
     if not attributes or tag in ("html", "body") or tag in ARTICLE:
         return share
-    for name, value in NAMED.findall(attributes):
+    for name, value in ATTRIBUTE.findall(attributes):
         if name.lower() not in ("class", "id"):
             continue
         for token in value.strip("\"'").split():
             words = [w.lower() for w in PART.findall(token)]
             if not words or TURNED.intersection(words):
                 continue
-            if words[-1] in READERS:
+            if READERS.intersection(words):
                 share = SMALL_READERS
-            elif words[-1] in NAMES or (words[-1] == "header" and not in_article and tag in ("div", "section")):
+            elif words[-1] in NAMES or words[0] in NAMES or ASIDES.intersection(words) or (words[-1] == "header" and not in_article and tag in ("div", "section")):
                 share = max(share, SMALL)
     return share
 
@@ -128,6 +133,7 @@ def parse(page: str) -> Block:
     root = Block("html", None, False)
     block, stack = root, []  # open elements: (tag, block that it made or None)
     links = articles = 0
+    opened: Counter[str] = Counter()  # an end tag without a start costs nothing
     at, end = 0, len(page)
 
     def text(part: str) -> None:
@@ -143,6 +149,7 @@ def parse(page: str) -> Block:
         nonlocal block, links, articles
         while len(stack) > depth:
             tag, made = stack.pop()
+            opened[tag] -= 1
             links -= tag == "a"
             articles -= tag in ARTICLE
             if made is not None:
@@ -162,7 +169,7 @@ def parse(page: str) -> Block:
                 continue
         tag = tag.lower()
         if slash:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(0) if not opened[tag] else range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     close(depth)
                     break
@@ -210,6 +217,7 @@ def parse(page: str) -> Block:
                     up = up.up
         if tag != "html" and tag != "body" or made is not None:
             stack.append((tag, made))
+            opened[tag] += 1
             links += tag == "a"
             articles += tag in ARTICLE
     close(0)

@@ -284,3 +284,41 @@ def test_unequal_words_have_unequal_hashes():
     assert len(set(got)) == len(words)
     assert [near_dups.word_hashes(w.upper() if w.isascii() else w)[0] for w in words] == got
     assert not len(near_dups.word_hashes(" \t")) and not len(near_dups.word_hashes(""))
+
+
+BODY = "".join(f"<p>Sentence {i} of the article, which goes on for a while and ends here.</p>" for i in range(12))
+PLAIN = "\n\n".join(f"Sentence {i} of the article, which goes on for a while and ends here." for i in range(12))
+BESIDE = [
+    "comments-area", "comment-list", "comments-list", "comment-thread", "replies-section", "sidebar-left", "sidebar-right",
+    "site-footer-inner", "ad-slot", "ad-container", "newsletter-box", "cookie-bar", "related-posts", "share-buttons",
+    "widget-area", "notice-bar", "promo-box", "popup-content",
+]
+
+
+@pytest.mark.parametrize("name", BESIDE)
+def test_blocks_beside_the_article_go(name):
+    from tablewright.llm.html_text import main_text
+
+    page = f"<body><div class=post>{BODY}</div><div class='{name}'><p>What others say about it here.</p><p>And more of it.</p></div></body>"
+    assert main_text(page) == PLAIN
+
+
+@pytest.mark.parametrize("mark", ["title='a hidden gem'", "data-note='not hidden now'", "title='its role=menu item'", "class='post comments-open'",
+                                  "class='content with-sidebar'", "class='ad-free'", "class=related-links-enabled"])
+def test_what_stands_in_other_attributes_is_no_name(mark):
+    from tablewright.llm.html_text import main_text
+
+    assert main_text(f"<body><div {mark}>{BODY}</div></body>") == PLAIN
+    assert main_text(f"<body><form action=/x><div>{BODY}</div><input name=q></form></body>") == PLAIN
+    assert main_text(f"<body><div>{BODY}</div><form><label>Your name</label><input><button>Go</button></form></body>") == PLAIN
+
+
+def test_damaged_markup_takes_linear_time():
+    import time
+
+    from tablewright.llm.html_text import main_text
+
+    start = time.time()
+    for page in ("<" + "a" * 1_000_000, "<a " + "b" * 1_000_000, "<div>" * 20_000 + "</span>" * 20_000, "<a '" * 200_000):
+        main_text(page)
+    assert time.time() - start < 20
