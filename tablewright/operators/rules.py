@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.frames import unpivot_strings
+from tablewright.functions.frames import kept_table, unpivot_strings
 from tablewright.operators.multivalue import CODES
 
 # Between column and value where items of several columns meet: in no column name.
@@ -109,34 +109,37 @@ def association_rules(
 ) -> DataFrame:
     """Every split of every frequent itemset into antecedents and consequents.
 
-    Itemsets are few next to the baskets; their splits are numbered by bit patterns and
-    looked up by two joins.
+    Consequents grow by one item a round, each in the order of the items, so a split is made
+    once.  Moving items to the consequents only raises the count of the antecedents: a split
+    whose confidence is too low is grown no further, nor one whose lift cannot be reached by
+    any consequent that holds the whole itemset's rows.  Each round is kept in the shared folder.
     """
-    size = F.size("items")
-    masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")
-    split = itemsets.where(size > 1).withColumn("mask", F.explode(masks))
-
-    def side(bit: int) -> Column:
-        return F.expr(f"filter(items, (x, i) -> getbit(mask, i) = {bit})")
-
-    parts = split.select(
-        side(1).alias("antecedents"), side(0).alias("consequents"), "freq", "n", "support"
-    )
+    sets = itemsets.where(F.size("items") > 1)
+    most = sets.agg(F.max(F.size("items"))).first()[0] or 1
     ante = itemsets.select(F.col("items").alias("antecedents"), F.col("freq").alias("freq_a"))
     cons = itemsets.select(F.col("items").alias("consequents"), F.col("freq").alias("freq_c"))
     confidence = F.col("freq") / F.col("freq_a")
+    can_grow = {"confidence": confidence, "lift": F.col("n") / F.col("freq_a") * (1 + 1e-12)}.get(metric)
+    grown = sets.withColumn("consequents", F.array().cast("array<string>"))
+    splits = None
+    for done in range(max(most - 1, 1)):
+        last = F.try_element_at("consequents", F.lit(-1))
+        following = F.filter("items", lambda i: last.isNull() | (i > last))
+        longer = grown.where(F.size("items") > done + 1).select(
+            "items", "freq", "n", "support", F.explode(following).alias("__i"), "consequents"
+        )
+        longer = longer.withColumn("consequents", F.array_append("consequents", F.col("__i"))).drop("__i")
+        grown = longer.withColumn("antecedents", F.array_except("items", "consequents")).join(ante, "antecedents")
+        if can_grow is not None:
+            grown = grown.where(can_grow >= min_threshold)
+        grown = kept_table(grown.select("items", "freq", "n", "support", "antecedents", "consequents", "freq_a"))
+        splits = grown if splits is None else splits.union(grown)
+        if grown.isEmpty():
+            break
     # Counts first, one division: no rounding in between.
     lift = (F.col("freq") * F.col("n")) / (F.col("freq_a") * F.col("freq_c"))
-    rules = (
-        parts.join(ante, "antecedents")
-        .join(cons, "consequents")
-        .select(
-            "antecedents",
-            "consequents",
-            "support",
-            confidence.alias("confidence"),
-            lift.alias("lift"),
-        )
+    rules = splits.join(cons, "consequents").select(
+        "antecedents", "consequents", "support", confidence.alias("confidence"), lift.alias("lift")
     )
     return rules.where(F.col(metric) >= min_threshold)
 

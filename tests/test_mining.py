@@ -263,3 +263,17 @@ def test_decimal_and_integer_are_one_value(spark):
     df = spark.sql("select cast(1.00 as decimal(9,2)) as d, 1 as i union all select cast(10.50 as decimal(9,2)), 1")
     found = {(r["lhs"], r["rhs"]) for r in inclusion.discover_inds(df, min_conf=1.0).collect()}
     assert found == {("i", "d")}
+
+
+def test_rules_of_a_large_itemset_are_not_all_split(spark):
+    """Twenty items: only the splits that confidence lets grow are ever made."""
+    items = [f"i{k:02d}" for k in range(20)]
+    rows = [(items, 10, 1000, 0.01)]
+    for k in range(20):  # without the first or the second the rest is nearly as rare
+        rest = items[:k] + items[k + 1 :]
+        rows += [(rest, 11 if k < 2 else 500, 1000, 0.011), ([items[k]], 600, 1000, 0.6)]
+    rows += [(items[2:], 11, 1000, 0.011), (items[:2], 300, 1000, 0.3)]
+    sets = spark.createDataFrame(rows, "items array<string>, freq long, n long, support double")
+    found = rules.association_rules(sets, "confidence", 0.9).where(F.size("antecedents") + F.size("consequents") == 20).collect()
+    got = {tuple(r.consequents): round(r.confidence, 6) for r in found}
+    assert got == {("i00",): round(10 / 11, 6), ("i01",): round(10 / 11, 6), ("i00", "i01"): round(10 / 11, 6)}
