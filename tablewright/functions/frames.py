@@ -36,7 +36,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def kept_table(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder: what it was made from may be released."""
-    shared_dir(df.sparkSession)
+    known = shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(known)
     return df.checkpoint()
 
 
