@@ -35,7 +35,7 @@ class State:
 class Encoder:
     """Ids of pre-tokens."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remembered: int = REMEMBERED):
         self.vocab = v = vocabulary.load(spec)
         n = self.n = max(v.names) + 1
         self.rank: dict[int, int] = {}
@@ -59,7 +59,7 @@ class Encoder:
         #: Per state its string, the entries that end there (longest first), its next states.
         self.states: dict[str, State] = {}
         self.start = self.state("")
-        self.pairs = Recent(lambda k: self._meet(*divmod(k, self.n), NEVER), REMEMBERED)
+        self.pairs = Recent(lambda k: self._meet(*divmod(k, self.n), NEVER), remembered)
 
     def _whole(self, x: int, y: int, rank: int) -> bool:
         """True if x and y come to stand side by side, so that their merge makes one token."""
@@ -115,12 +115,12 @@ class Encoder:
 class Chunks:
     """``ids``: chunk (bytes between white space) -> its ids as text; ``names``: id as text -> token."""
 
-    def __init__(self, spec: str):
-        self.encoder = Encoder(spec)
+    def __init__(self, spec: str, remembered: int = REMEMBERED):
+        self.encoder = Encoder(spec, remembered)
         self.vocab = self.encoder.vocab
         self.names = {str(i): t for i, t in self.vocab.names.items()}
-        self.words = Recent(self.encode_word, REMEMBERED)
-        self.ids = Recent(self.encode_chunk, REMEMBERED)
+        self.words = Recent(self.encode_word, remembered)
+        self.ids = Recent(self.encode_chunk, remembered)
         gc.freeze()  # the tables stay: no use in walking them again and again
 
     def encode_word(self, word: str | int) -> str:
@@ -132,8 +132,8 @@ class Chunks:
 
 
 @lru_cache(maxsize=2)
-def chunks(spec: str) -> Chunks:
-    return Chunks(spec)
+def chunks(spec: str, remembered: int = REMEMBERED) -> Chunks:
+    return Chunks(spec, remembered)
 
 
 def encode_text(text: str, known: Chunks) -> str:
@@ -147,17 +147,18 @@ def decode_text(ids: str, known: Chunks) -> str:
 
 
 def encode(
-    df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = True
+    df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = True, remembered: int = REMEMBERED
 ) -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256[, ids array<int>])``, one row per row of ``df``.
 
     Null text: empty, no ids, digests of the empty string.  Repeated rows give repeated
-    results; other columns are not read.
+    results; other columns are not read.  A worker remembers ``remembered`` words, chunks and pairs of
+    tokens, or twice as many: fewer take less memory and more time.
     """
     spec = df.sparkSession.sparkContext.broadcast(vocabulary.read(path))
 
     def rows(batch):
-        known = chunks(spec.value)
+        known = chunks(spec.value, remembered)
         for k, t in zip(batch["k"], batch["t"]):
             ids = encode_text(t, known)
             out = k, ids.count(" ") + 1 if ids else 0, sha(ids), sha(decode_text(ids, known))
