@@ -36,7 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)`` of every document."""
-    return bpe.encode(docs, VOCABULARY)
+    # The workers keep what they remember through the stages that follow in a session.
+    return bpe.encode(docs, VOCABULARY, remembered=80_000)
 
 
 STAGES = [
