@@ -1,136 +1,159 @@
-"""Candidate pairs of like texts, from an index of their rarest grams.
+"""Candidate pairs of like texts, from an index of pieces that the edits between them spare.
 
 Two texts of ``la`` and ``lb`` letters whose score ``2M / (la + lb)`` reaches ``c`` are at most
 ``D = (1 - c)(la + lb)`` insertions and deletions apart: ``da`` letters of one and ``db`` of the
-other stay unmatched.  A gram of ``q`` letters is lost where one of its letters is unmatched or
-something is put between them, so one text keeps all but ``q * da + (q - 1) * db`` of its grams,
-the other the same with roles changed.  Grams are put in one order for all, the rarest first;
-the first that both keep stands, in either text, behind no more than the lost ones.  It is enough
-to index so many of each text's rarest grams and one more, and a pair that meets on one must be
-of fitting lengths, and the gram at fitting places.  No pair is missed, at any ``c`` above 0: where
-grams of three letters might all be lost, pairs of these lengths meet on shorter ones.
-
-The keys are Spark expressions, counted, ordered and joined by Spark; a hot gram is nobody's
-rarest unless a text has nothing rarer.
+other stay unmatched.  Of pieces of the first text that do not overlap, an unmatched letter of
+either spoils one at most, so of ``da + db + 1`` one stands whole in the other text, moved by
+``da`` letters back or ``db`` forth at most.  One side sends so many of its rarest pieces, for each
+length that partners may have, the other side all grams of the pieces' lengths.  No pair is missed,
+at any ``c`` above 0: single letters are spoilt by the text's own unmatched letters only, and one
+of those is matched.
+
+Pieces are as long as their number allows, ``LONGEST`` letters at most; shorter ones meet only at
+fitting lengths and near fitting places.  Pairs of short texts are compared where they meet, so what
+is no pair is never sent on.  All is made within a text's own row; only pieces are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.frames import lookup
-
-#: Letters of the longest grams.
-LONGEST = 3
+#: Letters of the longest pieces.
+LONGEST = 6
+#: Texts of so many letters go along with their pieces and are compared at once.
+CARRIED = 64
+#: Counters that tell rare grams from frequent ones; grams may share one.
+COUNTERS = 1 << 16
 #: Rounding of products of lengths and shares.
 NEAR = 1e-9
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unmatched(own: Column, other: Column, c: float) -> Column:
     """Most letters of a text of ``own`` letters that may stay unmatched: ``(D + own - other) / 2``."""
     return F.floor(own * (1 - c / 2) - other * (c / 2) + NEAR)
 
 
-def lost(q: int | Column, own: Column, other: Column) -> Column:
-    """Most grams of a text that its own and the other's unmatched letters take from it."""
-    return own * q + other * (q - 1)
+def partners(n: Column, c: float) -> tuple[Column, Column]:
+    """Least and greatest length of a text that may score ``c`` with one of ``n`` letters."""
+    return F.ceil(n * (c / (2 - c)) - NEAR).cast("int"), F.floor(n * ((2 - c) / c) + NEAR).cast("int")
+
+
+def cell(n: Column) -> Column:
+    """Number of the cell of lengths that holds ``n``: single lengths below 16, then eight to a doubling."""
+    shift = F.greatest(F.floor(F.log2(n.cast("double")) + NEAR) - 3, F.lit(0)).cast("int")
+    return F.when(n < 16, n).otherwise(8 * shift + F.call_function("shiftright", n, shift)).cast("int")
+
+
+def cell_shift(k: Column) -> Column:
+    """Lengths of a cell, and places of a stretch in its texts, as a power of two."""
+    return F.when(k < 16, 0).otherwise(F.floor(k / 8) - 1).cast("int")
+
+
+def cell_ends(k: Column) -> tuple[Column, Column]:
+    """Least and greatest length of a cell."""
+    shift = cell_shift(k)
+    low = F.call_function("shiftleft", k - 8 * shift, shift)
+    return low, low + F.call_function("shiftleft", F.lit(1), shift) - 1
 
 
-def kept_by_all(q: int, n: Column, c: float) -> Column:
-    """Whether every partner that a text of ``n`` letters may have keeps a gram of ``q`` letters of it.
+def cut(n: Column, spoilt: Column, own: Column, longest: int) -> tuple[Column, Column]:
+    """Letters of a piece and number of pieces, of ``n`` letters: one piece more than may be spoilt.
 
-    What is lost is linear in the partner's length, so the shortest and the longest decide.
+    ``spoilt`` bounds the unmatched letters of both texts, ``own`` those of this one.
     """
-    least, most = n * (c / (2 - c)), n * ((2 - c) / c)
-    fewer, more = n * (2 * (1 - c) / (2 - c)), n * (2 * (1 - c) / c)  # unmatched letters then
-    room = n - q + 1 - NEAR
-    return (
-        (fewer * q < room) & (fewer * (q - 1) < least - q + 1 - NEAR)
-        & (more * (q - 1) < room) & (more * q < most - q + 1 - NEAR)
+    q = F.greatest(F.least(F.floor(n / (spoilt + 1)), F.lit(longest)), F.lit(1)).cast("int")
+    return q, F.when(q > 1, spoilt + 1).otherwise(F.greatest(F.least(own + 1, n), F.lit(1))).cast("int")
+
+
+def pieces_for(n: Column, k: Column, c: float) -> Column:
+    """``(k, q, most, back, forth)``: pieces of a text of ``n`` letters for partners in the cell ``k``."""
+    least, most = partners(n, c)
+    low, high = cell_ends(k)
+    back, forth = unmatched(n, F.greatest(low, least), c), unmatched(F.least(high, most), n, c)
+    both = F.floor((n + F.least(high, most)) * (1 - c) + NEAR)
+    q, pieces = cut(n, F.greatest(F.least(back + forth, both), F.lit(0)), back, LONGEST)
+    return F.struct(
+        k.alias("k"), q.alias("q"), pieces.alias("most"),
+        F.greatest(back, F.lit(0)).cast("int").alias("back"), F.greatest(forth, F.lit(0)).cast("int").alias("forth"),
     )
 
 
-def grams(side: DataFrame, need: dict[int, Column]) -> DataFrame:
-    """``(id, which, n, q, token, at)``: every gram of ``form``, of the lengths that ``need`` asks for.
+def token(letters: Column, q: Column, at: Column) -> Column:
+    """A gram by a 64-bit hash; two that share one only make a candidate more."""
+    return F.xxhash64(q, F.slice(letters, at + 1, q))
 
-    ``side`` has ``id`` and ``form``; a gram is known by a 64-bit hash, and two that share one
-    only make a candidate more.
-    """
-    letters = side.select("*", F.split("form", "").alias("letters"), F.length("form").alias("n"))
-    c = F.col("letters")
 
-    def of(q: int, wanted: Column) -> Column:
-        last = F.when(wanted & (F.col("n") >= q), F.col("n") - q).otherwise(-1)
+def meeting(q: Column, gram: Column, k: Column, stretch: Column) -> Column:
+    """Where pieces meet grams: long ones anywhere, short ones by the cell and the stretch of the text."""
+    weak = q < LONGEST
+    return F.xxhash64(gram, F.when(weak, k).otherwise(-1), F.when(weak, stretch).otherwise(-1))
 
-        def gram(i: Column) -> Column:
-            token = F.xxhash64(F.lit(q), *[F.get(c, i + k) for k in range(q)])
-            return F.struct(F.lit(q).alias("q"), token.alias("token"), i.cast("int").alias("at"))
 
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), gram))
+def rarest(letters: Column, q: Column, most: Column, table: bytes) -> Column:
+    """``(held, token, at)`` of the ``most`` rarest of a text's pieces; where one will do, of all its grams."""
+    step = F.when(most == 1, 1).otherwise(q)
+    grams = F.transform(F.sequence(F.lit(0), F.size(letters) - q, step), lambda at: F.struct(token(letters, q, at).alias("token"), at.alias("at")))
+    held = F.transform(grams, lambda g: F.struct(rarity(g["token"], table).alias("held"), g["token"].alias("token"), g["at"].alias("at")))
+    return F.slice(F.sort_array(held), F.lit(1), most)
 
-    none = F.array().cast("array<struct<q: int, token: bigint, at: int>>")
-    every = F.flatten(F.array(*[F.coalesce(of(q, wanted), none) for q, wanted in need.items()]))
-    which = F.xxhash64("form").alias("which")  # tells the forms of one id apart
-    return letters.select("id", which, "n", F.explode(every).alias("g")).select("id", "which", "n", "g.q", "g.token", "g.at")
 
+def rarity(gram: Column, table: bytes) -> Column:
+    return F.substring(F.lit(table), F.pmod(gram, F.lit(COUNTERS)).cast("int") + 1, F.lit(1))
 
-def in_order(all_grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(id, which, n, q, order)``: each form's grams by (count, gram, place), the rarest first."""
-    told = lookup(all_grams, counts, ["token"])
-    order = F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token", "at")
-    return told.groupBy("id", "which", "n", "q").agg(F.array_sort(F.collect_list(order)).alias("order"))
 
+def counted(tokens: DataFrame) -> bytes:
+    """How often grams of each counter occur in ``tokens (token)``: a byte each, an eighth of a doubling a step."""
+    out = bytearray(COUNTERS)
+    of = F.pmod("token", F.lit(COUNTERS)).alias("of")
+    for r in tokens.where("token is not null").groupBy(of).agg(F.count(F.lit(1)).alias("held")).collect():
+        out[r["of"]] = min(255, round(8 * log2(1 + r["held"])))
+    return bytes(out)
 
-def rarest(ordered: DataFrame, most: Column, *more: str) -> DataFrame:
-    """Of each form's grams the ``most`` first: ``(id, which, n, q, *more, token, rank, first, last)``.
 
-    ``rank`` counts from 0; ``first`` and ``last`` are the gram's places among those taken.
-    """
-    keys = ["id", "which", "n", "q", *more]
-    taken = F.slice("order", 1, F.greatest(most, F.lit(0)).cast("int"))
-    chosen = ordered.select(*keys, F.posexplode(taken).alias("rank", "g"))
-    return chosen.groupBy(*keys, F.col("g.token").alias("token")).agg(
-        F.min("rank").alias("rank"), F.min("g.at").alias("first"), F.max("g.at").alias("last")
-    )
+def spans(placed: Column) -> Column:
+    """``(key, first, last)`` of an array of ``(key, at)``: each key once, with its least and greatest place."""
 
+    def made(rows: Column) -> Column:
+        numbered = F.transform(rows, lambda r, i: F.struct(r["key"].alias("key"), r["at"].alias("first"), i.alias("i")))
+        begins = F.filter(numbered, lambda r: (r["i"] == 0) | (F.get(rows, r["i"] - 1)["key"] != r["key"]))
 
-def cell(n: Column) -> Column:
-    """Number of the cell of lengths that holds ``n``: single lengths below 16, then eight to a doubling."""
-    shift = F.greatest(F.floor(F.log2(n.cast("double")) + NEAR) - 3, F.lit(0)).cast("int")
-    return F.when(n < 16, n).otherwise(8 * shift + F.call_function("shiftright", n, shift)).cast("int")
+        def ended(starts: Column) -> Column:
+            def end(i: Column) -> Column:
+                return F.coalesce(F.get(starts, i + 1)["i"], F.size(rows)) - 1
 
+            return F.transform(starts, lambda r, i: F.struct(r["key"].alias("key"), r["first"].alias("first"), F.get(rows, end(i))["at"].alias("last")))
 
-def cell_ends(k: Column) -> tuple[Column, Column]:
-    """Least and greatest length of a cell."""
-    shift = F.when(k < 16, 0).otherwise(F.floor(k / 8) - 1).cast("int")
-    low = F.call_function("shiftleft", k - 8 * shift, shift)
-    return low, low + F.call_function("shiftleft", F.lit(1), shift) - 1
+        return let(begins, ended)
 
+    return let(F.sort_array(placed), made)
 
-def by_length(ordered: DataFrame, c: float) -> DataFrame:
-    """Per cell of lengths that partners may have, as many of the rarest grams as those may leave lost, and one.
 
-    Adds ``own`` and ``theirs``, the cells of the form and of its partners.
-    """
-    n, q = F.col("n"), F.col("q")
-    least, most = F.ceil(n * (c / (2 - c)) - NEAR), F.floor(n * ((2 - c) / c) + NEAR)
-    dealt = ordered.withColumn("own", cell(n)).withColumn("theirs", F.explode(F.sequence(cell(least), cell(most))))
-    low, high = cell_ends(F.col("theirs"))
-    dealt = dealt.withColumns({"low": F.greatest(low, least), "high": F.least(high, most)})
+def _texts(side: DataFrame) -> DataFrame:
+    """``(id, form, n)``; null and empty forms are left out."""
+    return side.select("id", "form", F.length("form").alias("n")).where("n > 0")
+
 
-    def parts(length: Column) -> tuple[Column, Column]:
-        return n * (1 - c / 2) - length * (c / 2), length * (1 - c / 2) - n * (c / 2)
+def _letters(use: Callable[[Column], Column]) -> Column:
+    """``use`` of the letters of ``form``, taken apart once."""
+    return let(F.split("form", ""), use)
 
-    (own_most, other_low), (own_low, other_most) = parts(F.col("low")), parts(F.col("high"))
-    apart = lost(q, F.floor(own_most + NEAR), F.floor(other_most + NEAR))
-    ends = F.greatest(lost(q, own_most, other_low), lost(q, own_low, other_most))
-    return rarest(dealt, F.least(apart, F.floor(ends + NEAR)) + 1, "own", "theirs")
 
+def _each(rows: Column) -> Column:
+    """One row per element; an empty array gives a null, which joins nothing and costs no second look at the array."""
+    return F.explode_outer(rows)
 
-def counted(all_grams: DataFrame) -> DataFrame:
-    """How many texts hold a gram, near enough to order by: places are counted."""
-    return all_grams.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+
+def _carried() -> Column:
+    return F.when(F.col("n") <= CARRIED, F.col("form")).alias("form")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, c: float, ordered: bool = False) -> DataFrame:
@@ -141,65 +164,74 @@ def similar_pairs(left: DataFrame, right: DataFrame, c: float, ordered: bool = F
     """
     if not 0 < c <= 1:
         raise ValueError("the score must lie above 0 and not above 1")
-
-    def all_of(side: DataFrame) -> DataFrame:
-        n = F.length("form")
-        need = {LONGEST: F.lit(True)}
-        for q in range(LONGEST - 1, 0, -1):
-            need[q] = ~kept_by_all(q + 1, n, c)
-        return grams(side.select("id", "form").where(n > 0), need)
-
-    every = all_of(right)
-    counts = counted(every)
-    a = by_length(in_order(all_of(left), counts), c).alias("a")
-    b = by_length(in_order(every, counts), c).alias("b")
-    la, lb, q = F.col("a.n"), F.col("b.n"), F.col("a.q")
+    n = F.col("n")
+    least, most = partners(n, c)
+
+    # All grams of the lengths that the pieces of any partner have.
+    lengths = F.array_distinct(F.transform(F.sequence(least, most), lambda m: pieces_for(m, F.col("k"), c)["q"]))
+    held = _texts(right).withColumn("k", cell(n)).withColumn("q", _each(lengths)).where("n >= q")
+    q, k = F.col("q"), F.col("k")
+    tokens = _letters(lambda letters: F.transform(F.sequence(F.lit(0), F.size(letters) - q), lambda at: token(letters, q, at)))
+    table = counted(held.select(_each(tokens).alias("token")))
+    placed = F.transform(tokens, lambda t, at: F.struct(
+        meeting(q, t, k, F.call_function("shiftright", at, cell_shift(k))).alias("key"), at.alias("at")))
+    b = held.select("id", "n", _carried(), _each(spans(placed)).alias("g"))
+    b = b.select("g.key", "id", "n", "g.first", "g.last", "form").alias("b")
+
+    def sent(letters: Column, p: Column) -> Column:
+        def places(g: Column) -> Column:
+            shift = cell_shift(p["k"])
+            first = F.call_function("shiftright", F.greatest(g["at"] - p["back"], F.lit(0)), shift)
+            last = F.when(p["q"] < LONGEST, F.call_function("shiftright", g["at"] + p["forth"], shift)).otherwise(first)
+            return F.transform(F.sequence(first, last), lambda s: F.struct(meeting(p["q"], g["token"], p["k"], s).alias("key"), g["at"].alias("at")))
+
+        return F.flatten(F.transform(rarest(letters, p["q"], p["most"], table), places))
+
+    cells = F.sequence(cell(least), cell(most))
+    dealt = _letters(lambda letters: F.transform(cells, lambda x: let(pieces_for(F.size(letters), x, c), lambda p: sent(letters, p))))
+    a = _texts(left).select("id", "n", _carried(), _each(spans(F.flatten(dealt))).alias("g"))
+    a = a.select("g.key", "id", "n", "g.first", "g.last", "form").alias("a")
+
+    la, lb = F.col("a.n"), F.col("b.n")
     da, db = unmatched(la, lb, c), unmatched(lb, la, c)
-
-    def kept(k: int) -> Column:
-        return (lost(k, da, db) < la - k + 1) & (lost(k, db, da) < lb - k + 1)
-
-    # Of the lengths of grams that outlast the edits, the longest is the pair's.
-    length = F.lit(1)
-    for k in range(2, LONGEST + 1):
-        length = F.when(kept(k), k).otherwise(length)
-    fits = (da >= 0) & (db >= 0) & (q == length)
-    fits &= (F.col("a.rank") <= lost(q, da, db)) & (F.col("b.rank") <= lost(q, db, da))
-    fits &= (F.col("b.first") - F.col("a.last") <= db) & (F.col("a.first") - F.col("b.last") <= da)
+    fits = (da >= 0) & (db >= 0) & (F.col("b.first") - F.col("a.last") <= db) & (F.col("a.first") - F.col("b.last") <= da)
     if ordered:
         fits &= F.col("a.id") < F.col("b.id")
-    same = (F.col("a.token") == F.col("b.token")) & (q == F.col("b.q"))
-    same &= (F.col("a.own") == F.col("b.theirs")) & (F.col("a.theirs") == F.col("b.own"))
-    met = a.join(b, same & fits)
+    # No more edits than letters that stay unmatched; null, so kept, where a text was too long to go along.
+    edits = F.levenshtein("a.form", "b.form") <= (la + lb) * (1 - c) + NEAR
+    # Both sides are many times what the planner takes them for: never broadcast.
+    met = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & fits & F.coalesce(edits, F.lit(True)))
     return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
 
 
-def window_pairs(short: DataFrame, long: DataFrame, c: float, longest: int = LONGEST, times: float = 1.0) -> DataFrame:
+def window_pairs(short: DataFrame, long: DataFrame, c: float, longest: int = 3, times: float = 1.0) -> DataFrame:
     """``(id, other)``: pairs where a window of the longer form may score ``c`` against the shorter one,
     some more than once.
 
     Both sides are ``(id, form)``; the window is as long as the shorter form, or cut off by the
-    end of the longer one.  Of the shorter form the rarest grams are indexed, of the longer one
-    all: the window may lie anywhere.  The longer one is ``times`` as long at least.
+    end of the longer one.  Of the shorter form the rarest pieces are indexed, of the longer one
+    all grams: the window may lie anywhere.  The longer one is ``times`` as long at least.  With
+    ``longest`` 1 the letters may stand in any order.
     """
     if not 0 < c <= 1:
         raise ValueError("the score must lie above 0 and not above 1")
-
-    def gone(q: int | Column, n: Column) -> Column:
-        """Most grams lost: a whole window, or one cut off to the letters it matches."""
-        whole, cut = F.floor(n * (1 - c) + NEAR), F.floor(n * (2 * (1 - c) / (2 - c)) + NEAR)
-        return F.greatest(whole * (2 * q - 1), cut * q)
-
-    def kept(q: int, n: Column) -> Column:
-        return gone(q, n) < n - q + 1
-
-    n = F.length("form")
-    need = {q: kept(q, n) & ~kept(q + 1, n) if q < longest else kept(q, n) for q in range(1, longest + 1)}
-    used = short.agg(*[F.max(need[q]).alias(str(q)) for q in need]).first()
-    every = grams(long.select("id", "form"), {q: F.lit(True) for q in need if used[str(q)]} or {1: F.lit(False)})
-    held = every.groupBy("id", "q", "token", "n").agg(F.count(F.lit(1)).alias("times"))
-    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
-    own = rarest(in_order(grams(short.select("id", "form"), need), counts), gone(F.col("q"), F.col("n")) + 1)
-    a, b = own.alias("a"), held.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.n") * times <= F.col("b.n")))
-    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+    n = F.col("n")
+    whole, cut_off = F.floor(n * (1 - c) + NEAR), F.floor(n * (2 * (1 - c) / (2 - c)) + NEAR)
+    spoilt = F.greatest(2 * whole, F.floor((2 * n - 1) * (1 - c) + NEAR))
+    q, most = cut(n, spoilt, F.greatest(whole, cut_off), longest)
+    pieces = _texts(short).withColumns({"q": q, "most": most, "all": spoilt == 0})
+    used = [r["q"] for r in pieces.select("q").distinct().collect()]
+
+    lengths = F.filter(F.array(*map(F.lit, used)).cast("array<int>"), lambda x: x <= n)
+    each = _letters(lambda letters: F.array_distinct(F.flatten(
+        F.transform(lengths, lambda x: F.transform(F.sequence(F.lit(0), F.size(letters) - x), lambda at: token(letters, x, at))))))
+    held = _texts(long).select("id", "n", _carried(), _each(each).alias("token"))
+    table = counted(held.select("token"))
+    chosen = _letters(lambda letters: F.array_distinct(F.transform(rarest(letters, F.col("q"), F.col("most"), table), lambda g: g["token"])))
+    a = pieces.select("id", "n", _carried(), "all", _each(chosen).alias("token")).alias("a")
+    b = held.alias("b")
+    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.n") * times <= F.col("b.n"))
+    if longest > 1:
+        # Where no letter may be left out, the shorter text stands in the longer one.
+        met &= ~F.col("a.all") | F.coalesce(F.contains("b.form", "a.form"), F.lit(True))
+    return a.hint("merge").join(b, met).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))

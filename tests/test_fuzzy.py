@@ -204,3 +204,17 @@ def test_a_dot_in_a_column_name(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "`t.x` string, n int")
     out = map_values(df, "t.x", lambda v: v.selectExpr("__old", "upper(__old) as __new"))
     assert sorted(r["t.x"] for r in out.collect()) == ["A", "B"] and out.columns == ["t.x", "n"]
+
+
+def test_only_like_texts_meet(spark):
+    """Texts that are far apart make no candidates, however many share their rarest letters."""
+    from hashlib import md5
+
+    whole = [md5(str(i).encode()).hexdigest() for i in range(1500)]
+    texts = whole + [w[:4] + w[5:] for w in whole]
+    df = spark.createDataFrame([(t, t) for t in texts], "id string, form string")
+    got = {tuple(r) for r in similar_pairs(df, df, 0.95, ordered=True).collect()}
+    assert got == {tuple(sorted(p)) for p in zip(whole, texts[1500:])}
+    words = spark.createDataFrame([(w, w) for w in ["store", "storefront", "torestore", "rotes", "stores", "tore stone"]], "id string, form string")
+    inside = {tuple(r) for r in window_pairs(words.where("id = 'store'"), words, 0.995, 4, 1.5).collect()}
+    assert inside == {("store", "storefront"), ("store", "torestore")}
