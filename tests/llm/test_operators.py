@@ -339,6 +339,27 @@ def test_pairwise_quality(spark, docs, none):
     assert pairwise.rate(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """Pairs of many blocks, and the quantile among all scores, as numpy finds it."""
+    import math
+
+    import numpy as np
+
+    monkeypatch.setattr(pairwise, "BLOCK", 16)
+    texts = ["plain words of prose here " * (3 + i % 7) + "x" * i if i % 5 else "BAD! #STUFF " * (2 + i % 11) + "." * i for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(400)], "doc_id long, quality int")
+    rows = [r.doc_id for r in labels.where(~pairwise.held_out(F.col("doc_id"))).collect()]
+    blocks = pairwise.dealt(pairwise.featured(df, "text", "doc_id").join(labels.toDF("id", "label"), "id"), 320, 80).collect()
+    assert len(blocks) == 20 and all(r.good and r.bad for r in blocks) and sum(len(r.good) for r in blocks) == 320 * 12
+    model = pairwise.train(df, labels)
+    s = sorted((float(np.dot(pairwise.featurise(texts[i]), model.weights)), i % 5 == 0) for i in rows)
+    n, share = len(s), sum(b for _, b in s) / len(s)
+    near = [k for k in range(n - 1) if abs((k + 1) / n - share) <= share / 30 + 1e-12]
+    k = max(near, key=lambda k: (s[k + 1][0] - s[k][0], -k))
+    assert math.log(0.7 / 0.3) - model.offset == pytest.approx((s[k][0] + s[k + 1][0]) / 2, abs=1e-9)
+
+
 def test_held_out_labels_do_not_count(spark):
     """Turning the labels of held-out rows round changes no score."""
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
