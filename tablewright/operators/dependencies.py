@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.lattice import class_counts, pair_stats
+from tablewright.operators.lattice import class_counts, pair_stats, single_keys, spread_stats
 
 FD_SCHEMA = "lhs array<string>, rhs string"
 
@@ -96,9 +96,17 @@ def _pairs(cols: Sequence[str], size: int) -> list[tuple[tuple[str, ...], str]]:
     ]
 
 
-def fds_of_size(df: DataFrame, size: int, columns: Sequence[str] | None = None) -> DataFrame:
-    """Dependencies with ``size`` attributes on the left; NULLs of either side are ignored."""
-    stats = pair_stats(df, _pairs(list(columns or df.columns), size))
+def fds_of_size(
+    df: DataFrame, size: int, columns: Sequence[str] | None = None, keys: frozenset[str] | None = None
+) -> DataFrame:
+    """Dependencies with ``size`` attributes on the left; NULLs of either side are ignored.
+
+    ``keys`` are the columns without two equal rows, if known.
+    """
+    pairs = _pairs(list(columns or df.columns), size)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], FD_SCHEMA)
+    stats = spread_stats(df, pairs, nulls=False, keys=keys)
     return stats.where("max_present = 1").select("lhs", "rhs")
 
 
@@ -119,9 +127,9 @@ def discover_minimal_fds(
     df: DataFrame, max_lhs: int = 4, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Sizes 1 to ``max_lhs`` together, minimal ones kept."""
-    found = None
+    found, keys = None, single_keys(df, list(columns or df.columns))
     for size in range(1, max_lhs + 1):
-        part = fds_of_size(df, size, columns)
+        part = fds_of_size(df, size, columns, keys)
         found = part if found is None else found.union(part)
     return minimal_fds(found)
 
@@ -136,10 +144,12 @@ def g3_canonical(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     return _scored(df, [(tuple(x), y)], "minority_rows")
 
 
-def _scored(df: DataFrame, pairs, measure: str) -> DataFrame:
+def _scored(df: DataFrame, pairs, measure: str, keys: frozenset[str] | None = None) -> DataFrame:
     rows = df.agg(F.count(F.lit(1))).scalar()
     g3 = F.when(rows == 0, 1.0).otherwise(F.col(measure) / rows)
-    return pair_stats(df, pairs).select("lhs", "rhs", g3.alias("g3"))
+    # How large the largest group of a Y is takes counts of X and Y together; how many rows err does not.
+    stats = spread_stats(df, pairs, nulls=True, keys=keys) if measure == "bad_rows" else pair_stats(df, pairs)
+    return stats.select("lhs", "rhs", g3.alias("g3"))
 
 
 def discover_afds(
@@ -154,9 +164,11 @@ def discover_afds(
     All pairs of a level are scored in one job.
     """
     cols = list(columns or df.columns)
-    found = None
+    found, keys = None, single_keys(df, cols)
     for size in range(1, max_lhs + 1):
-        level = _scored(df, _pairs(cols, size), "bad_rows").where(F.col("g3") <= threshold)
+        if size >= len(cols):
+            break
+        level = _scored(df, _pairs(cols, size), "bad_rows", keys).where(F.col("g3") <= threshold)
         # One row per accepted pair: small, and every later level looks at it.
         level = level.persist()
         if found is not None and remove_redundant:

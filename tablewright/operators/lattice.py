@@ -179,3 +179,85 @@ def pair_stats(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
         .join(stats, ["set_id", "rhs_id"], "left")
         .select("lhs", "rhs", *[F.coalesce(s, F.lit(0).cast("long")).alias(s) for s in sums])
     )
+
+
+def single_keys(df: DataFrame, columns: Sequence[str]) -> frozenset[str]:
+    """Columns without two equal rows."""
+    counts, rows = class_counts(df, [(c,) for c in columns])
+    return frozenset(c for s, n in counts.items() if n == rows for c in s)
+
+
+def spread_stats(
+    df: DataFrame, pairs: Sequence[Pair], nulls: bool, keys: frozenset[str] | None = None
+) -> DataFrame:
+    """``(lhs, rhs, max_present, bad_rows)`` per pair X -> Y, from one group per X and none per Y.
+
+    ``max_present`` tells 0, 1 or 2 (and more) values of Y in the group that holds most, ``bad_rows``
+    sums size - 1 over groups with several.  ``nulls`` makes NULL a value of Y.  Groups with a NULL
+    in X are left out.  All Y of an X share its groups: the least and greatest 64-bit hash differ
+    where values do.  An X that holds one of ``keys`` (found if not given) has groups of one row:
+    those are looked at in place.
+    """
+    columns = _ordered(df.columns, [c for x, y in pairs for c in (*x, y)])
+    pairs = [(_ordered(columns, x), y) for x, y in dict.fromkeys(pairs)]
+    attributes = _ordered(columns, [c for x, _ in pairs for c in x])
+    keys = single_keys(df, attributes) if keys is None else keys
+    at = {c: i for i, c in enumerate(columns)}
+    hashed = [F.xxhash64(f"`{c}`") if nulls else F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(f"`{c}`")) for c in columns]
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], *[h.alias(f"h{i}") for i, h in enumerate(hashed)])
+    parts = []
+    for chunk in _chunks([p for p in pairs if keys & set(p[0])], SETS_PER_JOB):
+        def one_row(x: AttributeSet, y: str) -> Column:
+            there = F.col(f"h{at[y]}").isNotNull()
+            for c in x:
+                there = there & F.col(f"c{at[c]}").isNotNull()
+            return F.coalesce(F.max(there.cast("long")), F.lit(0).cast("long"))
+
+        found = plain.agg(*[one_row(x, y).alias(f"p{i}") for i, (x, y) in enumerate(chunk)])
+        told = [
+            F.struct(F.array(*map(F.lit, x)).alias("lhs"), F.lit(y).alias("rhs"), F.col(f"p{i}").alias("max_present"), F.lit(0).cast("long").alias("bad_rows"))
+            for i, (x, y) in enumerate(chunk)
+        ]
+        parts.append(found.select(F.inline(F.array(*told))))
+    rights: dict[AttributeSet, list[str]] = {}
+    for x, y in pairs:
+        if not keys & set(x):
+            rights.setdefault(x, []).append(y)
+    for chunk in _chunks(list(rights), SETS_PER_JOB):
+        parts.append(_spread(plain, columns, {x: rights[x] for x in chunk}))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def _spread(plain: DataFrame, columns: Sequence[str], rights: dict[AttributeSet, list[str]]) -> DataFrame:
+    """``spread_stats`` of left sides that are grouped, by one ``GROUPING SETS`` aggregate."""
+    at = {c: i for i, c in enumerate(columns)}
+    used = _ordered(columns, [c for x in rights for c in x])
+    ys = _ordered(columns, [y for some in rights.values() for y in some])
+    names = {c: F.col(f"c{at[c]}") for c in used}
+    spread = [f(f"h{at[y]}").alias(f"{name}{at[y]}") for y in ys for name, f in (("lo", F.min), ("hi", F.max))]
+    groups = plain.groupingSets([[names[c] for c in x] for x in rights], *names.values()).agg(
+        F.grouping_id().alias("set_id"), F.count(F.lit(1)).alias("n"), *spread
+    )
+    whole = F.lit(True)
+    for i, c in enumerate(used):
+        member = F.shiftright("set_id", len(used) - 1 - i).bitwiseAND(F.lit(1)) == 0
+        whole = whole & ~(member & names[c].isNull())
+    sums = []
+    for y in ys:
+        lo, hi = F.col(f"lo{at[y]}"), F.col(f"hi{at[y]}")
+        sums.append(F.max(F.when(lo.isNull(), 0).when(lo == hi, 1).otherwise(2).cast("long")).alias(f"most{at[y]}"))
+        sums.append(F.sum(F.when(lo != hi, F.col("n") - 1).otherwise(0)).alias(f"bad{at[y]}"))
+    per_set = groups.where(whole).groupBy("set_id").agg(*sums)
+    each = [F.struct(F.lit(y).alias("rhs"), F.col(f"most{at[y]}").alias("max_present"), F.col(f"bad{at[y]}").alias("bad_rows")) for y in ys]
+    told = per_set.select("set_id", F.inline(F.array(*each)))
+    asked = plain.sparkSession.createDataFrame(
+        [(set_id(used, x), list(x), y) for x, some in rights.items() for y in some], "set_id long, lhs array<string>, rhs string"
+    )
+    zero = F.lit(0).cast("long")
+    # One row per asked pair; a pair without groups keeps zeros.
+    return F.broadcast(asked).join(told, ["set_id", "rhs"], "left").select(
+        "lhs", "rhs", F.coalesce("max_present", zero).alias("max_present"), F.coalesce("bad_rows", zero).alias("bad_rows")
+    )

@@ -63,6 +63,22 @@ def test_null_flags(spark):
     assert dep.g3_score(df, ["x"], "y").first().g3 == pytest.approx(1 / 5)  # NULL is a value
 
 
+def test_one_group_per_left_side(spark):
+    """The spread of all right sides equals the sums over pairs, keys and NULLs included, without groups of keys."""
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(5), rng.choice("pqr"), rng.choice([None, "u", "v"]), None, i // 2 if i else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, a int, b string, c string, d string, e int")
+    assert lattice.single_keys(df, df.columns) == {"k"}
+    for size in (1, 2, 3):
+        pairs = dep._pairs(df.columns, size)
+        plain = {(tuple(r.lhs), r.rhs): r for r in lattice.pair_stats(df, pairs).collect()}
+        strict = {(tuple(r.lhs), r.rhs): r for r in lattice.spread_stats(df, pairs, nulls=True).collect()}
+        loose = {(tuple(r.lhs), r.rhs): r for r in lattice.spread_stats(df, pairs, nulls=False).collect()}
+        assert set(plain) == set(strict) == set(loose)
+        for p, r in plain.items():
+            assert strict[p].bad_rows == r.bad_rows and loose[p].max_present == min(r.max_present, 2), p
+
+
 def test_redundancy(spark):
     df = spark.createDataFrame([(["a"], "y", 0.05), (["a", "b"], "y", 0.048), (["b", "c"], "y", 0.01)],
                                "lhs array<string>, rhs string, g3 double")
