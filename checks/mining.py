@@ -429,8 +429,8 @@ def itemset_sql(min_support: float) -> str:
 @query("a3_frequent_itemsets", f"""{itemset_sql(0.05)} select array_to_string(items, ',') as items, freq, n,
   freq::double / n as support from sets""")
 def a3(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
-    return ar.frequent_itemsets(baskets, 0.05).withColumn("items", joined("items"))
+    baskets = ar.count_baskets(lines(spark, sf), CATS)
+    return ar.frequent_itemsets(baskets, 0.05, weight="rows").withColumn("items", joined("items"))
 
 
 # A rule is an itemset and a proper part of it that is frequent too (all parts are).
@@ -448,8 +448,8 @@ def shown(rules):
 
 @query("a4_association_rules", f"{itemset_sql(0.05)}, {RULES} select * from rules where lift >= 1")
 def a4(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
-    return shown(ar.association_rules(ar.frequent_itemsets(baskets, 0.05).persist(), "lift", 1.0))
+    baskets = ar.count_baskets(lines(spark, sf), CATS)
+    return shown(ar.association_rules(ar.frequent_itemsets(baskets, 0.05, weight="rows").persist(), "lift", 1.0))
 
 
 # One item of each column at most: the rules are pairs of values, their counts two plain groupings.
@@ -462,16 +462,16 @@ def a4(spark, sf):
   f::double / fa as confidence, (f * n)::double / (fa * fc) as lift
   from met join fa using (a) join fc using (c), n where f >= 0.02 * n and f::double / fa >= 0.1""")
 def a5(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
-    return shown(ar.rules_between(baskets, "o_orderstatus_", "o_orderpriority_", 0.02, "confidence", 0.1))
+    baskets = ar.count_baskets(lines(spark, sf), CATS)
+    return shown(ar.rules_between(baskets, "o_orderstatus_", "o_orderpriority_", 0.02, "confidence", 0.1, "rows"))
 
 
 @query("a6_format_rules", f"""{itemset_sql(0.05)}, {RULES} select printf('%s => %s (support: %.3f, confidence: %.3f, lift: %.3f)',
   replace(antecedents, ',', ', '), replace(consequents, ',', ', '), support, confidence, lift) as rule, lift
   from rules where lift >= 1 order by lift desc, string_split(antecedents, ','), string_split(consequents, ',') limit 10""")
 def a6(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
-    return ar.format_rules(ar.association_rules(ar.frequent_itemsets(baskets, 0.05).persist()), "lift", 10)
+    baskets = ar.count_baskets(lines(spark, sf), CATS)
+    return ar.format_rules(ar.association_rules(ar.frequent_itemsets(baskets, 0.05, weight="rows").persist()), "lift", 10)
 
 
 @query("a7_mine_rules_categories", f"{itemset_sql(0.05)}, {RULES} select * from rules where lift >= 1")
@@ -511,6 +511,6 @@ def a7_between(spark, sf):
   select source, unnest(string_split(consequents, ',')) as target, lift from (
   select unnest(string_split(antecedents, ',')) as source, consequents, lift from rules where lift >= 1)) group by all""")
 def a8(spark, sf):
-    baskets = ar.build_baskets(lines(spark, sf), CATS).persist()
-    edges = ar.rule_edges(ar.association_rules(ar.frequent_itemsets(baskets, 0.05).persist()))
+    baskets = ar.count_baskets(lines(spark, sf), CATS)
+    edges = ar.rule_edges(ar.association_rules(ar.frequent_itemsets(baskets, 0.05, weight="rows").persist()))
     return edges.withColumn("weight", F.round("weight", 9))

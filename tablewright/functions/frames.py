@@ -104,13 +104,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def unpivot_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value)`` with every value as a string; NULLs kept."""
+def unpivot_strings(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
+    """``(column, value, *keep)`` with every value as a string; NULLs kept."""
     parts = [
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
         for c in columns
     ]
-    return df.select(F.explode(F.array(*parts)).alias("p")).select("p.column", "p.value")
+    each = df.select(F.explode(F.array(*parts)).alias("__p"), *keep)
+    return each.select("__p.column", "__p.value", *each.columns[1:])
 
 
 def share(part: Column, whole: Column) -> Column:

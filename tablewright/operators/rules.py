@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +21,21 @@ RULES_SCHEMA = (
 )
 
 
-def top_categories(df: DataFrame, columns: Sequence[str], k: int) -> dict[str, list[str]]:
-    """The ``k`` most frequent values per column, on the driver (at most k per column)."""
+def top_categories(
+    df: DataFrame, columns: Sequence[str], k: int, weight: str | None = None
+) -> dict[str, list[str]]:
+    """The ``k`` most frequent values per column, on the driver (at most k per column).
+
+    A row counts once, or as often as its ``weight`` says.
+    """
     if not columns:
         return {}
+    rows = F.col(weight) if weight else F.lit(1)
     counts = (
-        unpivot_strings(df, columns)
+        unpivot_strings(df, columns, [rows.alias("__rows")])
         .where("value is not null")
         .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("__rows").alias("n"))
     )
     # rank <= k is pushed below the shuffle: k rows per task and column meet.
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
@@ -57,16 +62,51 @@ def build_baskets(
 
     Each row builds its own basket; a row without items keeps an empty one.
     """
+    top = top_categories(df, columns, max_categories)
+    codes = _codes(text_column, pattern) if text_column else None
+    return df.select(*keep, F.array_distinct(_basket(top, codes, sep)).alias("items"))
+
+
+def _basket(top: Mapping[str, Sequence[str]], codes: Column | None, sep: str) -> Column:
+    """Items of frequent categories, then of codes."""
     items: list[Column] = []
-    for c, values in top_categories(df, columns, max_categories).items():
+    for c, values in top.items():
         v = F.col(f"`{c}`").cast("string")
         items.append(F.when(v.isin(values), F.concat(F.lit(f"{c}{sep}"), v)))
     basket = F.array_compact(F.array(*items)) if items else F.array().cast("array<string>")
+    if codes is not None:
+        basket = F.concat(basket, F.transform(codes, lambda x: F.concat(F.lit(CODE_PREFIX), x)))
+    return basket
+
+
+def _codes(text_column: str, pattern: str) -> Column:
+    """The codes of a text, none for NULL."""
+    found = F.regexp_extract_all(F.col(text_column), F.lit(pattern), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def count_baskets(
+    df: DataFrame,
+    columns: Sequence[str],
+    text_column: str | None = None,
+    max_categories: int = 20,
+    pattern: str = CODES,
+    sep: str = "_",
+) -> DataFrame:
+    """``(items, rows)``: the baskets of ``build_baskets``, equal rows as one, and how many they are.
+
+    ``df`` is read once: what follows reads one row per combination of values and codes, kept in
+    the shared folder.
+    """
+    plain = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
     if text_column:
-        codes = F.regexp_extract_all(F.col(text_column), F.lit(pattern), F.lit(1))
-        named = F.transform(codes, lambda x: F.concat(F.lit(CODE_PREFIX), x))
-        basket = F.concat(basket, F.coalesce(named, F.array().cast("array<string>")))
-    return df.select(*keep, F.array_distinct(basket).alias("items"))
+        plain.append(F.array_sort(F.array_distinct(_codes(text_column, pattern))).alias("__codes"))
+    each = df.select(*plain)
+    counts = each.groupBy(*[f"`{c}`" for c in each.columns]).agg(F.count(F.lit(1)).alias("__rows"))
+    counts = kept_table(counts)
+    top = top_categories(counts, columns, max_categories, "__rows")
+    basket = _basket(top, F.col("__codes") if text_column else None, sep)
+    return counts.select(F.array_distinct(basket).alias("items"), F.col("__rows").alias("rows"))
 
 
 def one_hot(df: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -84,24 +124,49 @@ def _starts(item: Column, prefixes: Sequence[str]) -> Column:
 
 
 def frequent_itemsets(
-    baskets: DataFrame, min_support: float, prefixes: Sequence[str] | None = None
+    baskets: DataFrame,
+    min_support: float,
+    prefixes: Sequence[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """``(items, freq, n, support)`` with support of at least ``min_support``, items sorted.
 
-    The baskets are read three times (count, items, itemsets): persist them if they cost
-    more than a scan.  Equal baskets merge into prefix trees before the shuffle.
+    A basket counts once, or as often as its ``weight`` says; equal ones are one row from the start.
+    Itemsets grow by one item a round, from the rarest to the most frequent: each round holds, per
+    itemset, what its baskets hold of more frequent items, equal remainders as one row.
     """
-    chosen = baskets.select("items")
+    rows = F.col(weight) if weight else F.lit(1)
+    chosen = baskets.select("items", rows.cast("long").alias("w"))
     if prefixes is not None:
-        chosen = chosen.select(F.filter("items", lambda i: _starts(i, prefixes)).alias("items"))
-    n = chosen.count()
-    # A hair below the bound, so that rounding of min_support * n cannot lose an itemset.
-    model = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9)).fit(chosen)
-    support = F.col("freq") / F.lit(n)
-    return model.freqItemsets.select(
-        F.array_sort("items").alias("items"), "freq", F.lit(n).cast("long").alias("n"),
-        support.alias("support"),
-    ).where(F.col("support") >= min_support)
+        chosen = chosen.withColumn("items", F.filter("items", lambda i: _starts(i, prefixes)))
+    counted = kept_table(chosen.groupBy(F.array_distinct("items").alias("items")).agg(F.sum("w").alias("w")))
+    n = counted.agg(F.sum("w")).first()[0] or 0
+
+    def frequent(found: DataFrame, *key: str) -> DataFrame:
+        return found.groupBy(*key).agg(F.sum("w").alias("freq")).where(F.col("freq") / F.lit(n) >= min_support)
+
+    each = counted.select("items", "w", F.explode("items").alias("item"))
+    ranked = each.join(frequent(each, "item"), "item").groupBy("items", "w")
+    rest = F.transform(F.array_sort(F.collect_list(F.struct("freq", "item"))), lambda x: x["item"])
+    state = ranked.agg(rest.alias("rest")).select(F.array().cast("array<string>").alias("head"), "rest", "w")
+    sets = None
+    while True:
+        state = kept_table(state.groupBy("head", "rest").agg(F.sum("w").alias("w")))
+        found = kept_table(frequent(state.select("head", F.explode("rest").alias("item"), "w"), "head", "item"))
+        sets = found if sets is None else sets.union(found)
+        if found.isEmpty():
+            break
+        longer = state.select("head", "rest", "w", F.posexplode("rest").alias("at", "item"))
+        longer = longer.where(F.col("at") < F.size("rest") - 1).join(found, ["head", "item"])
+        state = longer.select(
+            F.array_append("head", F.col("item")).alias("head"),
+            F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"),
+            "w",
+        )
+    return sets.select(
+        F.array_sort(F.array_append("head", F.col("item"))).alias("items"), "freq",
+        F.lit(n).cast("long").alias("n"), (F.col("freq") / F.lit(n)).alias("support"),
+    )
 
 
 def association_rules(
@@ -151,11 +216,12 @@ def rules_between(
     min_support: float = 0.01,
     metric: str = "confidence",
     min_threshold: float = 0.5,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rules from items of one prefix to items of another; neither may start another's prefix."""
     both = [antecedent_prefix, consequent_prefix]
     rules = association_rules(
-        frequent_itemsets(baskets, min_support, both).persist(), metric, min_threshold
+        frequent_itemsets(baskets, min_support, both, weight).persist(), metric, min_threshold
     )
     return rules.where(
         F.forall("antecedents", lambda i: i.startswith(antecedent_prefix))
@@ -180,19 +246,23 @@ def mine_rules(
     text_column: str | None = None,
     analysis: str | None = None,
 ) -> dict[str, DataFrame]:
-    """The three standard analyses by name: codes, categories, category to codes."""
-    baskets = build_baskets(df, [c for c in columns if c != text_column], text_column, sep=SEP).persist()
+    """The three standard analyses by name: codes, categories, category to codes.
+
+    One analysis alone takes the items it asks for: codes need no categories, and the other way round.
+    """
+    families = [c for c in columns if c != text_column] if analysis != "violations" else []
+    baskets = count_baskets(df, families, text_column if analysis != "categories" else None, sep=SEP)
     out: dict[str, DataFrame] = {}
     if analysis in (None, "violations") and text_column:
-        found = frequent_itemsets(baskets, 0.1, [CODE_PREFIX]).persist()
+        found = frequent_itemsets(baskets, 0.1, [CODE_PREFIX], "rows").persist()
         out["violations"] = association_rules(found, "lift", 1.0)
     if analysis in (None, "categories") and columns:
-        found = frequent_itemsets(baskets, 0.05, [f"{c}{SEP}" for c in columns]).persist()
+        found = frequent_itemsets(baskets, 0.05, [f"{c}{SEP}" for c in columns], "rows").persist()
         out["categories"] = association_rules(found, "lift", 1.0)
     if analysis in (None, "category_violations") and text_column:
         for c in columns:
             out[f"{c}_to_violations"] = rules_between(
-                baskets, f"{c}{SEP}", CODE_PREFIX, 0.02, "confidence", 0.05
+                baskets, f"{c}{SEP}", CODE_PREFIX, 0.02, "confidence", 0.05, "rows"
             )
     return {name: _named(rules) for name, rules in out.items()}
 

@@ -293,3 +293,35 @@ def test_rules_of_a_large_itemset_are_not_all_split(spark):
     found = rules.association_rules(sets, "confidence", 0.9).where(F.size("antecedents") + F.size("consequents") == 20).collect()
     got = {tuple(r.consequents): round(r.confidence, 6) for r in found}
     assert got == {("i00",): round(10 / 11, 6), ("i01",): round(10 / 11, 6), ("i00", "i01"): round(10 / 11, 6)}
+
+
+def test_counted_baskets_give_the_itemsets_of_their_rows(spark):
+    """Random rows, repeated: every itemset by brute force, as weighted and as plain baskets."""
+    import random
+    from itertools import combinations
+
+    rnd = random.Random(7)
+    rows = [tuple(rnd.choice([None, "x", "y", "z"]) for _ in range(3)) + (rnd.choice([None, "1. AB | 2. CD", "2. CD", "no"]),) for _ in range(40)]
+    df = spark.createDataFrame(rows * 5, "a string, b string, c string, notes string")
+    counted = rules.count_baskets(df, ["a", "b", "c"], "notes", max_categories=2)
+    plain = rules.build_baskets(df, ["a", "b", "c"], "notes", max_categories=2)
+    whole = [frozenset(r["items"]) for r in plain.collect()]
+    assert counted.agg(F.sum("rows")).first()[0] == len(whole) == 200
+    assert counted.count() == len({(*r[:3], r[3] or "no") for r in rows})  # neither holds a code
+    want = {}
+    for basket in whole:
+        for size in range(1, len(basket) + 1):
+            for s in combinations(sorted(basket), size):
+                want[s] = want.get(s, 0) + 1
+    want = {s: n for s, n in want.items() if n / 200 >= 0.1}
+    for sets in (rules.frequent_itemsets(counted, 0.1, weight="rows"), rules.frequent_itemsets(plain, 0.1)):
+        assert {tuple(r["items"]): r["freq"] for r in sets.collect()} == want
+        assert {r["n"] for r in sets.collect()} == {200}
+
+
+def test_rules_of_categories_read_no_text(spark):
+    rows = [("u", "p"), ("u", "p"), ("v", "q"), ("v", "q")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = df.withColumn("notes", F.when(F.col("a") != "", F.raise_error(F.lit("read")).cast("string")))
+    found = rules.mine_rules(df, ["a", "b"], "notes", "categories")["categories"].collect()
+    assert {(r["antecedents"][0], r["consequents"][0]) for r in found} == {("a_u", "b_p"), ("b_p", "a_u"), ("a_v", "b_q"), ("b_q", "a_v")}
