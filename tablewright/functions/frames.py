@@ -90,10 +90,12 @@ def map_values(
     ``(__old, __new)``.  Only changed values are joined back.
     """
     whole = F.col(quoted(column))
-    values = df.select(whole.alias("__old")).where("__old is not null").distinct()
+    # Persisted, or the test below would be pushed under the distinct: ``make`` for every row.
+    values = df.select(whole.alias("__old")).where("__old is not null").distinct().persist()
     changed = make(values).select("__old", "__new").where("not (__new <=> __old)")
     changed = changed.withColumn("__hit", F.lit(True))
     joined = lookup(df.withColumn("__old", whole), changed, ["__old"])
+    values.unpersist()
     return joined.withColumn(
         column, F.when(F.col("__hit"), F.col("__new")).otherwise(whole)
     ).select(*map(quoted, df.columns))
