@@ -92,14 +92,16 @@ def clean_inspections(
     """Raw text table to cleaned table.
 
     ``zips`` is ``(zip, state, city)``; ``geocodes`` holds answers to
-    ``clean.geocode_requests``.  Row-local steps form one scan; the repair and each
-    distinct-value step add a shuffle of few columns or a broadcast.
+    ``clean.geocode_requests``.  Row-local steps form one scan, written before the joins; the
+    repair and each distinct-value step add a shuffle of few columns or a broadcast.
     """
     o = options or CleanOptions()
     df = clean.normalize_columns(raw)
     df = clean.enforce_schema(df, o.schema, o.date_formats)
     df = clean.clean_identifier(df, "license_num")
     df = clean.clean_zip(df).drop("zip", "zip_valid").withColumnRenamed("zip_clean", "zip")
+    # Written before the joins: with them one step would be too large to be compiled.
+    df = stage(df, "typed")
     for column in ("state", "city"):
         df = clean.fill_by_lookup(df, column, "zip", zips, "zip", column)
     if geocodes is not None:
