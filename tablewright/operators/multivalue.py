@@ -13,10 +13,13 @@ from tablewright.functions.frames import first_by_key
 # Shape of one part, and where its fields stand.
 PART_SHAPE = r"(?d)^\s*\d+\.\s+.+?(\s+-\s+Comments:\s*.+)?$"
 PART_FIELDS = r"(?d)^(\d+)\.\s+(.+?)\s+-\s+Comments:\s*(.+)"
-CODES = r"\b(\d+)\.(?=\s+[A-Z])"
+CODES = r"(?=\d)\b(\d+)\.(?=\s+[A-Z])"  # the first test only spares the costly \b
 SEPARATORS = ("|", ".", "-", ":", ";")
 
 
+# Between the fields of a part: EDGE, MARK, EDGE, with more marks than a part holds.
+EDGE, MARK = "\x01", "\x02"
+
 # White space around a part.
 BLANKS = " \t\n\r\v\f\u0085\u00a0"
 
@@ -122,8 +125,16 @@ def parse_multivalue(
     # Exploded first: trimming and matching then run as compiled code, row by row.
     each = df.select(*key, F.explode(_pieces(F.col(column), sep)).alias("__part"))
     each = each.withColumn("__part", strip(F.col("__part")))
-    hit = each.where((F.col("__part") != "") & F.col("__part").rlike(pattern))
-    got = [F.trim(F.regexp_extract("__part", pattern, i)) for i in range(1, len(fields) + 1)]
+    # One search per part: its fields come out between marks.  Exploded too, or the filter would
+    # repeat the search; a search per field besides makes the step too large to be compiled.
+    part, mark, places = F.col("__part"), F.col("__mark"), range(1, len(fields) + 1)
+    more = F.concat(F.lit(EDGE), F.repeat(F.lit(MARK), F.length(part) + 1), F.lit(EDGE))
+    each = each.withColumn("__mark", F.when(part.contains(MARK), more).otherwise(EDGE + MARK + EDGE))
+    marked = F.concat(mark, *[x for i in places for x in (F.lit(f"${i}"), mark)])
+    once = F.when(part != "", F.regexp_replace(part, F.lit(pattern), marked))
+    each = each.select(*key, "__mark", F.explode(F.array(once)).alias("__found"))
+    hit = each.where(F.col("__found").contains(mark))
+    got = [F.trim(F.split_part(F.col("__found"), mark, F.lit(i + 1))) for i in places]
     got[0] = got[0].try_cast("bigint")
     return hit.select(*key, *[g.alias(f) for g, f in zip(got, fields)])
 

@@ -100,7 +100,7 @@ def count_baskets(
     """
     plain = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
     if text_column:
-        plain.append(F.array_sort(F.array_distinct(_codes(text_column, pattern))).alias("__codes"))
+        plain.append(F.sort_array(F.array_distinct(_codes(text_column, pattern))).alias("__codes"))
     each = df.select(*plain)
     counts = each.groupBy(*[f"`{c}`" for c in each.columns]).agg(F.count(F.lit(1)).alias("__rows"))
     counts = kept_table(counts)
@@ -132,45 +132,70 @@ def frequent_itemsets(
     """``(items, freq, n, support)`` with support of at least ``min_support``, items sorted.
 
     A basket counts once, or as often as its ``weight`` says; equal ones are one row from the start.
-    Itemsets grow by one item a round, from the rarest to the most frequent: each round holds, per
+    """
+    return itemsets_by_analysis(baskets, {"": (prefixes, min_support)}, weight).drop("analysis")
+
+
+def itemsets_by_analysis(
+    baskets: DataFrame,
+    analyses: Mapping[str, tuple[Sequence[str] | None, float]],
+    weight: str | None = None,
+) -> DataFrame:
+    """``(analysis, items, freq, n, support)``: the frequent itemsets of several analyses at once.
+
+    Each analysis names the prefixes of its items (None: all) and its least support.  Itemsets grow
+    by one item a round, from the rarest to the most frequent: each round holds, per analysis and
     itemset, what its baskets hold of more frequent items, equal remainders as one row.
     """
     rows = F.col(weight) if weight else F.lit(1)
-    chosen = baskets.select("items", rows.cast("long").alias("w"))
-    if prefixes is not None:
-        chosen = chosen.withColumn("items", F.filter("items", lambda i: _starts(i, prefixes)))
-    counted = kept_table(chosen.groupBy(F.array_distinct("items").alias("items")).agg(F.sum("w").alias("w")))
-    n = counted.agg(F.sum("w")).first()[0] or 0
+    taken = [
+        F.struct(
+            F.lit(name).alias("analysis"),
+            (F.filter("items", lambda i: _starts(i, p)) if p is not None else F.col("items")).alias("items"),
+        )
+        for name, (p, _) in analyses.items()
+    ]
+    chosen = baskets.select(rows.cast("long").alias("w"), F.inline(F.array(*taken)))
+    counted = chosen.groupBy("analysis", F.array_distinct("items").alias("items")).agg(F.sum("w").alias("w"))
+    counted = kept_table(counted)
+    # Every analysis holds all baskets.
+    n = counted.where(F.col("analysis") == next(iter(analyses))).agg(F.sum("w")).first()[0] or 0
+    least = F.create_map(*[F.lit(v) for name, (_, support) in analyses.items() for v in (name, float(support))])
 
     def frequent(found: DataFrame, *key: str) -> DataFrame:
-        return found.groupBy(*key).agg(F.sum("w").alias("freq")).where(F.col("freq") / F.lit(n) >= min_support)
+        freq = found.groupBy("analysis", *key).agg(F.sum("w").alias("freq"))
+        return freq.where(F.col("freq") / F.lit(n) >= least[F.col("analysis")])
 
-    each = counted.select("items", "w", F.explode("items").alias("item"))
-    ranked = each.join(frequent(each, "item"), "item").groupBy("items", "w")
+    each = counted.select("analysis", "items", "w", F.explode("items").alias("item"))
+    ranked = each.join(frequent(each, "item"), ["analysis", "item"]).groupBy("analysis", "items", "w")
     rest = F.transform(F.array_sort(F.collect_list(F.struct("freq", "item"))), lambda x: x["item"])
-    state = ranked.agg(rest.alias("rest")).select(F.array().cast("array<string>").alias("head"), "rest", "w")
+    state = ranked.agg(rest.alias("rest")).select(
+        "analysis", F.array().cast("array<string>").alias("head"), "rest", "w"
+    )
     sets = None
     while True:
-        state = kept_table(state.groupBy("head", "rest").agg(F.sum("w").alias("w")))
-        found = kept_table(frequent(state.select("head", F.explode("rest").alias("item"), "w"), "head", "item"))
+        state = kept_table(state.groupBy("analysis", "head", "rest").agg(F.sum("w").alias("w")))
+        each = state.select("analysis", "head", F.explode("rest").alias("item"), "w")
+        found = kept_table(frequent(each, "head", "item"))
         sets = found if sets is None else sets.union(found)
         if found.isEmpty():
             break
-        longer = state.select("head", "rest", "w", F.posexplode("rest").alias("at", "item"))
-        longer = longer.where(F.col("at") < F.size("rest") - 1).join(found, ["head", "item"])
+        longer = state.select("analysis", "head", "rest", "w", F.posexplode("rest").alias("at", "item"))
+        longer = longer.where(F.col("at") < F.size("rest") - 1).join(found, ["analysis", "head", "item"])
         state = longer.select(
+            "analysis",
             F.array_append("head", F.col("item")).alias("head"),
             F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"),
             "w",
         )
     return sets.select(
-        F.array_sort(F.array_append("head", F.col("item"))).alias("items"), "freq",
+        "analysis", F.array_sort(F.array_append("head", F.col("item"))).alias("items"), "freq",
         F.lit(n).cast("long").alias("n"), (F.col("freq") / F.lit(n)).alias("support"),
     )
 
 
 def association_rules(
-    itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.0
+    itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.0, by: Sequence[str] = ()
 ) -> DataFrame:
     """Every split of every frequent itemset into antecedents and consequents.
 
@@ -178,11 +203,12 @@ def association_rules(
     once.  Moving items to the consequents only raises the count of the antecedents: a split
     whose confidence is too low is grown no further, nor one whose lift cannot be reached by
     any consequent that holds the whole itemset's rows.  Each round is kept in the shared folder.
+    The ``by`` columns come first in the result; itemsets that differ in them never meet.
     """
     sets = itemsets.where(F.size("items") > 1)
     most = sets.agg(F.max(F.size("items"))).first()[0] or 1
-    ante = itemsets.select(F.col("items").alias("antecedents"), F.col("freq").alias("freq_a"))
-    cons = itemsets.select(F.col("items").alias("consequents"), F.col("freq").alias("freq_c"))
+    ante = itemsets.select(*by, F.col("items").alias("antecedents"), F.col("freq").alias("freq_a"))
+    cons = itemsets.select(*by, F.col("items").alias("consequents"), F.col("freq").alias("freq_c"))
     confidence = F.col("freq") / F.col("freq_a")
     can_grow = {"confidence": confidence, "lift": F.col("n") / F.col("freq_a") * (1 + 1e-12)}.get(metric)
     grown = sets.withColumn("consequents", F.array().cast("array<string>"))
@@ -191,20 +217,23 @@ def association_rules(
         last = F.try_element_at("consequents", F.lit(-1))
         following = F.filter("items", lambda i: last.isNull() | (i > last))
         longer = grown.where(F.size("items") > done + 1).select(
-            "items", "freq", "n", "support", F.explode(following).alias("__i"), "consequents"
+            *by, "items", "freq", "n", "support", F.explode(following).alias("__i"), "consequents"
         )
         longer = longer.withColumn("consequents", F.array_append("consequents", F.col("__i"))).drop("__i")
-        grown = longer.withColumn("antecedents", F.array_except("items", "consequents")).join(ante, "antecedents")
+        longer = longer.withColumn("antecedents", F.array_except("items", "consequents"))
+        grown = longer.join(ante, [*by, "antecedents"])
         if can_grow is not None:
             grown = grown.where(can_grow >= min_threshold)
-        grown = kept_table(grown.select("items", "freq", "n", "support", "antecedents", "consequents", "freq_a"))
+        grown = kept_table(
+            grown.select(*by, "items", "freq", "n", "support", "antecedents", "consequents", "freq_a")
+        )
         splits = grown if splits is None else splits.union(grown)
         if grown.isEmpty():
             break
     # Counts first, one division: no rounding in between.
     lift = (F.col("freq") * F.col("n")) / (F.col("freq_a") * F.col("freq_c"))
-    rules = splits.join(cons, "consequents").select(
-        "antecedents", "consequents", "support", confidence.alias("confidence"), lift.alias("lift")
+    rules = splits.join(cons, [*by, "consequents"]).select(
+        *by, "antecedents", "consequents", "support", confidence.alias("confidence"), lift.alias("lift")
     )
     return rules.where(F.col(metric) >= min_threshold)
 
@@ -223,6 +252,10 @@ def rules_between(
     rules = association_rules(
         frequent_itemsets(baskets, min_support, both, weight).persist(), metric, min_threshold
     )
+    return _between(rules, antecedent_prefix, consequent_prefix)
+
+
+def _between(rules: DataFrame, antecedent_prefix: str, consequent_prefix: str) -> DataFrame:
     return rules.where(
         F.forall("antecedents", lambda i: i.startswith(antecedent_prefix))
         & F.forall("consequents", lambda i: i.startswith(consequent_prefix))
@@ -252,18 +285,24 @@ def mine_rules(
     """
     families = [c for c in columns if c != text_column] if analysis != "violations" else []
     baskets = count_baskets(df, families, text_column if analysis != "categories" else None, sep=SEP)
-    out: dict[str, DataFrame] = {}
+    lift: dict[str, tuple[Sequence[str], float]] = {}
+    between: dict[str, tuple[Sequence[str], float]] = {}
     if analysis in (None, "violations") and text_column:
-        found = frequent_itemsets(baskets, 0.1, [CODE_PREFIX], "rows").persist()
-        out["violations"] = association_rules(found, "lift", 1.0)
+        lift["violations"] = [CODE_PREFIX], 0.1
     if analysis in (None, "categories") and columns:
-        found = frequent_itemsets(baskets, 0.05, [f"{c}{SEP}" for c in columns], "rows").persist()
-        out["categories"] = association_rules(found, "lift", 1.0)
+        lift["categories"] = [f"{c}{SEP}" for c in columns], 0.05
     if analysis in (None, "category_violations") and text_column:
-        for c in columns:
-            out[f"{c}_to_violations"] = rules_between(
-                baskets, f"{c}{SEP}", CODE_PREFIX, 0.02, "confidence", 0.05, "rows"
-            )
+        between = {f"{c}_to_violations": ([f"{c}{SEP}", CODE_PREFIX], 0.02) for c in columns}
+    if not lift and not between:
+        return {}
+    # Together: as many rounds as the analysis with the longest itemset takes, not the sum of all.
+    sets = itemsets_by_analysis(baskets, lift | between, "rows").persist()
+    out: dict[str, DataFrame] = {}
+    for asked, metric, least in ((lift, "lift", 1.0), (between, "confidence", 0.05)):
+        if asked:
+            rules = association_rules(sets.where(F.col("analysis").isin(*asked)), metric, least, ["analysis"])
+            out |= {name: rules.where(F.col("analysis") == name).drop("analysis") for name in asked}
+    out |= {name: _between(out[name], *prefixes) for name, (prefixes, _) in between.items()}
     return {name: _named(rules) for name, rules in out.items()}
 
 

@@ -325,3 +325,32 @@ def test_rules_of_categories_read_no_text(spark):
     df = df.withColumn("notes", F.when(F.col("a") != "", F.raise_error(F.lit("read")).cast("string")))
     found = rules.mine_rules(df, ["a", "b"], "notes", "categories")["categories"].collect()
     assert {(r["antecedents"][0], r["consequents"][0]) for r in found} == {("a_u", "b_p"), ("b_p", "a_u"), ("a_v", "b_q"), ("b_q", "a_v")}
+
+
+def test_analyses_share_their_rounds(spark):
+    """Five categories to codes take the jobs of one, and every analysis what it takes alone."""
+    import uuid
+
+    rows = [("u", "p", "1. AB | 2. CD"), ("u", "q", "2. CD"), ("v", "p", None), ("v", "q", "1. AB")] * 5
+    columns = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame(rows, "a string, b string, notes string")
+    df = df.select("a", "b", "notes", *[F.col("a").alias(c) for c in columns[2:]])
+
+    def jobs(columns, analysis=None):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            found = rules.mine_rules(df, columns, "notes", analysis)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    one, few = jobs(columns[:1], "category_violations")
+    five, many = jobs(columns, "category_violations")
+    assert 0 < many < 1.5 * few
+    alone = {**five, **jobs(columns, "violations")[0], **jobs(columns, "categories")[0]}
+    every = jobs(columns)[0]
+    assert sorted(every) == sorted(alone) and all(every[n].collect() for n in ("categories", "a_to_violations"))
+    for name, found in alone.items():
+        assert sorted(map(str, every[name].collect())) == sorted(map(str, found.collect()))
+    assert sorted(map(str, one["a_to_violations"].collect())) == sorted(map(str, every["a_to_violations"].collect()))
