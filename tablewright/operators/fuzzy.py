@@ -7,9 +7,11 @@ that miss no qualifying pair, and only then a score is computed.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import permutations
 from math import ceil
 
+from pyspark import Broadcast
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
@@ -19,14 +21,19 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import similarity as sim
 from tablewright.functions import text
-from tablewright.functions.frames import kept_table, lookup, map_values
-from tablewright.functions.grams import similar_pairs, window_pairs
+from tablewright.functions.frames import is_small, kept_table, lookup, map_values
+from tablewright.functions.grams import NEAR, similar_pairs, window_pairs
+from tablewright.functions.spellings import Reach, key_filter, keys_passing, meeting_keys, number_of_keys, stretches, wholes
 
 
 # Starts of the clustering.
 STARTS = 10
 # Letters of the longest grams by which windows are found.
 WINDOW_GRAM = 4
+# Bytes of the common words, as text, that are looked up in memory by the stretches of rare ones.
+LOOKED_UP_BYTES = 32 << 20
+# Bits of a word's place in the alphabet, below its score's distance from 100 in the same number.
+PLACES = 50
 
 
 def _table(df: DataFrame, mapping: Mapping[str, str] | DataFrame) -> DataFrame:
@@ -59,24 +66,29 @@ def detect_typos(
 
     The best common word is taken first, ties to the alphabetically first, and the letter is
     tested after.  Any threshold above 0 may be asked for: each part of the weighted score sets
-    a bound of its own for the pairs that can reach it (``_typo_candidates``).
+    a bound of its own for the pairs that can reach it (``_keyed``, ``_typo_candidates``).
     """
-    counts = token_counts(df, column, min_len)
-    # What the scorer sees: blanks for apostrophes.
-    plain = F.trim(F.regexp_replace("word", "'", " "))
-    words = counts.select("word", "n", plain.alias("plain"), F.unhex(F.md5("word")).alias("id")).persist()
+    words = token_counts(df, column, min_len).select("word", "n", _plain("word").alias("plain")).persist()
+    held: list[Broadcast | DataFrame] = []
     try:
         rare, common = words.where(F.col("n") < min_count), words.where(F.col("n") >= min_count)
         if known:
             rare = rare.where(~F.col("word").isin(list(known)))
-        close = _best_common(rare, common, threshold)
+        close = _best_common(rare, common, threshold, held)
         close = close.where((F.col("score") >= threshold) & (F.substring("rare", 1, 1) == F.substring("common", 1, 1)))
         found = kept_table(close.select(F.col("rare").alias("typo"), F.col("common").alias("correction")))
     finally:
         words.unpersist()
+        for sent in held:
+            sent.unpersist()
     return found.union(_table(df, known)) if known else found
 
 
+def _plain(word: str) -> Column:
+    """What the scorer sees of a word: blanks for all but letters, digits and ``_``."""
+    return F.trim(F.regexp_replace(word, r"[^\p{L}\p{N}_]", " "))
+
+
 def _need(threshold: float, scale: float) -> float | None:
     """The share of letters a part of the score must match for ``scale`` times it to reach the threshold."""
     points = ceil((threshold - 0.5) / scale - 1e-9)
@@ -95,24 +107,32 @@ def _orders(tokens: Column) -> Column:
     return out
 
 
-def _typo_candidates(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """``(id, other)``: every pair of a rare and a common word whose weighted score may reach the threshold,
-    some more than once.
+def _forms(side: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, form)``: texts as they are, and by their words in any order."""
+    tokens = F.split("plain", r"\s+")
+    made = F.array_union(F.array(F.col("plain"), F.array_join(F.array_sort(tokens), " ")), _orders(F.array_distinct(tokens)))
+    return side.select(*keep, F.explode(F.when(_single("plain"), F.array("plain")).otherwise(made)).alias("form"))
+
+
+def _single(plain: str) -> Column:
+    return ~F.contains(F.col(plain), F.lit(" "))
+
+
+def _typo_candidates(rare: DataFrame, common: DataFrame, threshold: float, reach: Reach, most: int, longest: int) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """``(pairs, rare, common)`` with pairs ``(id, other)``, some more than once: every pair whose weighted score may
+    reach the threshold and that meets neither by its keys (``_keyed``) nor by ``_shared_words``, with the words it
+    is of.
 
-    - Whole texts, as they are or by words in any order: pairs of like forms.
-    - One at least 1.5 times as long: the shorter against windows of the longer one.
-    - Words in common (texts with apostrophes only): the shared words may make up most of a text,
-      or, beside a much longer one, score by themselves whatever the rest.
+    - Whole texts longer than ``reach`` serves, as they are or by words in any order: pairs of like forms.
+    - One at least 1.5 times as long, and the shorter one longer than ``reach`` serves or not one word each:
+      the shorter against windows of the longer one.
+
+    ``most`` is the number of words of a text, ``longest`` that of letters, at most.
     """
+    c, window = _need(threshold, 1.0), _need(threshold, 0.9)
     tokens = F.split("plain", r"\s+")
     distinct = F.array_distinct(tokens)
-    most = rare.unionByName(common).agg(F.max(F.size(tokens))).first()[0] or 0
-
-    def forms(side: DataFrame) -> DataFrame:
-        made = F.array(F.col("plain"), F.array_join(F.array_sort(tokens), " "))
-        if most > 1:
-            made = F.array_union(made, _orders(distinct))
-        return side.select("id", F.explode(F.array_distinct(made)).alias("form"))
+    n, single = F.length("plain"), _single("plain")
 
     def letters(side: DataFrame) -> DataFrame:
         """Letters in order: what two texts share of them bounds every order of their words."""
@@ -120,28 +140,36 @@ def _typo_candidates(rare: DataFrame, common: DataFrame, threshold: float) -> Da
         one_each = side.select("id", F.explode(texts).alias("text"))
         return one_each.select("id", F.array_join(F.array_sort(F.split("text", "")), "").alias("form"))
 
-    ways = [(forms(rare), forms(common), WINDOW_GRAM)]
+    def inside(left: DataFrame, right: DataFrame, size: int) -> list[DataFrame]:
+        times = 1.5 if most == 1 else 1.0  # a text's forms may be shorter than itself
+        turned = window_pairs(right, left, window, size, times)
+        return [window_pairs(left, right, window, size, times), turned.select(F.col("other").alias("id"), F.col("id").alias("other"))]
+
+    found, edge = [], reach.longest
+    low = ceil((edge + 1) * (c / (2 - c)) - NEAR)
+    if longest > edge:
+        left, right = rare.where(n >= low), common.where(n >= low)
+        found.append((similar_pairs(_forms(left, "id"), _forms(right, "id"), c), left, right))
+    if window and longest > 1.5 * reach.inside:
+        left, right = rare.where(n > reach.inside), common.where(n > reach.inside)
+        found += [(p, left, right) for p in inside(_forms(left, "id"), _forms(right, "id"), WINDOW_GRAM)]
+    if most > 1 and window and _need(threshold, 0.9 * 0.95):
+        for left, right in ((rare.where(~single), common), (rare.where(single), common.where(~single))):
+            found += [(p, left, right) for p in inside(_forms(left, "id"), _forms(right, "id"), WINDOW_GRAM)]
     if most > 3:
         many = F.size(distinct) > 3
-        ways += [(letters(rare.where(many)), letters(common), 1), (letters(rare), letters(common.where(many)), 1)]
-    window = _need(threshold, 0.9)
-    pairs = None
-    for left, right, longest in ways:
-        found = [similar_pairs(left, right, _need(threshold, 1.0))]
-        if window:
-            times = 1.5 if most == 1 else 1.0  # a text's forms may be shorter than itself
-            found.append(window_pairs(left, right, window, longest, times))
-            turned = window_pairs(right, left, window, longest, times)
-            found.append(turned.select(F.col("other").alias("id"), F.col("id").alias("other")))
-        for part in found:
-            pairs = part if pairs is None else pairs.union(part)
-    if most > 1:
-        pairs = pairs.union(_shared_words(rare, common, threshold))
-    return pairs
+        for left, right in ((rare.where(many), common), (rare, common.where(many))):
+            pairs = [similar_pairs(letters(left), letters(right), c)] + (inside(letters(left), letters(right), 1) if window else [])
+            found += [(p, left, right) for p in pairs]
+    return found
 
 
 def _shared_words(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """``(id, other)``: pairs that the words they share may lift to the threshold."""
+    """``(id, other)``: pairs that the words they share may lift to the threshold (texts with apostrophes only).
+
+    The shared words may make up most of a text, or, beside a much longer one, score by themselves
+    whatever the rest.
+    """
     tokens = F.array_distinct(F.split("plain", r"\s+"))
 
     def parts(side: DataFrame, name: str) -> DataFrame:
@@ -169,15 +197,76 @@ def _shared_words(rare: DataFrame, common: DataFrame, threshold: float) -> DataF
     return a.join(b, "part").select("id", "other").limit(0) if out is None else out
 
 
-def _best_common(rare: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+def _packed(score: Column, place: Column) -> Column:
+    """One number, the less the better the score and then the earlier the place."""
+    return F.shiftleft((100 - score).cast("long"), PLACES) + place
+
+
+def _keyed(rare: DataFrame, placed: DataFrame, reach: Reach, most: int, held: list[Broadcast | DataFrame]) -> DataFrame:
+    """``(rare, packed, places)``: of the pairs that meet by what is left of them (``spellings``) the best one of single
+    words, and the places of the common words to be scored where either is none.  ``placed`` is ``(word, plain, place)``."""
+    many = ~_single("plain")
+
+    def forms(side: DataFrame, ref: str) -> DataFrame:
+        made = _forms(side.select(F.col(ref).alias("ref"), many.alias("many"), "plain"), "ref", "many", "plain")
+        return made.withColumn("whole", F.col("form") == F.col("plain"))
+
+    left, right = forms(rare, "word"), forms(placed, "place")
+    theirs = [F.col("ref").alias("place"), F.col("many").alias("many_b")]
+    a, b = meeting_keys(left, right, reach, held)
+    # Both sides are many times what the planner takes them for: never broadcast.
+    met = a.hint("merge").join(b.select("key", "kind", *theirs), ["key", "kind"]).drop("kind")
+    if reach.inside:
+        texts = right.where("whole").select(F.col("form").alias("key"), *theirs)
+        held.append(table := key_filter(right, wholes, reach, number_of_keys(right, wholes, reach)))
+        inside = keys_passing(left, stretches, reach, table).drop("kind")
+        met = met.unionByName(inside.join(F.broadcast(texts) if is_small(texts, LOOKED_UP_BYTES) else texts, "key"))
+    met, packed = met.withColumnRenamed("ref", "rare"), _packed(F.col("score"), F.col("place"))
+    if most == 1:
+        return met.groupBy("rare").agg(F.min(packed).alias("packed"), F.lit(None).cast("array<bigint>").alias("places"))
+    sure = ~F.col("many") & ~F.col("many_b")
+    return kept_table(met.groupBy("rare").agg(F.min(F.when(sure, packed)).alias("packed"), F.collect_set(F.when(~sure, F.col("place"))).alias("places")))
+
+
+def _best_common(rare: DataFrame, common: DataFrame, threshold: float, held: list[Broadcast | DataFrame]) -> DataFrame:
     """``(rare, common, score)``: the best common word of each rare one that has any in reach."""
-    pairs = _typo_candidates(rare, common, threshold)
-    told = lookup(pairs, rare.select("id", F.col("word").alias("rare"), F.col("plain").alias("a")), ["id"])
-    told = lookup(told, common.select(F.col("id").alias("other"), F.col("word").alias("common"), F.col("plain").alias("b")), ["other"])
+    n = F.length("plain")
+    size = rare.unionByName(common).agg(F.max(F.size(F.split("plain", r"\s+"))).alias("most"), F.min(n).alias("least"), F.max(n).alias("longest")).first()
+    most, least, longest = size["most"] or 1, size["least"] or 1, size["longest"] or 0
+    reach = Reach(_need(threshold, 1.0), _need(threshold, 0.9), bool(_need(threshold, 0.6)), most > 1, least)
+    placed = kept_table(common.sort("word").select("word", "plain", F.monotonically_increasing_id().alias("place")))
+    names = placed.select("place", F.col("word").alias("common"))
+
+    met = _keyed(rare, placed, reach, most, held)
+    place, score = F.expr(f"packed & {(1 << PLACES) - 1}L"), (100 - F.shiftright("packed", PLACES)).cast("double")
+    best = met.where("packed is not null").select("rare", place.alias("place"), score.alias("score"))
+    best = lookup(best, names, ["place"]).select("rare", "common", "score")
+
+    ids = F.unhex(F.md5("word")).alias("id")
+    rare, common = rare.select("word", "plain", ids), common.select("word", "plain", ids)
+    pairs = []
+    if most > 1:
+        pairs.append(lookup(met.select("rare", F.explode("places").alias("place")), names, ["place"]).select("rare", "common"))
+        shared = _shared_words(rare.withColumn("id", F.col("word")), common.withColumn("id", F.col("word")), threshold)
+        pairs.append(shared.toDF("rare", "common"))
+    for found, left, right in _typo_candidates(rare, common, threshold, reach, most, longest):
+        told = lookup(found, left.select("id", F.col("word").alias("rare")), ["id"])
+        told = lookup(told, right.select(F.col("id").alias("other"), F.col("word").alias("common")), ["other"])
+        pairs.append(told.select("rare", "common"))
+    if not pairs:
+        return best
+    every = best.unionByName(_scored(reduce(DataFrame.unionByName, pairs), threshold))
+    top = every.groupBy("rare").agg(F.min(F.struct((-F.col("score")).alias("score"), "common")).alias("t"))
+    return top.select("rare", F.col("t.common").alias("common"), (-F.col("t.score")).alias("score"))
+
+
+def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``(rare, common, score)`` of the pairs ``(rare, common)`` that may reach the threshold."""
+    told = pairs.withColumns({"a": _plain("rare"), "b": _plain("common")})
     la, lb = F.length("a"), F.length("b")
     short, long = F.when(la <= lb, F.col("a")).otherwise(F.col("b")), F.when(la <= lb, F.col("b")).otherwise(F.col("a"))
     spread = F.greatest(la, lb) / F.least(la, lb)
-    single = ~F.contains("a", F.lit(" ")) & ~F.contains("b", F.lit(" "))
+    single = _single("a") & _single("b")
     wide, inside = single & (spread >= 1.5), F.contains(long, short)
     # Of two single words one inside the other scores all of the window's share, and no more.
     told = told.withColumn("sure", F.when(wide & inside, F.when(spread <= 8, 90.0).otherwise(60.0)))
@@ -190,9 +279,7 @@ def _best_common(rare: DataFrame, common: DataFrame, threshold: float) -> DataFr
     told = told.select("rare", "common", "sure").distinct()
     unsure = F.when(F.col("sure").isNull(), F.col("rare"))
     score = F.coalesce("sure", sim.score("weighted", unsure, F.col("common")))
-    every = told.select("rare", "common", score.alias("score"))
-    top = every.groupBy("rare").agg(F.min(F.struct((-F.col("score")).alias("score"), "common")).alias("t"))
-    return top.select("rare", F.col("t.common").alias("common"), (-F.col("t.score")).alias("score"))
+    return told.select("rare", "common", score.alias("score"))
 
 
 def correct_words(

@@ -218,3 +218,55 @@ def test_only_like_texts_meet(spark):
     words = spark.createDataFrame([(w, w) for w in ["store", "storefront", "torestore", "rotes", "stores", "tore stone"]], "id string, form string")
     inside = {tuple(r) for r in window_pairs(words.where("id = 'store'"), words, 0.995, 4, 1.5).collect()}
     assert inside == {("store", "storefront"), ("store", "torestore")}
+
+
+def best_common(texts, min_count, threshold):
+    """``(typo, correction)`` by brute force; texts of words between blanks."""
+    counts = {}
+    for w in " ".join(texts).lower().split():
+        counts[w] = counts.get(w, 0) + 1
+    common, out = sorted(w for w, n in counts.items() if n >= min_count), {}
+    for w, n in counts.items():
+        if n < min_count:
+            top = max(common, key=lambda c: sim.SCORERS["weighted"](w, c))
+            if sim.SCORERS["weighted"](w, top) >= threshold and w[0] == top[0]:
+                out[w] = top
+    return out
+
+
+@pytest.mark.parametrize("most_common", [False, True])
+@pytest.mark.parametrize("bits,in_memory", [(28, 1 << 25), (9, 0)])
+def test_short_words_meet_by_their_keys_alone(spark, monkeypatch, most_common, bits, in_memory):
+    """Words of a few syllables share pieces with nearly all others: none is compared with another one,
+    whichever side has more words, whether the filter tells anything and whether words are looked up in memory."""
+    from tablewright.functions import spellings
+
+    def never(*args, **kwargs):
+        raise AssertionError("compared")
+
+    for name in ("similar_pairs", "window_pairs"):
+        monkeypatch.setattr(fuzzy, name, never)
+    monkeypatch.setattr(fuzzy.sim, "score", never)
+    monkeypatch.setattr(fuzzy, "LOOKED_UP_BYTES", in_memory)
+    monkeypatch.setattr(spellings, "LEAST_BITS", 9)
+    monkeypatch.setattr(spellings, "MOST_BITS", bits)
+    rng = random.Random(7)
+    syllables = ["the", "an", "tion", "ing", "ä", "𝒳y", "lich", "a", "ss", "0"]
+    some = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 7))) for _ in range(700)]
+    some += [w[:i] + rng.choice("aäns") + w[i + rng.randint(0, 1) :] for w in some[:300] for i in [rng.randrange(1, len(w))]]
+    some = sorted({w for w in some if 4 <= len(w) <= 20})
+    rng.shuffle(some)
+    cut = 500 if most_common else 200
+    texts = [" ".join(some[:cut])] * 10 + [" ".join(some[cut:])]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.typo: r.correction for r in fuzzy.detect_typos(df, "t").collect()}
+    expected = best_common(texts, 10, 90)
+    assert got == expected and len(got) > 50
+
+
+def test_a_mark_inside_a_word_is_a_blank_to_the_score(spark):
+    """The lower case of a dotted capital I is two characters, the second of which is no letter."""
+    texts = ["İstanbulular Anstanbulular rock's'roll"] * 10 + ["İstanbulula İstanbulularx stanbulular rocks'roll"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.typo: r.correction for r in fuzzy.detect_typos(df, "t").collect()}
+    assert got == best_common(texts, 10, 90) and len(got) > 2
